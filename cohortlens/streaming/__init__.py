@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The modelled workload is batch only: tables are loaded in one job and every report is a
+one-shot query.  There is no event-time, watermark, late-data or state concept to
+reproduce, so no Structured Streaming operator is provided.
+"""
