@@ -56,7 +56,7 @@ def _interval_cond(window, days, id_col, date_col, start_col, end_col, ev_alias=
 def _event_days(events: DataFrame, id_col: str, date_col: str) -> DataFrame:
     # distinct (id, day): existence only needs one row per day per subject
     return (events.where(F.col(date_col).isNotNull())
-            .groupBy(F.col(id_col).alias("_ev_id"), F.col(date_col).alias("_ev_d")).agg())
+            .select(F.col(id_col).alias("_ev_id"), F.col(date_col).alias("_ev_d")).distinct())
 
 
 def with_any(left: DataFrame, right: DataFrame, key: str | Sequence[str]) -> DataFrame:
