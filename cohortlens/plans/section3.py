@@ -26,7 +26,8 @@ def report(name):
 
 
 PID = "participant_id"
-CONVICTED = F.col("outcome") == "Convicted"
+def convicted():
+    return F.col("outcome") == "Convicted"
 
 
 def charge_days(t, keys=(), where=None) -> DataFrame:
@@ -35,7 +36,7 @@ def charge_days(t, keys=(), where=None) -> DataFrame:
     if where is not None:
         pc = pc.where(where)
     return day_counts(pc.where(F.col("charge_date").isNotNull()), PID, "charge_date", keys,
-                      {"n_conv": flag(CONVICTED)})
+                      {"n_conv": flag(convicted())})
 
 
 # ---------------------------------------------------------------- r3_1 risk vs norms
@@ -105,7 +106,7 @@ SQL["r3_2"] = sql_with("participant_charge", "enrollment") + \
 @report("r3_3")
 def history_per_participant(t) -> DataFrame:
     per = t["participant_charge"].groupBy(PID).agg(F.count(ONE).alias("c"),
-                                                   F.sum(flag(CONVICTED)).alias("v"))
+                                                   F.sum(flag(convicted())).alias("v"))
     row = per.agg(F.count(ONE).alias("k"), F.sum("c").alias("c_sum"), F.min("c").alias("c_min"),
                   F.max("c").alias("c_max"), F.sum("v").alias("v_sum"), F.min("v").alias("v_min"),
                   F.max("v").alias("v_max"))
