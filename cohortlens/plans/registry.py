@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.bindings import load_tables
 from ..sources.store import stored_tables
 
-MODULES = ["section1", "section2", "section3", "section4", "section5", "extras", "ops"]
+MODULES = ["section1", "section2", "section3", "section4", "section5", "extras", "ops", "ingest_ops"]
 
 
 def _load():
