@@ -129,11 +129,10 @@ GROUP BY co.class"""
 def top_offenses(t) -> DataFrame:
     pc = t["participant_charge"].select("participant_id", "offense_id")
     co = t["charge_offense"]
-    # (offense, id) partial counts before the dimension join; names can repeat across
-    # offense ids, so distinct subjects are re-collapsed per (name, class, id)
-    per = (pc.groupBy("offense_id", "participant_id").agg(F.count(ONE).alias("n"))
-           .join(co, "offense_id")
-           .groupBy("offense_name", "class", "participant_id").agg(F.sum("n").alias("n")))
+    # two-level aggregate (name, class, id) -> (name, class): the distinct count without
+    # Expand; both levels are partial, so a hot id or offense is combined map-side
+    per = (pc.join(co, "offense_id")
+           .groupBy("offense_name", "class", "participant_id").agg(F.count(ONE).alias("n")))
     g = per.groupBy("offense_name", "class").agg(F.sum("n").alias("Frequency"),
                                                  F.count("participant_id").alias("Unique_Participants"))
     g = g.select(F.col("offense_name").alias("Offense_Name"), F.col("class").alias("Class"),

@@ -30,13 +30,23 @@ def convicted():
     return F.col("outcome") == "Convicted"
 
 
-def charge_days(t, keys=(), where=None) -> DataFrame:
-    """Charges pre-aggregated per (id, day, *keys): n rows, n_conv convictions."""
+def charge_days(t, keys=(), where=None, aggregate: bool = False) -> DataFrame:
+    """Charge events as (id, day, *keys, n, n_conv) rows for the interval joins.
+
+    By default one row per charge (n = 1): the interval join then shuffles the fact table
+    once, AQE splits a hot subject's partition (inner joins only), and the per-subject
+    aggregate after the join is partial, so a hot subject is collapsed map-side.
+    ``aggregate=True`` pre-aggregates to one row per (id, day, *keys) first; that costs a
+    second shuffle of the facts and pays off only when many charges share a day.
+    """
     pc = t["participant_charge"]
     if where is not None:
         pc = pc.where(where)
-    return day_counts(pc.where(F.col("charge_date").isNotNull()), PID, "charge_date", keys,
-                      {"n_conv": flag(convicted())})
+    pc = pc.where(F.col("charge_date").isNotNull())
+    if aggregate:
+        return day_counts(pc, PID, "charge_date", keys, {"n_conv": flag(convicted())})
+    return pc.select(PID, "charge_date", *keys, F.lit(1).cast("long").alias("n"),
+                     flag(convicted()).cast("long").alias("n_conv"))
 
 
 # ---------------------------------------------------------------- r3_1 risk vs norms
@@ -166,7 +176,8 @@ MIN_GROUP = 5
 def prior_class_outcome(t, min_group_size: int = MIN_GROUP) -> DataFrame:
     co = t["charge_offense"].select("offense_id", "class")
     pc = t["participant_charge"].select(PID, "offense_id", "charge_date").join(co, "offense_id")
-    days = day_counts(pc.where(F.col("charge_date").isNotNull()), PID, "charge_date", ["class"])
+    days = pc.where(F.col("charge_date").isNotNull()).select(PID, "charge_date", "class",
+                                                            F.lit(1).cast("long").alias("n"))
     e = (t["enrollment"].where(F.col("end_status").isin("Graduated", "Terminated"))
          .select(PID, "start_date", "end_status"))
     np_ = t["participant"].groupBy(PID).agg(F.count(ONE).alias("np"))

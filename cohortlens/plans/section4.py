@@ -12,8 +12,7 @@ from ..functions.numeric import (pct, pct_unrounded, round_ratio, round_real, sq
                                  sql_pct_unrounded, sql_round_ratio, sql_round_real)
 from ..operators.metrics import (BEFORE_RATE_UPLIFT, DAILY_JAIL_COST, cost_model, metric_rows,
                                  one_row, per_subject_flags)
-from ..operators.temporal import (flag_intervals, with_event_in_interval,
-                                  without_event_in_interval)
+from ..operators.temporal import flag_intervals
 from ..sources.bindings import sql_with
 from .section3 import charge_days
 
@@ -156,8 +155,8 @@ SQL["r4_4"] = sql_with("participant_charge", "enrollment") + _sql_conv_arm(
 def felony_before_during(t) -> DataFrame:
     co = t["charge_offense"].where(F.col("class") == "F").select("offense_id")
     pc = t["participant_charge"].where(F.col("outcome") == "Convicted").join(co, "offense_id")
-    from ..operators.temporal import day_counts
-    days = day_counts(pc.where(F.col("charge_date").isNotNull()), PID, "charge_date")
+    days = pc.where(F.col("charge_date").isNotNull()).select(PID, "charge_date",
+                                                            F.lit(1).cast("long").alias("n"))
     types = {"Category": "string", "Conviction_Count": "long", "Participants": "long"}
     return _before_during(t, days, None, [
         {"Category": "Felony Convictions Before MHC", "Conviction_Count": F.col("nb"),
@@ -183,13 +182,19 @@ SQL["r4_5"] = sql_with("participant_charge", "enrollment", "charge_offense") + \
 # ---------------------------------------------------------------- r4_6 no charge during
 @report("r4_6")
 def charge_free_during(t) -> DataFrame:
+    # EXISTS / NOT EXISTS per enrolment row, from ONE inner interval join (skew-splittable)
+    # plus a zero row per enrolment: per (id, start, end) hit = 1 if any charge falls in
+    # the interval.  A subject counts as "with" if any of its rows is hit and as "without"
+    # if any of its rows is not (both can hold with several enrolments, as in SQL).
     e = t["enrollment"]
-    pc = t["participant_charge"].select(PID, "charge_date")
     iv = e.select(PID, "start_date", "end_date")
-    without = without_event_in_interval(iv, pc).agg(F.count_distinct(PID).alias("n0"))
-    with_ = with_event_in_interval(iv, pc).agg(F.count_distinct(PID).alias("n1"))
+    ev = t["participant_charge"].where(F.col("charge_date").isNotNull()).select(PID, "charge_date")
+    hits = flag_intervals(iv, ev, ["start_date", "end_date", PID], "during", None, {"hit": F.lit(True)})
+    per = hits.groupBy(PID).agg(F.max("hit").alias("any_hit"), F.min("hit").alias("all_hit"))
+    counts = per.agg(F.count(F.when(F.col("all_hit") == 0, 1)).alias("n0"),
+                     F.count(F.when(F.col("any_hit") == 1, 1)).alias("n1"))
     total = e.agg(F.count(ONE).alias("m"))
-    row = one_row(without, with_, total)
+    row = one_row(counts, total)
     types = {"Category": "string", "Participant_Count": "long", "Percentage": "double"}
     return metric_rows(row, [
         {"Category": "Participants with NO Charges During MHC", "Participant_Count": F.col("n0"),

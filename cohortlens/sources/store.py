@@ -44,10 +44,18 @@ def _root(spark: SparkSession) -> str:
     return base.rstrip("/") + "/cohortlens/canonical"
 
 
-def _source_bytes(spark: SparkSession, sf_dir: str) -> tuple[int, str]:
+# main source of each canonical table (its size drives the number of output files)
+MAIN_SOURCE = {"diagnosis_code": "nation", "participant": "customer", "enrollment": "orders",
+               "charge_offense": "part", "participant_charge": "lineitem",
+               "participant_diagnosis": "customer", "risk_assessment": "customer",
+               "jail_data": "events", "treatment_episode": "events", "psychosocial_assessment": "events"}
+SPREAD_BYTES = 4 * 1024 * 1024  # smaller outputs are written as one file, without a shuffle
+
+
+def _source_bytes(spark: SparkSession, sf_dir: str, names=None) -> tuple[int, str]:
     """Total source bytes and a fingerprint of the source files (size + mtime)."""
     total, parts = 0, []
-    for name in bindings.SOURCE_TABLES:
+    for name in names or bindings.SOURCE_TABLES:
         fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
         if not fs.exists(p):
             continue
@@ -68,14 +76,21 @@ def store_key(spark: SparkSession, sf_dir: str) -> str:
     return h.hexdigest()[:20]
 
 
-def n_files_for(spark: SparkSession, sf_dir: str) -> int:
-    total, _ = _source_bytes(spark, sf_dir)
-    return max(spark.sparkContext.defaultParallelism, math.ceil(total / TARGET_FILE_BYTES))
+def n_files_for(spark: SparkSession, sf_dir: str, table: str) -> int:
+    """Files for a canonical table: ~128 MB each, and at least the cluster parallelism for
+    tables whose source is larger than a few MB (so later scans are parallel); 1 file
+    for small tables."""
+    size, _ = _source_bytes(spark, sf_dir, [MAIN_SOURCE.get(table, "lineitem")])
+    if size < SPREAD_BYTES:
+        return 1
+    return max(spark.sparkContext.defaultParallelism, math.ceil(size / TARGET_FILE_BYTES))
 
 
 def write_table(df: DataFrame, path: str, n_files: int) -> None:
-    """A5: replace-table write (overwrite), spread over ``n_files`` files."""
-    df.repartition(n_files).write.mode("overwrite").parquet(path)
+    """A5: replace-table write (overwrite).  One file: coalesce (no shuffle); several:
+    round-robin repartition, which balances files whatever the key skew."""
+    out = df.coalesce(1) if n_files == 1 else df.repartition(n_files)
+    out.write.mode("overwrite").parquet(path)
 
 
 def materialize(spark: SparkSession, sf_dir: str, root: str | None = None,
@@ -88,10 +103,9 @@ def materialize(spark: SparkSession, sf_dir: str, root: str | None = None,
     if not force and fs.exists(marker):
         return final
     tmp = f"{root}/_tmp-{uuid.uuid4().hex}"
-    n = n_files_for(spark, sf_dir)
     tables = bindings.load_tables(spark, sf_dir)
     for name in bindings.BUILDERS:
-        write_table(tables[name], f"{tmp}/{name}", n)
+        write_table(tables[name], f"{tmp}/{name}", n_files_for(spark, sf_dir, name))
     _, tpath = _fs(spark, tmp)
     fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tmp + "/" + COMPLETE)).close()
     if fs.exists(fpath):
