@@ -11,8 +11,8 @@ Scale notes:
 * Dense dimension ids (B13) are assigned without a single-partition window: the distinct
   keys are range-partitioned by first-seen order, checkpointed (reliable, shared
   checkpoint folder), counted per partition, and each partition adds its offset.
-* The whole-column fallback of the jail build (B18) is a one-row aggregate broadcast
-  to every row, never a driver-side count.
+* The whole-column fallback of the jail build (B18) is a scalar subquery over the
+  table (computed once by the cluster), never a driver-side count.
 """
 
 from __future__ import annotations
@@ -235,8 +235,8 @@ def build_jail(raw: DataFrame) -> DataFrame:
                       parse_date(_col(raw, end)).alias("end_date"),
                       parse_number(_col(raw, days)).alias("_days"),
                       parse_number(_col(raw, cost)).alias("cost"))
-    n_days = rows.agg(F.count("_days").alias("_n_days"))
-    return (rows.crossJoin(F.broadcast(n_days))
+    n_days = rows.agg(F.count("_days").alias("_n_days")).scalar()
+    return (rows.withColumn("_n_days", n_days)
             .select("participant_id", "start_date", "end_date",
                     F.when(F.col("_n_days") == 0, F.date_diff("end_date", "start_date").cast("double"))
                     .otherwise(F.col("_days")).alias("days_incarcerated"), "cost")

@@ -1,8 +1,9 @@
 """DataFrame-level metric operators: totals, labelled metric rows, roll-ups, top-k.
 
 Design rules used throughout:
-* A grand total is a global aggregate, i.e. exactly one row; joining it with
-  ``crossJoin(broadcast(...))`` broadcasts one row whatever the data size.
+* A grand total is a global aggregate, i.e. exactly one row, attached to other rows as
+  scalar subqueries (``DataFrame.scalar()``): computed once, merged with sibling scalar
+  subqueries over the same aggregate by the optimizer, and no join at all.
 * Several labelled result rows (SQL ``UNION ALL`` arms over the same input) are produced
   from ONE aggregate pass and exploded with ``inline`` instead of re-scanning per arm.
 * Several ``COUNT(DISTINCT CASE ...)`` in one aggregate are replaced by one
@@ -19,20 +20,24 @@ from pyspark.sql import functions as F
 from ..functions.numeric import _c, round_ratio, round_real
 
 
+def scalars(total: DataFrame) -> list[Column]:
+    """The columns of a one-row aggregate as scalar-subquery Columns."""
+    return [total.select(F.col(f"`{c}`")).scalar().alias(c) for c in total.columns]
+
+
 def with_total(df: DataFrame, total: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate (scalar subquery) to every row.
 
-    ``total`` must be a global aggregate (``df.agg(...)``), which has exactly one row,
-    so the broadcast is bounded regardless of input size.
+    ``total`` must be a global aggregate (``df.agg(...)``), which has exactly one row.
     """
-    return df.crossJoin(F.broadcast(total))
+    return df.select("*", *scalars(total))
 
 
 def one_row(*parts: DataFrame) -> DataFrame:
     """Combine several one-row aggregates into one row."""
     out = parts[0]
     for p in parts[1:]:
-        out = out.crossJoin(F.broadcast(p))
+        out = out.select("*", *scalars(p))
     return out
 
 

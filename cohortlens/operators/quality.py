@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import metric_rows
+from .metrics import metric_rows, with_total
 
 
 def coverage(participant: DataFrame, children: dict[str, DataFrame], key: str = "participant_id",
@@ -20,7 +20,7 @@ def coverage(participant: DataFrame, children: dict[str, DataFrame], key: str =
     parts = []
     for name, child in children.items():
         present = ids.join(child.select(key), key, "left_semi").agg(F.count("*").alias("_n"))
-        parts.append(present.crossJoin(F.broadcast(total))
+        parts.append(with_total(present, total)
                      .select(F.lit(name).alias("table_name"), F.col("_n").alias("participants_present"),
                              F.col("_all").alias("participants_total"),
                              pct("_n", "_all", digits).alias("coverage_pct")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.aggs import ONE, flag
 from ..functions.bands import age_at, numeric_band
 from ..functions.intervals import recent
+from ..operators.metrics import one_row
 from ..sources.bindings import sql_with
 
 SPARK: dict = {}
@@ -229,7 +230,7 @@ def row_counts(t) -> DataFrame:
     a = t["participant"].agg(F.count(ONE).alias("Participants"))
     b = t["participant_charge"].agg(F.count(ONE).alias("Charges"))
     c = t["treatment_episode"].agg(F.count(ONE).alias("Treatment_Episodes"))
-    return (a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))
+    return (one_row(a, b, c)
             .select(F.lit("Database working").alias("Status"), "Participants", "Charges",
                     "Treatment_Episodes"))
 

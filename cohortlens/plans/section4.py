@@ -11,7 +11,7 @@ from ..functions.intervals import in_interval, in_lookback
 from ..functions.numeric import (pct, pct_unrounded, round_ratio, round_real, sql_pct,
                                  sql_pct_unrounded, sql_round_ratio, sql_round_real)
 from ..operators.metrics import (BEFORE_RATE_UPLIFT, DAILY_JAIL_COST, cost_model, metric_rows,
-                                 one_row, per_subject_flags)
+                                 one_row, per_subject_flags, with_total)
 from ..operators.temporal import flag_intervals
 from ..sources.bindings import sql_with
 from .section3 import charge_days
@@ -64,7 +64,7 @@ def exit_status_distribution(t) -> DataFrame:
     g = e.groupBy("end_status").agg(F.count(ONE).alias("Participant_Count"),
                                     F.avg("length_days").alias("_avg"))
     total = g.agg(F.sum("Participant_Count").alias("_all"))
-    return (g.crossJoin(F.broadcast(total))
+    return (with_total(g, total)
             .select(F.col("end_status").alias("End_Status"), "Participant_Count",
                     pct("Participant_Count", "_all").alias("Percentage"),
                     round_real("_avg", 1).alias("Average_Length_Days"))
