@@ -155,14 +155,18 @@ def raw_psychosocial(src) -> DataFrame:
 
 
 def raw_codes(src) -> DataFrame:
-    """Positional code list: (code, description) pairs side by side at 0,1 and 4,5."""
-    n = src("nation").select("n_nationkey", "n_name")
-    left = n.where(F.col("n_nationkey") < 13).select(F.col("n_nationkey").alias("_row"),
-                                                      F.concat(F.lit("D"), F.col("n_nationkey").cast("string")).alias("_c0"),
-                                                      F.col("n_name").alias("_c1"))
-    right = n.where(F.col("n_nationkey") >= 13).select((F.col("n_nationkey") - 13).alias("_row"),
-                                                        F.concat(F.lit("D"), F.col("n_nationkey").cast("string")).alias("_c4"),
-                                                        F.col("n_name").alias("_c5"))
+    """Positional code list: (code, description) pairs side by side at 0,1 and 4,5.
+
+    Built from ``part`` (grows with the scale factor): even part keys fill the left pair,
+    odd ones the right pair of the same record; codes repeat (every third key shares
+    one), so first-row-per-code and left-before-right ordering both matter."""
+    p = src("part").select("p_partkey", "p_name")
+    k = F.col("p_partkey")
+    code = F.concat(F.lit("C"), F.floor(k / 3).cast("string"))
+    left = p.where(k % 2 == 0).select((k / 2).cast("long").alias("_row"), code.alias("_c0"),
+                                      F.col("p_name").alias("_c1"))
+    right = p.where(k % 2 == 1).select(F.floor(k / 2).cast("long").alias("_row"), code.alias("_c4"),
+                                       F.col("p_name").alias("_c5"))
     return (left.join(right, "_row", "left")
             .select("_row", "_c0", "_c1", F.lit(None).cast("string").alias("_c2"),
                     F.lit(None).cast("string").alias("_c3"), "_c4", "_c5"))
@@ -278,11 +282,11 @@ RAW_SQL: dict[str, str] = {
          CAST(value AS VARCHAR) AS Score, event_type AS Event
   FROM events WHERE event_type = 'signup'""",
     "raw_codes": """
-  SELECT l.n_nationkey AS _row, 'D' || CAST(l.n_nationkey AS VARCHAR) AS _c0, l.n_name AS _c1,
+  SELECT l.p_partkey // 2 AS _row, 'C' || CAST(l.p_partkey // 3 AS VARCHAR) AS _c0, l.p_name AS _c1,
          CAST(NULL AS VARCHAR) AS _c2, CAST(NULL AS VARCHAR) AS _c3,
-         'D' || CAST(r.n_nationkey AS VARCHAR) AS _c4, r.n_name AS _c5
-  FROM nation l LEFT JOIN nation r ON r.n_nationkey = l.n_nationkey + 13
-  WHERE l.n_nationkey < 13""",
+         'C' || CAST(r.p_partkey // 3 AS VARCHAR) AS _c4, r.p_name AS _c5
+  FROM part l LEFT JOIN part r ON r.p_partkey = l.p_partkey + 1
+  WHERE l.p_partkey % 2 = 0""",
 }
 
 
