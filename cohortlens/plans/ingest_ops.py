@@ -399,11 +399,11 @@ def q_union_tagged(t):
     spark = t.spark
     root = scratch_path(spark, "ops", "union_tagged")
     r = raw(t, "raw_treatment")
-    names = ["MHC_Treatment_MH_FY24.csv", "MHC_Treatment_CD_FY24.csv", "MHC_Treatment_Historical.csv"]
+    names = ["Treatment_MH_FY24.csv", "Treatment_CD_FY24.csv", "Treatment_Historical.csv"]
     for n in names:
         (r.where(F.col("source_file") == n).drop("source_file", "_row")
          .write.option("header", True).csv(f"{root}/{n}"))
-    paths = [f"{root}/{n}" for n in names] + [f"{root}/MHC_Treatment_MH_FY23.csv"]  # last one is missing
+    paths = [f"{root}/{n}" for n in names] + [f"{root}/Treatment_MH_FY23.csv"]  # last one is missing
     tagged = csv_src.union_tagged(spark, paths, file_col="source_file")
     return ingest.build_treatment(tagged, "source_file")
 

@@ -133,9 +133,9 @@ def raw_treatment(src) -> DataFrame:
     e = (src("events").select("event_id", "user_id", "ts", "event_type", "value")
          .where(F.col("event_type").isin("view", "click", "purchase")))
     start = F.to_date("ts")
-    f = (F.when(F.col("event_type") == "view", "MHC_Treatment_MH_FY24.csv")
-         .when(F.col("event_type") == "click", "MHC_Treatment_CD_FY24.csv")
-         .otherwise("MHC_Treatment_Historical.csv"))
+    f = (F.when(F.col("event_type") == "view", "Treatment_MH_FY24.csv")
+         .when(F.col("event_type") == "click", "Treatment_CD_FY24.csv")
+         .otherwise("Treatment_Historical.csv"))
     return e.select(F.col("event_id").alias("_row"), _name(F.col("user_id")).alias("Client Name"),
                     _mdy(start).alias("Start Date"),
                     F.when(F.col("event_id") % 10 != 0,
@@ -273,8 +273,8 @@ RAW_SQL: dict[str, str] = {
               {_sql_mdy('CAST(ts AS DATE) + CAST(floor(value / 5) AS INTEGER)')} END AS {_q('End Date')},
          event_type AS {_q('Service Type')}, 'P' || CAST(event_id % 7 AS VARCHAR) AS Provider,
          CASE WHEN event_id % 4 = 0 THEN 'Completed' END AS Outcome,
-         CASE event_type WHEN 'view' THEN 'MHC_Treatment_MH_FY24.csv' WHEN 'click' THEN 'MHC_Treatment_CD_FY24.csv'
-              ELSE 'MHC_Treatment_Historical.csv' END AS source_file
+         CASE event_type WHEN 'view' THEN 'Treatment_MH_FY24.csv' WHEN 'click' THEN 'Treatment_CD_FY24.csv'
+              ELSE 'Treatment_Historical.csv' END AS source_file
   FROM events WHERE event_type IN ('view', 'click', 'purchase')""",
     "raw_psychosocial": f"""
   SELECT event_id AS _row, {_sql_name('user_id')} AS {_q('Client Name')},
