@@ -23,6 +23,7 @@ import hashlib
 import math
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -104,8 +105,13 @@ def materialize(spark: SparkSession, sf_dir: str, root: str | None = None,
         return final
     tmp = f"{root}/_tmp-{uuid.uuid4().hex}"
     tables = bindings.load_tables(spark, sf_dir)
-    for name in bindings.BUILDERS:
-        write_table(tables[name], f"{tmp}/{name}", n_files_for(spark, sf_dir, name))
+    # independent Spark jobs submitted concurrently: the small tables' jobs use the slots
+    # the big fact-table job leaves idle (largest first)
+    names = sorted(bindings.BUILDERS, key=lambda n: -n_files_for(spark, sf_dir, n))
+    plans = [(tables[n], f"{tmp}/{n}", n_files_for(spark, sf_dir, n)) for n in names]
+    with ThreadPoolExecutor(max_workers=min(4, len(plans))) as pool:
+        for f in [pool.submit(write_table, *p) for p in plans]:
+            f.result()
     _, tpath = _fs(spark, tmp)
     fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tmp + "/" + COMPLETE)).close()
     if fs.exists(fpath):
