@@ -21,8 +21,12 @@ from ..functions.numeric import _c, round_ratio, round_real
 
 
 def scalars(total: DataFrame) -> list[Column]:
-    """The columns of a one-row aggregate as scalar-subquery Columns."""
-    return [total.select(F.col(f"`{c}`")).scalar().alias(c) for c in total.columns]
+    """The columns of a one-row aggregate as Columns of ONE struct-valued scalar subquery."""
+    cols = total.columns
+    if len(cols) == 1:
+        return [total.select(F.col(f"`{cols[0]}`")).scalar().alias(cols[0])]
+    s = total.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_s")).scalar()
+    return [s.getField(c).alias(c) for c in cols]
 
 
 def with_total(df: DataFrame, total: DataFrame) -> DataFrame:
