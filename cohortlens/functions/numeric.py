@@ -24,10 +24,22 @@ def idiv(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def round_ratio(num, den, digits: int = 2, scale: int = 1) -> Column:
-    """round(num * scale / den, digits) for integral num/den, exact; NULL if den <= 0 or NULL."""
-    num, den = _c(num).cast("long"), _c(den).cast("long")
+    """round(num * scale / den, digits) for integral num/den, exact; NULL if den <= 0 or NULL.
+
+    With column names the whole expression is one SQL expression (a single round trip to
+    the JVM when building the plan); with Columns it is composed from functions.
+    """
     mult = 2 * scale * 10 ** digits
+    if isinstance(num, str) and isinstance(den, str):
+        n, d = f"CAST({_q(num)} AS BIGINT)", f"CAST({_q(den)} AS BIGINT)"
+        return F.expr(f"CASE WHEN {d} > 0 THEN CAST(CAST(signum({n}) AS BIGINT) * "
+                      f"div(abs({n}) * {mult} + {d}, {d} * 2) AS DOUBLE) / {float(10 ** digits)!r}D END")
+    num, den = _c(num).cast("long"), _c(den).cast("long")
     q = idiv(F.abs(num) * F.lit(mult) + den, den * F.lit(2))
     val = (F.signum(num).cast("long") * q).cast("double") / F.lit(float(10 ** digits))
     return F.when(den > 0, val)
@@ -46,8 +58,11 @@ def pct_unrounded(num, den) -> Column:
 
 def round_real(x, digits: int = 2) -> Column:
     """Half-away-from-zero rounding of a double by a fixed IEEE operation sequence."""
-    x = _c(x)
     p = float(10 ** digits)
+    if isinstance(x, str):
+        c = f"CAST({_q(x)} AS DOUBLE)"
+        return F.expr(f"signum({c}) * CAST(floor(abs({c}) * {p!r}D + 0.5D) AS DOUBLE) / {p!r}D")
+    x = _c(x)
     return F.signum(x) * F.floor(F.abs(x) * F.lit(p) + F.lit(0.5)).cast("double") / F.lit(p)
 
 

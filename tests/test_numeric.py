@@ -37,6 +37,11 @@ def test_spark_and_sql_twins_agree_on_a_grid(spark):
     s = {(r[0], r[1]): (r[2], r[3], r[4]) for r in df.select(
         "n", "m", pct("n", "m").alias("p"), round_ratio("n", "m", 1).alias("r"),
         pct_unrounded("n", "m").alias("u")).collect()}
+    # the Column-composed path equals the single-expression path
+    s_cols = {(r[0], r[1]): (r[2], r[3], r[4]) for r in df.select(
+        "n", "m", pct(F.col("n"), F.col("m")).alias("p"), round_ratio(F.col("n"), F.col("m"), 1).alias("r"),
+        pct_unrounded("n", "m").alias("u")).collect()}
+    assert s == s_cols
     con = duckdb.connect()
     con.execute("CREATE TABLE g(n BIGINT, m BIGINT)")
     con.executemany("INSERT INTO g VALUES (?, ?)", pairs)
@@ -46,6 +51,7 @@ def test_spark_and_sql_twins_agree_on_a_grid(spark):
     assert s == dd
     rf = spark.createDataFrame([(x,) for x in reals], "x double")
     s2 = sorted((r[0], r[1]) for r in rf.select("x", round_real("x", 2)).collect())
+    assert s2 == sorted((r[0], r[1]) for r in rf.select("x", round_real(F.col("x"), 2)).collect())
     con.execute("CREATE TABLE h(x DOUBLE)")
     con.executemany("INSERT INTO h VALUES (?)", [(x,) for x in reals])
     d2 = sorted(con.execute(f"SELECT x, {sql_round_real('x', 2)} FROM h").fetchall())
