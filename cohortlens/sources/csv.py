@@ -36,15 +36,14 @@ def read_csv_table(spark: SparkSession, path: str | Sequence[str], header: bool
 def union_tagged(spark: SparkSession, paths: Sequence[str], file_col: str = "source_file") -> DataFrame:
     """A4: several extracts -> one frame; each row tagged with its file path; missing
     files skipped; differing headers aligned by name (missing columns NULL)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     out = None
     for p in paths:
-        try:
-            df = read_csv_table(spark, p)
-        except Exception as ex:  # noqa: BLE001 - a missing file is skipped
-            if "PATH_NOT_FOUND" in str(ex) or "does not exist" in str(ex):
-                continue
-            raise
-        df = df.withColumn(file_col, F.col("_metadata.file_path"))
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        if not hp.getFileSystem(conf).exists(hp):  # a missing extract is skipped
+            continue
+        df = read_csv_table(spark, p).withColumn(file_col, F.col("_metadata.file_path"))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
         raise FileNotFoundError(f"none of {list(paths)} exists")
