@@ -97,7 +97,7 @@ def gap_from_first_event(intervals: DataFrame, events: DataFrame, id_col: str =
     """Interval rows joined to their subject's first event, with the day gap."""
     fe = first_event(events, id_col, date_col)
     return (intervals.join(fe, id_col)
-            .withColumn("gap_days", F.date_diff(F.col(start_col), F.col("first_date"))))
+            .withColumn("gap_days", F.date_diff(F.col(start_col), F.col("first_date")).cast("long")))
 
 
 def flag_intervals(intervals: DataFrame, events: DataFrame, keys: Sequence[str],

@@ -159,7 +159,7 @@ def recent_progress(t, as_of: str = AS_OF, days: int = 90, min_sessions: int = 5
            .agg(F.count_distinct("session_id").alias("total_sessions"),
                 F.sum(F.col("progress_score").cast("long")).alias("_s"),
                 F.count("progress_score").alias("_c"),
-                (F.max("progress_score") - F.min("progress_score")).alias("progress_range")))
+                (F.max("progress_score") - F.min("progress_score")).cast("long").alias("progress_range")))
     p = patients_view(t).select("patient_id", "name").distinct()
     j = p.join(per, "patient_id")
     return (j.where(F.col("total_sessions") >= min_sessions)

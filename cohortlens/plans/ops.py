@@ -133,7 +133,7 @@ FROM participant_diagnosis"""
 @op("delimited_count")
 def q_delim(t) -> DataFrame:
     n = delimited_count("diagnosis_description")
-    return t["participant_diagnosis"].select(PID, n.alias("n_items"), count_band(n).alias("complexity"))
+    return t["participant_diagnosis"].select(PID, n.cast("long").alias("n_items"), count_band(n).alias("complexity"))
 
 
 _N = "(length(diagnosis_description) - length(replace(diagnosis_description, ',', '')) + 1)"

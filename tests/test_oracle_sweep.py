@@ -30,12 +30,14 @@ def test_every_query_has_an_oracle_or_is_documented():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
-    df = QUERIES[name](spark, SF_SMALL)
-    s_cols, s_rows = df.columns, [tuple(r) for r in df.collect()]
-    res = duck.execute(ORACLE[name])
-    d_cols = [c[0] for c in res.description]
-    d_rows = res.fetchall()
+    s_tab = QUERIES[name](spark, SF_SMALL).toArrow()
+    d_tab = duck.sql(ORACLE[name]).to_arrow_table()
+    s_cols, d_cols = s_tab.column_names, d_tab.column_names
     assert sorted(s_cols) == sorted(d_cols)
+    # same Arrow type per column (int32 vs int64, date, double, string, bool)
+    assert {f.name: str(f.type) for f in s_tab.schema} == {f.name: str(f.type) for f in d_tab.schema}
+    s_rows = [tuple(r[c] for c in s_cols) for r in s_tab.to_pylist()]
+    d_rows = [tuple(r[c] for c in d_cols) for r in d_tab.to_pylist()]
     assert _rows(s_cols, s_rows) == _rows(d_cols, d_rows)
 
 
