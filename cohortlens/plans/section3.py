@@ -174,19 +174,22 @@ MIN_GROUP = 5
 
 @report("r3_5")
 def prior_class_outcome(t, min_group_size: int = MIN_GROUP) -> DataFrame:
-    co = t["charge_offense"].select("offense_id", "class")
-    pc = t["participant_charge"].select(PID, "offense_id", "charge_date").join(co, "offense_id")
-    days = pc.where(F.col("charge_date").isNotNull()).select(PID, "charge_date", "class",
-                                                            F.lit(1).cast("long").alias("n"))
+    # Participant-keyed joins first (one shuffle of the charges by id, the look-back filter
+    # applied in the join), then a per (id, offense) partial aggregate that needs no new
+    # exchange; only those reduced rows are shuffled for the dimension join.
+    pc = (t["participant_charge"].where(F.col("charge_date").isNotNull())
+          .select(PID, "offense_id", "charge_date"))
     e = (t["enrollment"].where(F.col("end_status").isin("Graduated", "Terminated"))
          .select(PID, "start_date", "end_status"))
     np_ = t["participant"].groupBy(PID).agg(F.count(ONE).alias("np"))
-    j = (days.join(e, PID).where(in_lookback("charge_date", "start_date"))
-         .join(np_, PID))
-    w = F.col("n") * F.col("np")
-    per = j.groupBy("class", PID).agg(
-        F.sum(F.when(F.col("end_status") == "Graduated", w).otherwise(0)).alias("g"),
-        F.sum(F.when(F.col("end_status") == "Terminated", w).otherwise(0)).alias("x"))
+    w = F.col("np")
+    per_offense = (pc.join(e, PID).where(in_lookback("charge_date", "start_date")).join(np_, PID)
+                   .groupBy(PID, "offense_id").agg(
+                       F.sum(F.when(F.col("end_status") == "Graduated", w).otherwise(0)).alias("g"),
+                       F.sum(F.when(F.col("end_status") == "Terminated", w).otherwise(0)).alias("x")))
+    co = t["charge_offense"].select("offense_id", "class")
+    per = (per_offense.join(co, "offense_id")
+           .groupBy("class", PID).agg(F.sum("g").alias("g"), F.sum("x").alias("x")))
     g = per.groupBy("class").agg(F.count(ONE).alias("Total_Participants"),
                                  F.sum("g").alias("Graduated"), F.sum("x").alias("Terminated"))
     return (g.where(F.col("Total_Participants") >= min_group_size)
