@@ -19,7 +19,8 @@ def coverage(participant: DataFrame, children: dict[str, DataFrame], key: str =
     total = ids.agg(F.count("*").alias("_all"))
     parts = []
     for name, child in children.items():
-        present = ids.join(child.select(key), key, "left_semi").agg(F.count("*").alias("_n"))
+        # distinct child keys first: a hot key is collapsed map-side before the semi join
+        present = ids.join(child.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("_n"))
         parts.append(with_total(present, total)
                      .select(F.lit(name).alias("table_name"), F.col("_n").alias("participants_present"),
                              F.col("_all").alias("participants_total"),

@@ -60,9 +60,12 @@ def _event_days(events: DataFrame, id_col: str, date_col: str) -> DataFrame:
 
 
 def with_any(left: DataFrame, right: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Rows of ``left`` with at least one matching row in ``right`` (EXISTS)."""
+    """Rows of ``left`` with at least one matching row in ``right`` (EXISTS).
+
+    The right side is reduced to its distinct keys first (a partial aggregate), so a key
+    holding a large share of ``right`` never reaches one semi-join task as raw rows."""
     keys = [key] if isinstance(key, str) else list(key)
-    return left.join(right.select(*keys), keys, "left_semi")
+    return left.join(right.select(*keys).distinct(), keys, "left_semi")
 
 
 def with_event_in_interval(intervals: DataFrame, events: DataFrame, window: str = "during",
