@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 
 def _reader(spark: SparkSession, header: bool):
+    # RFC 4180 quoting: a quote inside a quoted field is written as two quotes
     return (spark.read.option("header", header).option("ignoreLeadingWhiteSpace", True)
+            .option("quote", '"').option("escape", '"').option("multiLine", False)
             .option("inferSchema", False).option("mode", "PERMISSIVE"))
 
 
