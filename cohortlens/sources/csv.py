@@ -11,6 +11,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# ---- fixed values: tokens a pandas CSV read treats as missing by default ----
+NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+             "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
+def _null_tokens(df: DataFrame, tokens) -> DataFrame:
+    """Missing-value tokens -> NULL in every (string) column, one projection."""
+    if not tokens:
+        return df
+    return df.select(*[F.when(F.col(f"`{c}`").isin(list(tokens)), F.lit(None).cast("string"))
+                       .otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
+
 
 def _reader(spark: SparkSession, header: bool):
     # RFC 4180 quoting: a quote inside a quoted field is written as two quotes
@@ -20,19 +32,20 @@ def _reader(spark: SparkSession, header: bool):
 
 
 def read_csv_table(spark: SparkSession, path: str | Sequence[str], header: bool = True,
-                   names: Sequence[str] | None = None) -> DataFrame:
+                   names: Sequence[str] | None = None, na_tokens: Sequence[str] | None = NA_TOKENS) -> DataFrame:
     """A1/A2: read CSV as strings.
 
     header=True: the first line names the columns (names trimmed).
     header=False with ``names``: the first record is dropped and columns are taken by
     position (the dropped record is the header line of such files), renamed to ``names``
     or ``_c<i>``.
+    Values equal to one of ``na_tokens`` (default: pandas' missing-value tokens) are NULL.
     """
     df = _reader(spark, True).csv(path)
     if header:
-        return df.toDF(*[c.strip() for c in df.columns])
+        return _null_tokens(df.toDF(*[c.strip() for c in df.columns]), na_tokens)
     cols = list(names) if names else [f"_c{i}" for i in range(len(df.columns))]
-    return df.toDF(*cols[:len(df.columns)])
+    return _null_tokens(df.toDF(*cols[:len(df.columns)]), na_tokens)
 
 
 def union_tagged(spark: SparkSession, paths: Sequence[str], file_col: str = "source_file") -> DataFrame:

@@ -37,3 +37,11 @@ def test_header_names_trimmed_and_positional_read(spark):
     assert csv_src.read_csv_table(spark, path).columns == ["Code", "Description"]
     pos = csv_src.read_csv_table(spark, path, header=False, names=["c", "d"])
     assert [tuple(r) for r in pos.collect()] == [("1", "x")]
+
+
+def test_missing_value_tokens_read_as_null(spark):
+    path = scratch_path(spark, "test-na")
+    spark.createDataFrame([("N/A", "x"), ("NULL", "nan"), ("ok", "#N/A")], "a string, b string") \
+        .write.option("header", True).csv(path)
+    got = sorted(((r.a, r.b) for r in csv_src.read_csv_table(spark, path).collect()), key=str)
+    assert got == sorted([(None, "x"), (None, None), ("ok", None)], key=str)
