@@ -106,20 +106,26 @@ def gap_from_first_event(intervals: DataFrame, events: DataFrame, id_col: str =
 def flag_intervals(intervals: DataFrame, events: DataFrame, keys: Sequence[str],
                    window: str, days: int | None, flags: dict[str, Column],
                    id_col: str = "participant_id", date_col: str = "charge_date",
-                   start_col: str = "start_date", end_col: str = "end_date") -> DataFrame:
+                   start_col: str = "start_date", end_col: str = "end_date",
+                   interval_flags: dict[str, Column] | None = None) -> DataFrame:
     """Per (keys) 0/1 flags: does any event in the window satisfy each flag condition?
 
     Replaces ``intervals LEFT JOIN events`` + several ``COUNT(DISTINCT CASE ...)``:
     matching events come from an inner interval join (pre-aggregated events, skew
     splittable), every interval contributes a zero row through a union, and one
     ``groupBy(keys)`` with max() yields one row per key.  ``keys`` must be interval
-    columns and end with the subject id; flag conditions are over event columns.
+    columns and end with the subject id; ``flags`` are conditions over the matched
+    (event and interval) columns; ``interval_flags`` are conditions over interval columns
+    only, set on every interval whether or not it has events.
     """
+    interval_flags = interval_flags or {}
     ev = events.withColumnRenamed(id_col, "_ev_id").withColumnRenamed(date_col, "_ev_d")
     cond = _interval_cond(window, days, id_col, date_col, start_col, end_col)
+    iflags = [F.when(c, 1).otherwise(0).alias(n) for n, c in interval_flags.items()]
     matched = (intervals.join(ev, cond, "inner")
-               .select(*keys, *[F.when(c, 1).otherwise(0).alias(n) for n, c in flags.items()]))
-    zeros = intervals.select(*keys, *[F.lit(0).alias(n) for n in flags])
+               .select(*keys, *iflags, *[F.when(c, 1).otherwise(0).alias(n) for n, c in flags.items()]))
+    zeros = intervals.select(*keys, *iflags, *[F.lit(0).alias(n) for n in flags])
     subject = keys[-1]
+    names = [*interval_flags, *flags]
     return (zeros.unionByName(matched).where(F.col(subject).isNotNull())
-            .groupBy(*keys).agg(*[F.max(n).alias(n) for n in flags]))
+            .groupBy(*keys).agg(*[F.max(n).alias(n) for n in names]))

@@ -14,12 +14,11 @@ from ..operators.catalog import publish_reports
 from ..session import scratch_path
 from ..sources import csv as csv_src
 from ..sources import sinks
-from ..sources.bindings import BINDING_SQL, sql_with
-from ..sources.raw import RAW_BUILDERS, RAW_SQL, raw_sql_with
+from ..sources.bindings import sql_with
+from ..sources.raw import RAW_BUILDERS, raw_sql_with
 
 SPARK: dict = {}
 SQL: dict = {}
-RAW = '"'
 
 
 def op(name):

@@ -12,7 +12,7 @@ from ..functions.aggs import (ONE, avg_int_rounded, count_if_sum, distinct_if, f
 from ..functions.bands import (FISCAL_YEAR_BANDS, RISK_NORMS, age_at, band_rank, count_band,
                                delimited_count, numeric_band, prefix_band, relabel, year_band)
 from ..functions.intervals import in_followup, in_interval, in_lookback, recent
-from ..functions.numeric import pct, round_real, safe_div, sql_pct, sql_round_ratio, sql_round_real
+from ..functions.numeric import round_real, safe_div, sql_pct, sql_round_ratio, sql_round_real
 from ..functions.text import PTSD_WORDS, combo_label, has_any_keyword, has_no_keyword
 from ..operators import quality
 from ..operators.catalog import column_profile, preview, table_inventory
