@@ -285,6 +285,17 @@ BINDING_SQL: dict[str, str] = {
 }
 
 
+BODY_MARK = "/*@report*/"
+
+
 def sql_with(*names: str) -> str:
-    """WITH clause defining the named canonical tables for an oracle query."""
-    return "WITH " + ",\n".join(f"{n} AS ({BINDING_SQL[n]}\n)" for n in names) + "\n"
+    """WITH clause defining the named canonical tables for an oracle query.
+
+    Ends with ``BODY_MARK`` so tests can run the report body over other canonical tables."""
+    return "WITH " + ",\n".join(f"{n} AS ({BINDING_SQL[n]}\n)" for n in names) + "\n" + BODY_MARK + "\n"
+
+
+def report_body(sql: str) -> str:
+    """The part of an oracle query after the canonical-table CTEs (see ``sql_with``)."""
+    body = sql.split(BODY_MARK, 1)[1].lstrip()
+    return "WITH " + body[1:] if body.startswith(",") else body
