@@ -78,7 +78,13 @@ def _rows(cols, records):
     return sorted(tuple(_norm(r[i]) for i in order) for r in records)
 
 
-REPORTS = sorted(k for k in registry.reports() if k[0] in "rx" and k[1].isdigit())
+def _canonical_only(name):
+    from cohortlens.plans import ops
+    return name in ops.SPARK
+
+
+REPORTS = sorted(k for k in registry.reports()
+                 if (k[0] in "rx" and k[1].isdigit()) or _canonical_only(k))
 
 
 @pytest.fixture(scope="module")
