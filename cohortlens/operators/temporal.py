@@ -3,15 +3,19 @@
 Scale strategy
 --------------
 An interval join is an equi-join on the subject id plus a date residual.  If one subject
-holds a large share of all events, the partition of that id dominates.  Two defences:
-
-1. ``day_counts`` pre-aggregates events to (id, day[, keys]) with counts *before* the
-   join.  The aggregate is partial (map-side combine), and the number of distinct days
-   per subject is bounded by the calendar, so even a subject holding a third of all rows
-   shrinks to at most a few tens of thousands of rows before any shuffle.
-2. AQE's skew-join splitting handles whatever imbalance remains for inner joins; the
-   operators here use inner/semi/anti joins with the small (interval) side on the right
-   where the join type allows it, and replace LEFT OUTER joins by inner join + union.
+holds a large share of all events, the partition of that id dominates.  Defences:
+
+1. Counting queries use INNER interval joins on the raw events (one shuffle of the event
+   table).  AQE's skew-join handling splits a hot subject's partition into several tasks
+   (``tests/test_skew.py`` shows ``isSkewJoin=true``), and every aggregate after the join
+   is partial, so the hot subject is combined map-side.
+2. ``intervals LEFT JOIN events`` is never planned as an outer join (whose right side AQE
+   cannot split): ``flag_intervals`` unions an inner join with one zero row per interval.
+3. EXISTS / NOT EXISTS (semi/anti joins, whose right side cannot be split) first reduce
+   the events to distinct (id, day) pairs: a partial aggregate bounded per subject by the
+   calendar, whatever the subject's share of the rows.
+4. ``day_counts`` offers the same (id, day) pre-aggregation for counting queries when many
+   events share a day; it costs an extra shuffle of the facts otherwise.
 """
 
 from __future__ import annotations
