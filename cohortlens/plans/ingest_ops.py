@@ -49,14 +49,22 @@ def s_key_parts(last: str, first: str) -> str:
     return s_key(f"({s_strip(last)} || ', ' || {s_strip(first)})")
 
 
+# each DuckDB format guarded by the digit counts Spark's pattern accepts
+# (M/d/yyyy, yyyy-MM-dd, M/d/yy, M-d-yyyy)
+_DATE_SHAPES = [("%m/%d/%Y", r"^\d{1,2}/\d{1,2}/\d{4}$"), ("%Y-%m-%d", r"^\d{4}-\d{2}-\d{2}$"),
+                ("%m/%d/%y", r"^\d{1,2}/\d{1,2}/\d{2}$"), ("%m-%d-%Y", r"^\d{1,2}-\d{1,2}-\d{4}$")]
+
+
 def s_date(x: str) -> str:
     s = s_strip(x)
-    fmts = ["%m/%d/%Y", "%Y-%m-%d", "%m/%d/%y", "%m-%d-%Y"]
-    return "coalesce(" + ", ".join(f"CAST(try_strptime({s}, '{f}') AS DATE)" for f in fmts) + ")"
+    return "coalesce(" + ", ".join(
+        f"CASE WHEN regexp_matches({s}, '{shape}') THEN CAST(try_strptime({s}, '{f}') AS DATE) END"
+        for f, shape in _DATE_SHAPES) + ")"
 
 
 def s_num(x: str) -> str:
-    return f"TRY_CAST({s_strip(x)} AS DOUBLE)"
+    s = s_strip(x)
+    return f"(CASE WHEN strpos({s}, '_') = 0 THEN TRY_CAST({s} AS DOUBLE) END)"
 
 
 def s_clean(x: str, upper: bool = False) -> str:

@@ -106,3 +106,22 @@ def test_b23_codes_left_pairs_before_right(spark):
                                 "_row long, a string, b string, c string, d string, e string, f string")
     got = sorted(one(ingest.build_diagnosis_codes(raw)))
     assert got == [("C1", "one"), ("C2", "dup"), ("C3", "three")]
+
+
+def test_parsing_twins_agree_on_awkward_inputs(spark):
+    import duckdb
+
+    from cohortlens.plans.ingest_ops import s_date, s_num
+    vals = ["1/2/2024", "01/02/2024", "2/29/2023", "13/1/2024", "1/2/24", "1/2/0024", " 1/2/2024 ",
+            "2024-03-04", "2024-3-4", "2024-03-04T10:00:00", "3-4-2024", "1/2/2024 10:00", "", "nan",
+            "0/0/2024", "2024/03/04", "\t1/2/2024\n", "12", "1e3", "1,000", "$5", "-3.5", "1_000", ".5", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
+    s = [(r[0], r[1]) for r in df.orderBy("i").select(parse_date("v"), parse_number("v")).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(i INT, v VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(vals)))
+    d = con.execute(f"SELECT {s_date('v')}, {s_num('v')} FROM t ORDER BY i").fetchall()
+
+    def norm(rows):
+        return [tuple("NaN" if isinstance(x, float) and x != x else x for x in r) for r in rows]
+    assert norm(s) == norm(d)
