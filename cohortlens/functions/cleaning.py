@@ -18,11 +18,15 @@ from .numeric import _c
 
 # ---- fixed values: default date formats tried in order (month first) ----
 DATE_FORMATS = ["M/d/yyyy", "yyyy-MM-dd", "M/d/yy", "M-d-yyyy"]
+# ---- fixed values: the characters Python's str.strip() treats as whitespace ----
+WS_CLASS = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+STRIP_PATTERN = f"^{WS_CLASS}+|{WS_CLASS}+$"
 
 
 def strip_ws(col) -> Column:
-    """Remove leading/trailing whitespace of any kind (not only spaces)."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    """Remove leading/trailing whitespace as Python's ``str.strip()`` does (any kind)."""
+    return F.regexp_replace(_c(col), STRIP_PATTERN, "")
 
 
 def person_key(col) -> Column:

@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import (clean_text, collapse_flags, parse_date, parse_number, person_key,
-                                  person_key_from_parts, replace_token, split_name)
+from ..functions.cleaning import (STRIP_PATTERN, clean_text, collapse_flags, parse_date, parse_number,
+                                  person_key, person_key_from_parts, replace_token, split_name)
 from ..operators import ingest
 from ..operators.catalog import publish_reports
 from ..session import scratch_path
@@ -38,7 +38,7 @@ def q(col: str) -> str:
 
 # ------------------------------------------------------------------ SQL twins of the cleaning
 def s_strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '{STRIP_PATTERN}', '', 'g')"
 
 
 def s_key(x: str) -> str:

@@ -125,3 +125,19 @@ def test_parsing_twins_agree_on_awkward_inputs(spark):
     def norm(rows):
         return [tuple("NaN" if isinstance(x, float) and x != x else x for x in r) for r in rows]
     assert norm(s) == norm(d)
+
+
+def test_whitespace_twins_match_python_strip(spark):
+    import duckdb
+
+    from cohortlens.plans.ingest_ops import s_clean, s_key
+    vals = ["\x0bDoe, J\x0b", "　Doe, J ", "\xa0Doe, J\xa0", " Doe , J. ", "  ", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
+    s = [tuple(r) for r in df.orderBy("i").select(person_key("v"), clean_text("v")).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(i INT, v VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(vals)))
+    d = [tuple(r) for r in con.execute(f"SELECT {s_key('v')}, {s_clean('v')} FROM t ORDER BY i").fetchall()]
+    assert s == d
+    expect = [None if v is None else (v.strip() or None) for v in vals]  # Python's strip
+    assert [r[1] for r in s] == expect
