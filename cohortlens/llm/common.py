@@ -16,14 +16,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
+    Python stages in it get Arrow batches of ``batch_rows`` rows, for bounded memory.
     Cuts lineage: a lost executor re-reads files instead of recomputing what came before.
     The files go when the application ends (``deleteOnExit`` of their file system)."""
     spark = df.sparkSession
     path = scratch_path(spark, "llm", name)
-    df.write.parquet(path)
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(conf, before)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
@@ -67,6 +74,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_TERM = np.zeros(256, dtype=bool)
+_TERM[48:58] = _TERM[65:91] = _TERM[97:123] = _TERM[128:] = True
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -90,30 +99,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the white-space separated words of a block, A-Z lower-cased.
-
-    Returns (hashes, first word of each row and the end): words never cross rows."""
-    n = len(buf)
-    rows = len(off) - 1
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    word = ~_SPACE[buf]
+def _edges(word: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte of each maximal run of ``word`` bytes; runs end at row ends."""
+    n = len(word)
     brk = np.zeros(n + 1, dtype=bool)
     brk[off] = True
     start = word.copy()
     start[1:] &= ~word[:-1] | brk[1:n]
     end = word.copy()
     end[:-1] &= ~word[1:] | brk[1:n]
-    s = np.flatnonzero(start)
-    e = np.flatnonzero(end)
+    return np.flatnonzero(start), np.flatnonzero(end)
+
+
+def _running(buf: np.ndarray) -> np.ndarray:
     acc = _BYTE[_LOWER[buf]]
-    acc *= _powers("p", _P, n)
+    acc *= _powers("p", _P, len(buf))
     np.cumsum(acc, out=acc)
+    return acc
+
+
+def _span_hash(acc: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans s..e (inclusive), whatever their place."""
     h = acc[e] - np.where(s > 0, acc[s - 1], np.uint64(0))
-    h *= _powers("i", _P_INV, n)[s]
-    h = mix(h ^ (e - s).astype(np.uint64))
-    return h, np.searchsorted(s, off)
+    h *= _powers("i", _P_INV, len(acc))[s]
+    return mix(h ^ (e - s).astype(np.uint64))
+
+
+def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the white-space separated words of a block, A-Z lower-cased.
+
+    Returns (hashes, first word of each row and the end): words never cross rows."""
+    if len(buf) == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    s, e = _edges(~_SPACE[buf], off)
+    return _span_hash(_running(buf), s, e), np.searchsorted(s, off)
+
+
+def term_hashes(buf: np.ndarray, off: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the terms of a block: words of ASCII letters, digits and bytes over 127,
+    A-Z lower-cased, and the leading ``prefixes`` bytes of longer words."""
+    if len(buf) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    s, e = _edges(_TERM[buf], off)
+    acc = _running(buf)
+    row = np.searchsorted(off, s, side="right") - 1
+    rows, hashes = [row], [_span_hash(acc, s, e)]
+    for k in prefixes:
+        long = e - s >= k
+        rows.append(row[long])
+        hashes.append(mix(_span_hash(acc, s[long], s[long] + k - 1) + np.uint64(k)))
+    return np.concatenate(rows), np.concatenate(hashes)
 
 
 def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:

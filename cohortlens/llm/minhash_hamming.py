@@ -10,7 +10,8 @@ threshold lie, but for a probability under about 1e-5, within
 The signature is cut into m = ceil((r + 1) / 2) chunks: by the pigeonhole principle, two
 signatures within r differ in at most one component of some chunk.  Chunk errors are
 enumerated by leaving out one component of the chunk in turn, so such a pair shares a key;
-every pair within r is a candidate, and candidates are confirmed on their full sets.
+every pair within r is a candidate.  Candidates within a wider distance (6.5 standard
+deviations, so that no likely link goes) are confirmed on their full sets.
 
 Shape of the job (nothing expands into all pairs of a group of copies):
 
@@ -47,10 +48,15 @@ _MUL = _RNG.integers(0, 1 << 64, 1024, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 64, 1024, dtype=np.uint64)
 
 
+def reach(components: int, similarity: float, deviations: float) -> int:
+    """Distance that pairs of a similarity exceed only beyond so many standard deviations."""
+    p = 1 - similarity
+    return math.ceil(components * p + deviations * math.sqrt(components * p * (1 - p)))
+
+
 def chunks(components: int, similarity: float) -> list[tuple[int, int]]:
     """(start, length) of the chunks that guarantee the distance threshold."""
-    p = 1 - similarity
-    r = math.ceil(components * p + 4.7 * math.sqrt(components * p * (1 - p)))
+    r = reach(components, similarity, 4.7)
     m = min(-(-(r + 1) // 2), components // 2)
     cuts = [components * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -118,6 +124,17 @@ def _confirm(num: int, den: int):
     return run
 
 
+def _near(reach: int):
+    """Keep the pairs whose signatures differ in at most ``reach`` components."""
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), -1) for c in ("ga", "gb"))
+            yield b.select(["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= reach))
+    return run
+
+
 def _links(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int, name: str) -> DataFrame:
     """Of candidate pairs (a, b), those confirmed on full sets, as a written table."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -169,6 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                 "id long, n_shingles long, k1 long, k2 long, sig binary"), "near-signatures")
     classes = (sigs.where("n_shingles > 0 and id is not null").groupBy("n_shingles", "k1", "k2")
                .agg(F.min("id").alias("id"), F.min("sig").alias("sig")))
+    classes = written(classes, "near-classes")
     keys = [F.xxhash64(F.lit(start * 64 + i), F.substring("sig", start + 1, i),
                        F.substring("sig", start + i + 2, length - i - 1))
             for start, length in chunks(components, num / den) for i in range(length)]
@@ -182,8 +200,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fits = "{den} * least(n, n2) >= {num} * greatest(n, n2)".format(num=num, den=den)
     hubs = entries.where("id = hub").select("key", F.col("n").alias("n2")).dropDuplicates(["key"])
     star = entries.where("id <> hub").join(hubs, "key").where(fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    near = _near(reach(components, num / den, 6.5))
+
+    def within(pairs):  # wider than the guaranteed distance: only hopeless pairs go
+        g = classes.select("id", "sig")
+        both = (pairs.join(g.select(F.col("id").alias("a"), F.col("sig").alias("ga")), "a")
+                .join(g.select(F.col("id").alias("b"), F.col("sig").alias("gb")), "b"))
+        return both.select("a", "b", "ga", "gb").mapInArrow(near, "a long, b long")
+
     tested = written(star, "near-star")
-    links = _links(tested, texts, shingle, num, den, "near-star")
+    links = _links(written(within(tested), "near-star-within"), texts, shingle, num, den, "near-star")
     labels = written(components_of(links), "near-labels")
 
     left = _labelled(entries, labels)
@@ -196,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dense = left.where(F.col("size") > SMALL_KEY).groupBy("id").agg(F.first("label").alias("label"))
     prefix = _prefix_pairs(dense, texts, shingle, num, den)
     pairs = written(direct.union(prefix).distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
-    links = links.union(_links(pairs, texts, shingle, num, den, "near-rest"))
+    links = links.union(_links(written(within(pairs), "near-pairs-within"), texts, shingle, num, den, "near-rest"))
     labels = written(components_of(links), "near-components")
 
     classes = classes.select("n_shingles", "k1", "k2", F.col("id").alias("rep"))

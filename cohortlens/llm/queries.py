@@ -4,15 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import packing, quality_cnn, toxicity_fm
 from .common import read_table
 from .minhash_hamming import near_duplicates
 
 
+def op3_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_cnn.score_documents(docs, quality_cnn.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity_fm.score_documents(docs, toxicity_fm.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, threshold=(85, 100))
 
 
 SPARK = {
+    "op3_quality_cnn": op3_quality_cnn,
+    "op5_toxicity_fm": op5_toxicity_fm,
+    "op8_packing": op8_packing,
     "op10_minhash_hamming": op10_minhash_hamming,
 }
 
