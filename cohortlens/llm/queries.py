@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_cnn, toxicity_fm
+from . import decontamination, line_winnowing, packing, quality_cnn, toxicity_fm
 from .common import read_table
 from .minhash_hamming import near_duplicates
 
 
+def op2_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_winnowing.dedup_lines(docs, count_col="n_deleted")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(read_table(spark, sf_dir, "documents"),
+                                         read_table(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op3_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality_cnn.score_documents(docs, quality_cnn.train(docs, read_table(spark, sf_dir, "labels")))
@@ -28,10 +38,15 @@ def op10_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPARK = {
+    "op2_line_winnowing": op2_line_winnowing,
+    "op6_decontamination": op6_decontamination,
     "op3_quality_cnn": op3_quality_cnn,
     "op5_toxicity_fm": op5_toxicity_fm,
     "op8_packing": op8_packing,
     "op10_minhash_hamming": op10_minhash_hamming,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_line_winnowing": line_winnowing.oracle(),
+    "op6_decontamination": decontamination.oracle(),
+}
