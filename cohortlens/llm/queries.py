@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_windows, decontamination, line_winnowing, packing, quality_cnn, toxicity_fm, url_graph
+from . import chat_windows, decontamination, hnsw, line_winnowing, packing, quality_cnn, toxicity_fm, url_graph
 from .common import read_table
 from .minhash_hamming import near_duplicates
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_winnowing.dedup_lines(docs, count_col="n_deleted")
@@ -54,6 +59,7 @@ def op10_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPARK = {
+    "op1_hnsw": op1_hnsw,
     "op4_chat_windows": op4_chat_windows,
     "op7_url_graph": op7_url_graph,
     "op2_line_winnowing": op2_line_winnowing,
