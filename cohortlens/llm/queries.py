@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, decontamination, hnsw, line_winnowing, packing, quality_cnn, toxicity_fm, url_graph
+from . import chat_windows, decontamination, hnsw, line_winnowing, packing, pii_crf, quality_cnn, toxicity_fm, url_graph
 from .common import read_table
 from .minhash_hamming import near_duplicates
 
@@ -58,7 +58,12 @@ def op10_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, threshold=(85, 100))
 
 
+def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.digests(pii_crf.find_pii(read_table(spark, sf_dir, "documents")))
+
+
 SPARK = {
+    "op9_pii_crf": op9_pii_crf,
     "op1_hnsw": op1_hnsw,
     "op4_chat_windows": op4_chat_windows,
     "op7_url_graph": op7_url_graph,
