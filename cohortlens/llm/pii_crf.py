@@ -374,5 +374,7 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def joined(c):
         return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select(id_col, *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    def count(kind):
+        return F.size(F.filter("base", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(id_col, *map(count, KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
