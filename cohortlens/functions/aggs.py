@@ -29,8 +29,12 @@ def distinct_if(cond, id_col) -> Column:
     return F.count_distinct(F.when(_c(cond), _c(id_col)))
 
 
-def pct_true(cond, digits: int = 2) -> Column:
-    """E5: ROUND(AVG(CASE WHEN cond THEN 1 ELSE 0 END) * 100, digits), exact."""
+def pct_true(cond, digits: int = 2, weight: str | None = None) -> Column:
+    """E5: ROUND(AVG(CASE WHEN cond THEN 1 ELSE 0 END) * 100, digits), exact.
+
+    ``weight``: column with the number of rows that each (pre-reduced) row stands for."""
+    if weight:
+        return pct(F.sum(flag(cond) * F.col(weight)), F.sum(weight), digits)
     return pct(F.sum(flag(cond)), F.count(ONE), digits)
 
 

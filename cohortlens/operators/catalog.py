@@ -67,7 +67,7 @@ def publish_reports(spark: SparkSession, reports: dict[str, Callable], tables, o
             rows = spark.read.parquet(f"{out_dir}/{name}").count()
             log.append((name, True, int(rows), round(time.perf_counter() - t0, 4), None))
         except Exception as ex:  # noqa: BLE001 - recorded in the run log
-            log.append((name, False, 0, round(time.perf_counter() - t0, 4), str(ex)[:500]))
+            log.append((name, False, 0, round(time.perf_counter() - t0, 4), str(ex)))
     schema = "report_name string, ok boolean, row_count long, seconds double, error string"
     run_log = spark.createDataFrame(log, schema)
     run_log.coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/_run_log")

@@ -20,6 +20,14 @@ from pyspark.sql import functions as F
 from ..functions.numeric import _c, round_ratio, round_real
 
 
+def charge_counts(t) -> DataFrame:
+    """Charges reduced to one row per (participant, offense): n, dated (with a charge date) and
+    convicted.  Reports join these rows, not the raw facts, to the offense dimension."""
+    return t["participant_charge"].groupBy("participant_id", "offense_id").agg(
+        F.count("*").alias("n"), F.count("charge_date").alias("dated"),
+        F.sum(F.when(F.col("outcome") == "Convicted", 1).otherwise(0)).alias("convicted"))
+
+
 def scalars(total: DataFrame) -> list[Column]:
     """The columns of a one-row aggregate as Columns of ONE struct-valued scalar subquery."""
     cols = total.columns
@@ -89,17 +97,10 @@ def per_subject_summary(events: DataFrame, id_col: str, value: Column | None = N
                    F.sum("n").alias("Total"))
 
 
-def pop_stddev(x, method: str = "moments") -> Column:
-    """Population standard deviation.
-
-    ``moments`` = sqrt(E[x^2] - E[x]^2) exactly as the reports define it (NULL if the
-    difference is negative through rounding noise); ``stable`` = Spark's ``stddev_pop``.
-    """
-    x = _c(x)
-    if method == "stable":
-        return F.stddev_pop(x)
-    v = F.avg(x * x) - F.avg(x) * F.avg(x)
-    return F.when(v >= 0, F.sqrt(v))
+def pop_stddev(x) -> Column:
+    """Population standard deviation by merged central moments, which do not cancel
+    where the mean is large against the spread."""
+    return F.stddev_pop(_c(x))
 
 
 def with_total_row(df: DataFrame, key: str, aggs: dict[str, Column], label: str = "TOTAL") -> DataFrame:
@@ -108,7 +109,8 @@ def with_total_row(df: DataFrame, key: str, aggs: dict[str, Column], label: str
     Rows with a NULL key still count in the total, but their own group row is dropped
     (the SQL shape is a grouped arm with ``key IS NOT NULL`` plus a total arm).
     Only use with aggregates that are correct at every rollup level (counts, sums,
-    count_distinct computed per level).
+    count_distinct computed per level), over rows already reduced to (key, subject): the
+    roll-up expands what it reads.
     """
     g = df.rollup(key).agg(*[c.alias(n) for n, c in aggs.items()], F.grouping_id().alias("_gid"))
     return (g.where((F.col("_gid") == 1) | F.col(key).isNotNull())

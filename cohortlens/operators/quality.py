@@ -16,19 +16,17 @@ def coverage(participant: DataFrame, children: dict[str, DataFrame], key: str =
     their share of all participants."""
     from ..functions.numeric import pct
     ids = participant.select(key).where(F.col(key).isNotNull()).distinct()
-    total = ids.agg(F.count("*").alias("_all"))
-    parts = []
+    seen = None
     for name, child in children.items():
-        # distinct child keys first: a hot key is collapsed map-side before the semi join
-        present = ids.join(child.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("_n"))
-        parts.append(with_total(present, total)
-                     .select(F.lit(name).alias("table_name"), F.col("_n").alias("participants_present"),
-                             F.col("_all").alias("participants_total"),
-                             pct("_n", "_all", digits).alias("coverage_pct")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        # distinct (table, key) first: a hot key is collapsed map-side
+        part = child.select(F.lit(name).alias("table_name"), key).distinct()
+        seen = part if seen is None else seen.unionByName(part)
+    counts = seen.join(ids, key).groupBy("table_name").agg(F.count("*").alias("_n"))
+    names = participant.sparkSession.createDataFrame([(n,) for n in children], "table_name string")
+    counts = names.join(counts, "table_name", "left").fillna(0, ["_n"])
+    return (with_total(counts, ids.agg(F.count("*").alias("_all")))
+            .select("table_name", F.col("_n").alias("participants_present"),
+                    F.col("_all").alias("participants_total"), pct("_n", "_all", digits).alias("coverage_pct")))
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:
@@ -38,6 +36,24 @@ def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | Non
     return child.where(F.col(key).isNotNull()).join(p, F.col(key) == F.col("_pk"), "left_anti")
 
 
+def orphan_counts(tables, keys: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """Q2 for many (child, child key, parent, parent key) at once: rows per child without a
+    parent, from one join of the children's key counts with the parents' keys."""
+    counts = parents = None
+    for child, ck, parent, pk in keys:
+        part = (tables[child].where(F.col(ck).isNotNull()).groupBy(F.col(ck).cast("string").alias("k"))
+                .agg(F.count("*").alias("n"))
+                .select(F.lit(child).alias("child_table"), F.lit(ck).alias("child_key"), F.lit(parent).alias("parent_table"), "k", "n"))
+        counts = part if counts is None else counts.unionByName(part)
+    for parent, pk in dict.fromkeys((p, k) for _, _, p, k in keys):
+        part = tables[parent].select(F.lit(parent).alias("parent_table"), F.col(pk).cast("string").alias("k")).distinct()
+        parents = part if parents is None else parents.unionByName(part)
+    lost = (counts.join(parents, ["parent_table", "k"], "left_anti")
+            .groupBy("child_table", "child_key", "parent_table").agg(F.sum("n").alias("orphan_rows")))
+    every = counts.sparkSession.createDataFrame([x[:3] for x in keys], "child_table string, child_key string, parent_table string")
+    return every.join(lost, ["child_table", "child_key", "parent_table"], "left").fillna(0, ["orphan_rows"])
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Q3: key values occurring more than once, with their count."""
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > 1)

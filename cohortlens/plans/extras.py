@@ -1,9 +1,8 @@
-"""Dashboard sample queries (x1 .. x6) over views derived from the canonical tables.
+"""Ad-hoc example queries (x1 .. x6) over person-level views of the canonical tables.
 
-The sample queries are written against generic ``patients``, ``mental_health_records``,
-``criminal_records`` and ``treatment_sessions`` tables.  Those are defined here as views of
-the canonical tables (``*_view`` functions, each with a SQL twin), and every relative-date
-filter uses an explicit as-of date instead of the wall clock.
+Each view is a ``*_view`` function with a SQL twin.  Views that count people have one row per
+person and value, so several enrolments or assessments never count a person twice.
+Relative-date filters use an explicit as-of date instead of the wall clock.
 """
 
 from __future__ import annotations
@@ -34,9 +33,9 @@ def report(name):
 
 # ---------------------------------------------------------------- derived views
 def patients_view(t) -> DataFrame:
-    """patient_id, name, age (whole years at enrolment start; NULL without enrolment)."""
+    """patient_id, name, age (whole years at the first enrolment; NULL without one)."""
     p = t["participant"]
-    e = t["enrollment"].select(PID, "start_date")
+    e = t["enrollment"].groupBy(PID).agg(F.min("start_date").alias("start_date"))
     return (p.join(e, PID, "left")
             .select(F.col(PID).alias("patient_id"),
                     F.concat_ws(" ", "first_name", "last_name").alias("name"),
@@ -46,15 +45,17 @@ def patients_view(t) -> DataFrame:
 _PATIENTS_SQL = """patients AS (
   SELECT p.participant_id AS patient_id, concat_ws(' ', p.first_name, p.last_name) AS name,
          CAST(trunc(date_diff('day', p.date_of_birth, e.start_date) / 365.25) AS INTEGER) AS age
-  FROM participant p LEFT JOIN enrollment e ON p.participant_id = e.participant_id)"""
+  FROM participant p LEFT JOIN (SELECT participant_id, MIN(start_date) AS start_date FROM enrollment
+                                GROUP BY participant_id) e ON p.participant_id = e.participant_id)"""
 
 
-def mental_health_records_view(t, as_of: str = AS_OF) -> DataFrame:
-    """Diagnosis rows with the code's name, the subject's risk score as severity and an
-    'active' status when assessed within the year before ``as_of``."""
-    pd = t["participant_diagnosis"]
-    dc = t["diagnosis_code"]
-    ra = t["risk_assessment"].select(PID, "risk_score")
+def diagnosed_people_view(t, as_of: str = AS_OF) -> DataFrame:
+    """One row per (person, diagnosis code): the code's name, the person's highest risk score as
+    severity and an 'active' status when last assessed within the year before ``as_of``."""
+    pd = (t["participant_diagnosis"].groupBy(PID, "diagnosis_code")
+          .agg(F.max("assessment_date").alias("assessment_date")))
+    dc = t["diagnosis_code"].groupBy("code").agg(F.min("description").alias("description"))
+    ra = t["risk_assessment"].groupBy(PID).agg(F.max("risk_score").alias("risk_score"))
     return (pd.join(dc, pd.diagnosis_code == dc.code, "left").join(ra, PID)
             .select(PID, "diagnosis_code", F.col("description").alias("diagnosis_name"),
                     F.col("risk_score").alias("severity_score"),
@@ -62,26 +63,12 @@ def mental_health_records_view(t, as_of: str = AS_OF) -> DataFrame:
                     .alias("status")))
 
 
-_MHR_SQL = f"""mental_health_records AS (
-  SELECT pd.participant_id, pd.diagnosis_code, dc.description AS diagnosis_name,
-         ra.risk_score AS severity_score,
-         CASE WHEN pd.assessment_date >= DATE '{AS_OF}' - INTERVAL 365 DAY THEN 'active' ELSE 'inactive' END
-             AS status
-  FROM participant_diagnosis pd LEFT JOIN diagnosis_code dc ON pd.diagnosis_code = dc.code
-  JOIN risk_assessment ra ON pd.participant_id = ra.participant_id)"""
-
-
-def criminal_records_view(t) -> DataFrame:
-    co = t["charge_offense"]
-    return (t["participant_charge"].join(co, "offense_id")
-            .select(PID, F.col("offense_name").alias("offense_type"),
-                    F.col("class").alias("severity_level"), F.col("charge_date").alias("date_occurred")))
-
-
-_CR_SQL = """criminal_records AS (
-  SELECT pc.participant_id, co.offense_name AS offense_type, co.class AS severity_level,
-         pc.charge_date AS date_occurred
-  FROM participant_charge pc JOIN charge_offense co ON pc.offense_id = co.offense_id)"""
+_DIAGNOSED_SQL = f"""seen AS (
+  SELECT participant_id, diagnosis_code,
+         COALESCE(MAX(assessment_date) >= DATE '{AS_OF}' - INTERVAL 365 DAY, FALSE) AS active
+  FROM participant_diagnosis GROUP BY ALL),
+named AS (SELECT code, MIN(description) AS diagnosis_name FROM diagnosis_code GROUP BY code),
+worst AS (SELECT participant_id, MAX(risk_score) AS severity_score FROM risk_assessment GROUP BY participant_id)"""
 
 
 def treatment_sessions_view(t) -> DataFrame:
@@ -119,33 +106,35 @@ FROM patients GROUP BY age_group"""
 # ---------------------------------------------------------------- x2 active diagnoses
 @report("x2")
 def active_diagnoses(t, as_of: str = AS_OF) -> DataFrame:
-    m = mental_health_records_view(t, as_of).where(F.col("status") == "active")
+    m = diagnosed_people_view(t, as_of).where(F.col("status") == "active")
     return (m.groupBy("diagnosis_code", "diagnosis_name")
             .agg(F.count(ONE).alias("patient_count"), F.avg("severity_score").alias("avg_severity"))
             .orderBy(F.desc("patient_count"), "diagnosis_code"))
 
 
-SQL["x2"] = sql_with("participant_diagnosis", "diagnosis_code", "risk_assessment") + ", " + _MHR_SQL + """
-SELECT diagnosis_code, diagnosis_name, COUNT(*) AS patient_count,
-       SUM(severity_score) / COUNT(severity_score) AS avg_severity
-FROM mental_health_records WHERE status = 'active'
-GROUP BY diagnosis_code, diagnosis_name"""
+SQL["x2"] = sql_with("participant_diagnosis", "diagnosis_code", "risk_assessment") + ", " + _DIAGNOSED_SQL + """
+SELECT diagnosis_code, diagnosis_name, COUNT(DISTINCT participant_id) AS patient_count, AVG(severity_score) AS avg_severity
+FROM seen JOIN worst USING (participant_id) LEFT JOIN named ON diagnosis_code = code
+WHERE active GROUP BY ALL"""
 
 
 # ---------------------------------------------------------------- x3 offense span
 @report("x3")
 def offense_span(t) -> DataFrame:
-    c = criminal_records_view(t)
-    return (c.groupBy("offense_type", "severity_level")
-            .agg(F.count(ONE).alias("offense_count"), F.min("date_occurred").alias("earliest_offense"),
-                 F.max("date_occurred").alias("latest_offense"))
+    # count, min and max decompose: reduce per offense id, then join the few rows left
+    per = t["participant_charge"].groupBy("offense_id").agg(
+        F.count(ONE).alias("n"), F.min("charge_date").alias("lo"), F.max("charge_date").alias("hi"))
+    return (per.join(t["charge_offense"], "offense_id")
+            .groupBy(F.col("offense_name").alias("offense_type"), F.col("class").alias("severity_level"))
+            .agg(F.sum("n").alias("offense_count"), F.min("lo").alias("earliest_offense"),
+                 F.max("hi").alias("latest_offense"))
             .orderBy(F.desc("offense_count"), "offense_type", "severity_level"))
 
 
-SQL["x3"] = sql_with("participant_charge", "charge_offense") + ", " + _CR_SQL + """
-SELECT offense_type, severity_level, COUNT(*) AS offense_count,
-       MIN(date_occurred) AS earliest_offense, MAX(date_occurred) AS latest_offense
-FROM criminal_records GROUP BY offense_type, severity_level"""
+SQL["x3"] = sql_with("participant_charge", "charge_offense") + """
+SELECT offense_name AS offense_type, class AS severity_level, COUNT(*) AS offense_count,
+       MIN(charge_date) AS earliest_offense, MAX(charge_date) AS latest_offense
+FROM participant_charge JOIN charge_offense USING (offense_id) GROUP BY ALL"""
 
 
 # ---------------------------------------------------------------- x4 recent progress

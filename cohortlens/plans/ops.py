@@ -16,11 +16,11 @@ from ..functions.numeric import round_real, safe_div, sql_pct, sql_round_ratio,
 from ..functions.text import PTSD_WORDS, combo_label, has_any_keyword, has_no_keyword
 from ..operators import quality
 from ..operators.catalog import column_profile, preview, table_inventory
-from ..operators.metrics import (cost_model, metric_rows, one_row, per_subject_summary, pop_stddev,
+from ..operators.metrics import (charge_counts, cost_model, metric_rows, one_row, per_subject_summary, pop_stddev,
                                  top_k, with_total, with_total_row)
 from ..operators.temporal import (events_in_window, first_event, gap_from_first_event, with_any,
                                   with_event_in_interval, without_event_in_interval)
-from ..schema import FOREIGN_KEYS, REQUIRED
+from ..schema import FOREIGN_KEYS, REQUIRED, SCHEMAS
 from ..sources.bindings import sql_with
 from .extras import AS_OF, _PATIENTS_SQL, patients_view
 from .section3 import charge_days, convicted
@@ -300,7 +300,8 @@ FROM participant GROUP BY race_ethnicity"""
 
 # ------------------------------------------------------------------ E3-E19 aggregates
 def _charges_with_class(t) -> DataFrame:
-    return t["participant_charge"].join(t["charge_offense"].select("offense_id", "class"), "offense_id")
+    """(participant, class, offense) counts: reduced before the join to the dimension."""
+    return charge_counts(t).join(t["charge_offense"].select("offense_id", "class"), "offense_id")
 
 
 _PC_CO = "participant_charge pc JOIN charge_offense co ON pc.offense_id = co.offense_id"
@@ -308,7 +309,9 @@ _PC_CO = "participant_charge pc JOIN charge_offense co ON pc.offense_id = co.off
 
 @op("count_if_sum")
 def q_count_if_sum(t) -> DataFrame:
-    return _charges_with_class(t).groupBy("class").agg(count_if_sum(convicted()).alias("convictions"))
+    per = t["participant_charge"].groupBy("offense_id").agg(count_if_sum(convicted()).alias("v"))
+    return (per.join(t["charge_offense"].select("offense_id", "class"), "offense_id")
+            .groupBy("class").agg(F.sum("v").alias("convictions")))
 
 
 SQL["count_if_sum"] = sql_with("participant_charge", "charge_offense") + f"""
@@ -318,8 +321,9 @@ FROM {_PC_CO} GROUP BY co.class"""
 
 @op("distinct_if")
 def q_distinct_if(t) -> DataFrame:
-    j = t["participant_charge"].join(t["enrollment"].select(PID, "end_status"), PID)
-    return j.groupBy("end_status").agg(distinct_if(convicted(), PID).alias("convicted_participants"),
+    per = t["participant_charge"].groupBy(PID).agg(F.max(flag(convicted())).alias("v"))
+    j = t["enrollment"].select(PID, "end_status").distinct().join(per, PID)
+    return j.groupBy("end_status").agg(distinct_if(F.col("v") == 1, PID).alias("convicted_participants"),
                                        F.count_distinct(PID).alias("participants"))
 
 
@@ -333,7 +337,9 @@ GROUP BY e.end_status"""
 
 @op("pct_true")
 def q_pct_true(t) -> DataFrame:
-    return _charges_with_class(t).groupBy("class").agg(pct_true(convicted()).alias("pct_convicted"))
+    per = t["participant_charge"].groupBy("offense_id", F.coalesce(convicted(), F.lit(False)).alias("v")) \
+        .agg(F.count(ONE).alias("n")).join(t["charge_offense"].select("offense_id", "class"), "offense_id")
+    return per.groupBy("class").agg(pct_true(F.col("v"), weight="n").alias("pct_convicted"))
 
 
 SQL["pct_true"] = sql_with("participant_charge", "charge_offense") + f"""
@@ -386,7 +392,7 @@ FROM participant GROUP BY race_ethnicity"""
 
 @op("per_subject")
 def q_per_subject(t) -> DataFrame:
-    per = _charges_with_class(t).groupBy("class", PID).agg(F.count(ONE).alias("c"))
+    per = _charges_with_class(t).groupBy("class", PID).agg(F.sum("n").alias("c"))
     g = per.groupBy("class").agg(F.sum("c").alias("charges"), F.count(PID).alias("participants"))
     return g.select("class", "charges", "participants",
                     per_subject("charges", "participants").alias("charges_per_participant"))
@@ -418,15 +424,14 @@ def q_pop_stddev(t) -> DataFrame:
 
 SQL["pop_stddev"] = sql_with("risk_assessment") + f"""
 SELECT risk_category, COUNT(*) AS n,
-       {sql_round_real('CASE WHEN AVG(risk_score * risk_score) - AVG(risk_score) * AVG(risk_score) >= 0 '
-                       'THEN sqrt(AVG(risk_score * risk_score) - AVG(risk_score) * AVG(risk_score)) END', 2)} AS sd
+       {sql_round_real('stddev_pop(risk_score)', 2)} AS sd
 FROM risk_assessment WHERE risk_score IS NOT NULL GROUP BY risk_category"""
 
 
 @op("with_total_row")
 def q_with_total_row(t) -> DataFrame:
-    return with_total_row(_charges_with_class(t), "class",
-                          {"charges": F.count(ONE), "participants": F.count_distinct(PID)})
+    per = _charges_with_class(t).groupBy("class", PID).agg(F.sum("n").alias("n"))
+    return with_total_row(per, "class", {"charges": F.sum("n"), "participants": F.count_distinct(PID)})
 
 
 SQL["with_total_row"] = sql_with("participant_charge", "charge_offense") + f"""
@@ -518,15 +523,7 @@ def _fk_list():
 
 @op("orphans")
 def q_orphans(t) -> DataFrame:
-    parts = []
-    for child, ck, parent, pk in _fk_list():
-        n = quality.orphans(t[child], t[parent], ck, pk).agg(F.count(ONE).alias("orphan_rows"))
-        parts.append(n.select(F.lit(child).alias("child_table"), F.lit(ck).alias("child_key"),
-                              F.lit(parent).alias("parent_table"), "orphan_rows"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return quality.orphan_counts(t, _fk_list())
 
 
 _FK_TABLES = sorted({x for ch, fks in FOREIGN_KEYS.items() for _, pa, _ in fks for x in (ch, pa)})
@@ -570,39 +567,42 @@ def q_preview(t) -> DataFrame:
 SQL["preview"] = sql_with("participant") + "SELECT * FROM participant ORDER BY participant_id LIMIT 10"
 
 _CATALOG = ["diagnosis_code", "participant", "enrollment", "charge_offense", "participant_charge",
-            "participant_diagnosis", "risk_assessment", "jail_data", "treatment_episode"]
+            "participant_diagnosis", "risk_assessment", "jail_data", "treatment_episode", "psychosocial_assessment"]
 
 
 @op("table_inventory")
 def q_inventory(t) -> DataFrame:
-    return table_inventory({n: t[n] for n in _CATALOG}).drop("first_columns")
+    return table_inventory({n: t[n] for n in _CATALOG})
+
+
+def _columns(name):
+    """(name, type) of a canonical table's columns as bound to the test tables."""
+    extra = [("props", "string")] if name == "psychosocial_assessment" else []
+    return [(f.name, f.dataType.simpleString()) for f in SCHEMAS[name].fields] + extra
 
 
 def _ncols(name):
-    from ..schema import SCHEMAS
-    return len(SCHEMAS[name].fields)
+    return len(_columns(name))
 
 
 SQL["table_inventory"] = sql_with(*_CATALOG) + "\nUNION ALL\n".join(
-    [f"SELECT '{n}' AS table_name, COUNT(*) AS row_count, CAST({_ncols(n)} AS BIGINT) AS column_count FROM {n}"
-     for n in _CATALOG]
+    [f"SELECT '{n}' AS table_name, COUNT(*) AS row_count, CAST({_ncols(n)} AS BIGINT) AS column_count, "
+     f"'{', '.join(c for c, _ in _columns(n)[:3])}' AS first_columns FROM {n}" for n in _CATALOG]
     + [f"SELECT 'TOTAL', (SELECT " + " + ".join(f"(SELECT COUNT(*) FROM {n})" for n in _CATALOG)
-       + f"), CAST({sum(_ncols(n) for n in _CATALOG)} AS BIGINT)"])
+       + f"), CAST({sum(_ncols(n) for n in _CATALOG)} AS BIGINT), NULL"])
 
 
 @op("column_profile")
 def q_profile(t) -> DataFrame:
-    return column_profile({n: t[n] for n in _CATALOG}).select(
-        "table_name", "position", "column_name", "data_type", "non_null_count")
+    return column_profile({n: t[n] for n in _CATALOG})
 
 
 def _profile_sql():
-    from ..schema import SCHEMAS
     arms = []
     for n in _CATALOG:
-        for i, f in enumerate(SCHEMAS[n].fields):
-            arms.append(f"SELECT '{n}' AS table_name, {i} AS position, '{f.name}' AS column_name, "
-                        f"'{f.dataType.simpleString()}' AS data_type, COUNT({f.name}) AS non_null_count FROM {n}")
+        for i, (name, kind) in enumerate(_columns(n)):
+            arms.append(f"SELECT '{n}' AS table_name, {i} AS position, '{name}' AS column_name, "
+                        f"'{kind}' AS data_type, TRUE AS nullable, COUNT({name}) AS non_null_count FROM {n}")
     return sql_with(*_CATALOG) + "\nUNION ALL\n".join(arms)
 
 

@@ -9,7 +9,7 @@ from ..functions.aggs import ONE, avg_int_rounded
 from ..functions.bands import FISCAL_YEAR_BANDS, age_at, band_rank, prefix_band, year_band
 from ..functions.numeric import (pct, round_ratio, round_real, sql_pct, sql_round_ratio,
                                  sql_round_real)
-from ..operators.metrics import metric_rows, one_row, top_k, with_total
+from ..operators.metrics import charge_counts, metric_rows, one_row, top_k, with_total
 from ..sources.bindings import sql_with
 
 SPARK: dict = {}
@@ -99,11 +99,12 @@ GROUP BY race_ethnicity"""
 # ---------------------------------------------------------------- r1_4 offense class
 @report("r1_4")
 def offense_class_distribution(t) -> DataFrame:
-    pc = t["participant_charge"]
+    # charges are reduced to (id, offense) before they meet the dimension; the denominator
+    # comes from the same reduced rows
+    pc = charge_counts(t)
     co = t["charge_offense"].select("offense_id", "class")
-    j = pc.where(F.col("charge_date").isNotNull()).select("participant_id", "offense_id").join(co, "offense_id")
-    # two-level aggregate: (class, id) partial counts, then per class (no Expand)
-    per = j.groupBy("class", "participant_id").agg(F.count(ONE).alias("n"))
+    j = pc.where(F.col("dated") > 0).join(co, "offense_id")
+    per = j.groupBy("class", "participant_id").agg(F.sum("dated").alias("n"))
     g = per.groupBy("class").agg(F.sum("n").alias("Total_Charges"),
                                  F.count("participant_id").alias("Participants_With_This_Class"))
     denom = pc.agg(F.count_distinct("participant_id").alias("_all"))
@@ -127,12 +128,11 @@ GROUP BY co.class"""
 # ---------------------------------------------------------------- r1_5 top offenses
 @report("r1_5")
 def top_offenses(t) -> DataFrame:
-    pc = t["participant_charge"].select("participant_id", "offense_id")
     co = t["charge_offense"]
-    # two-level aggregate (name, class, id) -> (name, class): the distinct count without
-    # Expand; both levels are partial, so a hot id or offense is combined map-side
-    per = (pc.join(co, "offense_id")
-           .groupBy("offense_name", "class", "participant_id").agg(F.count(ONE).alias("n")))
+    # (id, offense) counts first, then (name, class, id) -> (name, class): no Expand, and every
+    # level is partial, so a hot id or offense is combined map-side
+    per = (charge_counts(t).join(co, "offense_id")
+           .groupBy("offense_name", "class", "participant_id").agg(F.sum("n").alias("n")))
     g = per.groupBy("offense_name", "class").agg(F.sum("n").alias("Frequency"),
                                                  F.count("participant_id").alias("Unique_Participants"))
     g = g.select(F.col("offense_name").alias("Offense_Name"), F.col("class").alias("Class"),

@@ -30,23 +30,17 @@ def convicted():
     return F.col("outcome") == "Convicted"
 
 
-def charge_days(t, keys=(), where=None, aggregate: bool = False) -> DataFrame:
+def charge_days(t, keys=(), where=None) -> DataFrame:
     """Charge events as (id, day, *keys, n, n_conv) rows for the interval joins.
 
-    By default one row per charge (n = 1): the interval join then shuffles the fact table
-    once, AQE splits a hot subject's partition (inner joins only), and the per-subject
-    aggregate after the join is partial, so a hot subject is collapsed map-side.
-    ``aggregate=True`` pre-aggregates to one row per (id, day, *keys) first; that costs a
-    second shuffle of the facts and pays off only when many charges share a day.
+    One row per (id, day, *keys), combined map-side: the group key spreads a hot subject
+    over its days, and what the join on the id alone then brings together is bounded per subject
+    by the calendar, whatever share of the charges the subject holds.
     """
-    pc = t["participant_charge"]
+    pc = t["participant_charge"].where(F.col("charge_date").isNotNull())
     if where is not None:
         pc = pc.where(where)
-    pc = pc.where(F.col("charge_date").isNotNull())
-    if aggregate:
-        return day_counts(pc, PID, "charge_date", keys, {"n_conv": flag(convicted())})
-    return pc.select(PID, "charge_date", *keys, F.lit(1).cast("long").alias("n"),
-                     flag(convicted()).cast("long").alias("n_conv"))
+    return day_counts(pc, PID, "charge_date", keys, {"n_conv": flag(convicted())})
 
 
 # ---------------------------------------------------------------- r3_1 risk vs norms
@@ -174,22 +168,19 @@ MIN_GROUP = 5
 
 @report("r3_5")
 def prior_class_outcome(t, min_group_size: int = MIN_GROUP) -> DataFrame:
-    # Participant-keyed joins first (one shuffle of the charges by id, the look-back filter
-    # applied in the join), then a per (id, offense) partial aggregate that needs no new
-    # exchange; only those reduced rows are shuffled for the dimension join.
+    # charges become one row per (id, class, day) before they meet on the id: a hot id then
+    # holds at most days x classes rows
+    co = t["charge_offense"].select("offense_id", "class")
     pc = (t["participant_charge"].where(F.col("charge_date").isNotNull())
-          .select(PID, "offense_id", "charge_date"))
+          .groupBy(PID, "offense_id", "charge_date").agg(F.count(ONE).alias("n"))
+          .join(co, "offense_id").groupBy(PID, "class", "charge_date").agg(F.sum("n").alias("n")))
     e = (t["enrollment"].where(F.col("end_status").isin("Graduated", "Terminated"))
-         .select(PID, "start_date", "end_status"))
+         .groupBy(PID, "start_date").agg(F.sum(flag(F.col("end_status") == "Graduated")).alias("eg"),
+                                         F.sum(flag(F.col("end_status") == "Terminated")).alias("ex")))
     np_ = t["participant"].groupBy(PID).agg(F.count(ONE).alias("np"))
-    w = F.col("np")
-    per_offense = (pc.join(e, PID).where(in_lookback("charge_date", "start_date")).join(np_, PID)
-                   .groupBy(PID, "offense_id").agg(
-                       F.sum(F.when(F.col("end_status") == "Graduated", w).otherwise(0)).alias("g"),
-                       F.sum(F.when(F.col("end_status") == "Terminated", w).otherwise(0)).alias("x")))
-    co = t["charge_offense"].select("offense_id", "class")
-    per = (per_offense.join(co, "offense_id")
-           .groupBy("class", PID).agg(F.sum("g").alias("g"), F.sum("x").alias("x")))
+    w = F.col("np") * F.col("n")
+    per = (pc.join(e.join(np_, PID), PID).where(in_lookback("charge_date", "start_date"))
+           .groupBy("class", PID).agg(F.sum(w * F.col("eg")).alias("g"), F.sum(w * F.col("ex")).alias("x")))
     g = per.groupBy("class").agg(F.count(ONE).alias("Total_Participants"),
                                  F.sum("g").alias("Graduated"), F.sum("x").alias("Terminated"))
     return (g.where(F.col("Total_Participants") >= min_group_size)

@@ -82,8 +82,9 @@ GROUP BY e.end_status"""
 # ---------------------------------------------------------------- r4_3 graduation by year
 @report("r4_3")
 def graduation_by_year(t) -> DataFrame:
+    # a date range reaches the scan, year(start_date) would not
     e = t["enrollment"].where(F.col("end_status").isNotNull()
-                              & F.year("start_date").isin(2023, 2024))
+                              & F.col("start_date").between("2023-01-01", "2024-12-31"))
     g = (e.groupBy(year_band("start_date", GRADUATION_YEAR_BANDS, "Other Years").alias("Fiscal_Year"))
          .agg(F.count(ONE).alias("Total_Participants"),
               F.sum(flag(F.col("end_status") == "Graduated")).alias("Graduated"),
@@ -154,9 +155,8 @@ SQL["r4_4"] = sql_with("participant_charge", "enrollment") + _sql_conv_arm(
 @report("r4_5")
 def felony_before_during(t) -> DataFrame:
     co = t["charge_offense"].where(F.col("class") == "F").select("offense_id")
-    pc = t["participant_charge"].where(F.col("outcome") == "Convicted").join(co, "offense_id")
-    days = pc.where(F.col("charge_date").isNotNull()).select(PID, "charge_date",
-                                                            F.lit(1).cast("long").alias("n"))
+    days = (charge_days(t, ["offense_id"], F.col("outcome") == "Convicted").join(co, "offense_id")
+            .groupBy(PID, "charge_date").agg(F.sum("n").alias("n")))
     types = {"Category": "string", "Conviction_Count": "long", "Participants": "long"}
     return _before_during(t, days, None, [
         {"Category": "Felony Convictions Before MHC", "Conviction_Count": F.col("nb"),
