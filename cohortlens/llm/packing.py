@@ -46,7 +46,6 @@ BUCKET_ROWS = 200_000
 
 # ------------------------------------------------------------------------- token ids
 
-_ENCODERS: dict = {}
 _TWO_SPACES = re.compile(r"\s\s")
 
 
@@ -57,9 +56,11 @@ def encoder(vocabulary: str):
     The ranks give the same ids as the JSON of the same name (tests compare them); runs of
     white space need the pattern's look-ahead, other texts take the equal pattern without it,
     which is twice as fast.  The special string keeps its id 50256 in texts."""
-    if vocabulary not in _ENCODERS:
-        import public_tokenizers
-        import tiktoken
+    import public_tokenizers
+    import tiktoken
+
+    kept = tiktoken.__dict__.setdefault("_encoders_by_file", {})  # outlives a task in its worker
+    if vocabulary not in kept:
         ranks_file = re.sub(r"\.json$", ".tiktoken", vocabulary)
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -72,8 +73,8 @@ def encoder(vocabulary: str):
         def encode(text: str) -> np.ndarray:
             return both[not _TWO_SPACES.search(text)].encode_to_numpy(text, allowed_special="all").astype("<u4")
 
-        _ENCODERS[vocabulary] = encode
-    return _ENCODERS[vocabulary]
+        kept[vocabulary] = encode
+    return kept[vocabulary]
 
 
 def default_vocabulary() -> str:
