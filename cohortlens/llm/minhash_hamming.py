@@ -21,7 +21,7 @@ Shape of the job (nothing expands into all pairs of a group of copies):
 * then only pairs of classes of different components remain.  In keys of up to
   ``SMALL_KEY`` classes they are joined directly; classes of larger keys go through an exact
   prefix-filter join instead: a pair over the threshold must share one of the rarest shingles
-  of either (the first ``n - ceil(s * n) + 1`` by frequency);
+  of either (the first ``n - ceil(s * n) + 1`` by frequency), with enough shingles behind it;
 * components by alternating large-star and small-star steps on tables in the shared folder.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
@@ -37,6 +37,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import mix, shingle_hashes, text_blocks, word_hashes, written
@@ -255,12 +256,13 @@ def _prefix_pairs(dense: DataFrame, texts: DataFrame, size: int, num: int, den:
                    .mapInArrow(_explode_sets, "id long, label long, h long"), "near-dense")
     freq = rows.groupBy("h").agg(F.count("*").alias("f"))
     ranked = rows.join(freq, "h").select("id", "label", "h", "f")
-    from pyspark.sql import Window as W
     w = W.partitionBy("id")
     ranked = (ranked.withColumn("r", F.row_number().over(w.orderBy("f", "h"))).withColumn("n", F.count("*").over(w))
               .where(f"r <= n - ceil(n * {num} / {den}) + 1 and f > 1"))
     mixed = ranked.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("h")
-    x = ranked.join(mixed, "h", "left_semi").select("h", "id", "label", "n")
-    y = x.select("h", F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("n").alias("n2"))
-    return (x.join(y, "h").where(f"id < id2 and label <> label2 and {den} * least(n, n2) >= {num} * greatest(n, n2)")
+    x = ranked.join(mixed, "h", "left_semi").select("h", "id", "label", "n", "r")
+    y = x.select("h", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "n", "r")])
+    # the first shingle that two sets share bounds their overlap by what follows it in either
+    enough = f"{num + den} * (1 + least(n - r, n2 - r2)) >= {num} * (n + n2)"
+    return (x.join(y, "h").where(f"id < id2 and label <> label2 and {enough}")
             .select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct())
