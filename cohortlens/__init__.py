@@ -5,7 +5,7 @@ Layout:
   operators/  DataFrame-level operators (interval joins, metrics, ingest jobs, quality, catalog)
   sources/    Table bindings, CSV/JSON sources and sinks
   plans/      Registered reports and operator queries, plus their SQL oracles
-  streaming/  Intentionally empty: the modelled workload is batch only
+
 """
 
 __version__ = "0.1.0"

@@ -9,6 +9,7 @@ the pandas loader being modelled (documented in the README):
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -17,7 +18,12 @@ from pyspark.sql import functions as F
 from .numeric import _c
 
 # ---- fixed values: default date formats tried in order (month first) ----
-DATE_FORMATS = ["M/d/yyyy", "yyyy-MM-dd", "M/d/yy", "M-d-yyyy"]
+DATE_FORMATS = ["M/d/yyyy", "yyyy-MM-dd", "M-d-yyyy", "yyyy/MM/dd", "MMM d, yyyy", "d-MMM-yyyy"]
+# formats with a two-digit year (months first), read by the pivot below
+SHORT_YEAR_FORMATS = ["M/d/yy", "M-d-yy"]
+PIVOT = 69  # two-digit years from here on are 19xx, as in C's strptime
+TIME_PART = r"[T ]+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp][Mm])?$"
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # ---- fixed values: the characters Python's str.strip() treats as whitespace ----
 WS_CLASS = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
@@ -46,14 +52,27 @@ def split_name(col) -> tuple[Column, Column]:
 
 
 def parse_date(col, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Lenient date parse: first format that parses wins; unparsable -> NULL."""
-    s = strip_ws(col)
-    return F.coalesce(*[F.try_to_date(s, f) for f in formats])
+    """Lenient date parse: a time part is dropped, the first format that parses wins, two-digit
+    years turn at ``PIVOT``; unparsable -> NULL."""
+    s = F.regexp_replace(strip_ws(col), TIME_PART, "")
+    full = [F.try_to_date(s, f) for f in formats]
+    short = [F.try_to_date(s, f) for f in SHORT_YEAR_FORMATS]  # Spark reads yy as 20yy
+    turned = [F.when(F.year(d) >= 2000 + PIVOT, F.add_months(d, -1200)).otherwise(d) for d in short]
+    return F.coalesce(*full, *turned)
+
+
+def rejected(df, columns: dict[str, Column]):
+    """Rows of text per column that are not blank but came out NULL of their parse (B4, B5):
+    ``columns`` maps a source column to its parsed expression."""
+    counts = [F.sum(F.when(clean_text(F.col(f"`{c}`")).isNotNull() & x.isNull(), 1).otherwise(0)).cast("long").alias(c)
+              for c, x in columns.items()]
+    return df.agg(*counts)
 
 
 def parse_number(col) -> Column:
-    """Lenient numeric parse to double; unparsable -> NULL."""
-    return strip_ws(col).try_cast("double")
+    """Lenient numeric parse to double; unparsable (also Java's ``12d``) -> NULL."""
+    s = strip_ws(col)
+    return F.when(s.rlike(NUMBER), s.try_cast("double"))
 
 
 def clean_text(col, upper: bool = False) -> Column:
@@ -76,22 +95,22 @@ def collapse_flags(flags: dict[str, Column | str], multi: str = "Multi-Racial")
     return F.when(F.size(labels) == 1, F.get(labels, 0)).when(F.size(labels) > 1, F.lit(multi))
 
 
-def resolve_column(columns: Sequence[str], keywords: Sequence[str], exact: bool = False) -> str | None:
-    """A3: first column (in file order) whose upper-cased name contains any keyword
-    (or equals one, with ``exact``); None when nothing matches.  Runs on the driver over
-    the header only."""
-    for col in columns:
-        cu = col.upper()
-        for kw in keywords:
-            if (cu == kw.upper()) if exact else (kw.upper() in cu):
-                return col
-    return None
-
-
-def resolve_first(columns: Sequence[str], *passes: tuple[Sequence[str], bool]) -> str | None:
-    """Try several (keywords, exact) passes in order; first hit wins."""
-    for kws, exact in passes:
-        found = resolve_column(columns, kws, exact)
-        if found is not None:
-            return found
-    return None
+class Header:
+    """A3: finds columns of one file by keywords in their upper-cased names.
+
+    ``named`` matches whole names, ``holding`` any part; of several matches the first column of
+    the file wins.  Works on the header alone, so each file of a set has its own."""
+
+    def __init__(self, columns: Sequence[str]):
+        self.columns = list(columns)
+        self._upper = [c.upper() for c in self.columns]
+
+    def named(self, *names: str) -> str | None:
+        places = [self._upper.index(n.upper()) for n in names if n.upper() in self._upper]
+        return self.columns[min(places)] if places else None
+
+    def holding(self, *keywords: str, without: str | None = None) -> str | None:
+        wanted = re.compile("|".join(map(re.escape, keywords)), re.IGNORECASE)
+        hits = (c for c, u in zip(self.columns, self._upper, strict=True)
+                if wanted.search(u) and not (without and without in u))
+        return next(hits, None)

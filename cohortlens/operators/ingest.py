@@ -18,13 +18,13 @@ Scale notes:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import (clean_text, collapse_flags, parse_date, parse_number,
-                                  person_key, person_key_from_parts, replace_token,
-                                  resolve_column, resolve_first, split_name, strip_ws)
+from ..functions.cleaning import (Header, clean_text, collapse_flags, parse_date, parse_number,
+                                  person_key, person_key_from_parts, replace_token, split_name, strip_ws)
 from ..session import ensure_checkpoint_dir
 
 ROW = "_row"  # explicit record order of a raw extract (distributed reads have no row order)
@@ -69,16 +69,19 @@ def dense_ids(df: DataFrame, order: str | Sequence[str], id_col: str = "id") ->
     ensure_checkpoint_dir(df.sparkSession)
     keys = [order] if isinstance(order, str) else list(order)
     cols = [F.col(f"`{k}`").asc_nulls_first() for k in keys]
-    part, off, n = "__dense_part", "__dense_off", "__dense_n"
-    ranged = df.repartitionByRange(*cols).withColumn(part, F.spark_partition_id()).checkpoint()
+    mark, part, off, n = "__dense_mark", "__dense_part", "__dense_off", "__dense_n"
+    # sorted partitions: the high bits of the generated id are the partition, the low 33 the
+    # place in it, so only the partitions' offsets remain to be joined
+    ranged = (df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+              .withColumn(mark, F.monotonically_increasing_id()).checkpoint(eager=False))
+    ranged = ranged.withColumn(part, F.shiftright(mark, 33))
     counts = ranged.groupBy(part).agg(F.count("*").alias(n))
     offsets = counts.select(part, F.coalesce(
         F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias(off))
-    w = Window.partitionBy(part).orderBy(*cols)
-    return (ranged.join(F.broadcast(offsets), part)
-            .withColumn(id_col, (F.col(off) + F.row_number().over(w)).cast("long"))
-            .drop(part, off))
+    place = F.col(mark).bitwiseAND(F.lit((1 << 33) - 1))
+    return (ranged.join(offsets, part).withColumn(id_col, (F.col(off) + place + 1).cast("long"))
+            .drop(mark, part, off))
 
 
 def assign_dimension_key(df: DataFrame, cols: Sequence[str], order: str = ROW,
@@ -144,18 +147,16 @@ def build_enrollment(roster: DataFrame) -> DataFrame:
 
 def charge_columns(columns: Sequence[str]) -> dict[str, str | None]:
     """A3 applied to the criminal-history header."""
-    date = resolve_column(columns, ["CHARGE DATE"], exact=True)
-    if date is None:
-        date = next((c for c in columns if "CHARGE" in c.upper() and "DATE" in c.upper()
-                     and "MHC" not in c.upper()), None)
+    h = Header(columns)
+    dated = Header([c for c in h.columns if "DATE" in c.upper()])
     return {
-        "date": date,
-        "first": resolve_first(columns, (["FIRST NAME"], True), (["FIRST"], False)),
-        "last": resolve_first(columns, (["LAST NAME"], True), (["LAST"], False)),
-        "offense": resolve_first(columns, (["OFFENSE"], True), (["OFFENSE"], False)),
-        "class": resolve_first(columns, (["CLASS"], True), (["CLASS"], False)),
-        "status": resolve_first(columns, (["MHC STATUS"], True), (["MHC", "STATUS"], False)),
-        "outcome": resolve_first(columns, (["NG/DISMISSED"], True), (["DISMISSED", "OUTCOME"], False)),
+        "date": h.named("CHARGE DATE") or dated.holding("CHARGE", without="MHC"),
+        "first": h.named("FIRST NAME") or h.holding("FIRST"),
+        "last": h.named("LAST NAME") or h.holding("LAST"),
+        "offense": h.named("OFFENSE") or h.holding("OFFENSE"),
+        "class": h.named("CLASS") or h.holding("CLASS"),
+        "status": h.named("MHC STATUS") or h.holding("MHC", "STATUS"),
+        "outcome": h.named("NG/DISMISSED") or h.holding("DISMISSED", "OUTCOME"),
     }
 
 
@@ -167,8 +168,9 @@ def build_charges(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     it on the raw values with NULL-safe equality (B14).
     """
     cols = charge_columns(raw.columns)
-    if cols["date"] is None or cols["first"] is None or cols["last"] is None:
-        raise ValueError(f"criminal history header lacks date/name columns: {raw.columns}")
+    lacking = [k for k in ("date", "first", "last", "offense", "class") if cols[k] is None]
+    if lacking:
+        raise ValueError(f"criminal history header lacks columns for {lacking}: {raw.columns}")
     rows = raw.where(clean_text(_col(raw, cols["date"])).isNotNull())
     keyed = rows.select(F.col(ROW),
                         _col(rows, cols["offense"]).alias("_off"), _col(rows, cols["class"]).alias("_cls"),
@@ -188,13 +190,13 @@ def build_charges(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def build_diagnosis(raw: DataFrame) -> DataFrame:
     """Mental-health entry -> participant_diagnosis; rows without code or id dropped."""
-    c = raw.columns
-    name = resolve_column(c, NAME_KW)
-    code = resolve_column(c, ["DIAGNOSIS", "CODE", "DX"])
-    desc = resolve_column(c, ["DIAGNOSIS", "DESCRIPTION", "CONDITION"])
-    date = resolve_column(c, ["DATE", "ASSESSMENT", "ENTRY"])
+    h = Header(raw.columns)
+    name = h.holding(*NAME_KW)
+    code = h.holding("DIAGNOSIS", "CODE", "DX")
+    desc = h.holding("DIAGNOSIS", "DESCRIPTION", "CONDITION")
+    date = h.holding("DATE", "ASSESSMENT", "ENTRY")
     if name is None or code is None:
-        raise ValueError(f"mental-health header lacks name/code columns: {c}")
+        raise ValueError(f"mental-health header lacks name/code columns: {raw.columns}")
     return (raw.select(person_key(_col(raw, name)).alias("participant_id"),
                        clean_text(_col(raw, code)).alias("diagnosis_code"),
                        clean_text(_col(raw, desc)).alias("diagnosis_description"),
@@ -204,13 +206,13 @@ def build_diagnosis(raw: DataFrame) -> DataFrame:
 
 def build_risk(raw: DataFrame) -> DataFrame:
     """Risk assessment -> risk_assessment."""
-    c = raw.columns
-    name = resolve_column(c, NAME_KW)
+    h = Header(raw.columns)
+    name = h.holding(*NAME_KW)
     if name is None:
         raise ValueError(f"risk header lacks a name column: {c}")
-    date = resolve_column(c, ["DATE", "ASSESSMENT"])
-    score = resolve_column(c, ["SCORE", "LS/CMI", "LS CMI", "RISK"])
-    cat = resolve_column(c, ["CATEGORY", "LEVEL", "RISK LEVEL"])
+    date = h.holding("DATE", "ASSESSMENT")
+    score = h.holding("SCORE", "LS/CMI", "LS CMI", "RISK")
+    cat = h.holding("CATEGORY", "LEVEL", "RISK LEVEL")
     return (raw.select(person_key(_col(raw, name)).alias("participant_id"),
                        parse_date(_col(raw, date)).alias("assessment_date"),
                        parse_number(_col(raw, score)).alias("risk_score"),
@@ -222,14 +224,14 @@ def build_jail(raw: DataFrame) -> DataFrame:
     """Jail tracking -> jail_data.  Days come from end - start only when the whole
     days column is empty (a data-dependent rule, evaluated as a broadcast one-row
     aggregate)."""
-    c = raw.columns
-    name = resolve_column(c, NAME_KW)
+    h = Header(raw.columns)
+    name = h.holding(*NAME_KW)
     if name is None:
         raise ValueError(f"jail header lacks a name column: {c}")
-    start = resolve_column(c, ["START", "BEGIN", "ADMISSION", "FROM"])
-    end = resolve_column(c, ["END", "RELEASE", "TO", "DISCHARGE"])
-    days = resolve_column(c, ["DAYS", "LENGTH", "DURATION"])
-    cost = resolve_column(c, ["COST", "AMOUNT", "FEE", "CHARGE"])
+    start = h.holding("START", "BEGIN", "ADMISSION", "FROM")
+    end = h.holding("END", "RELEASE", "TO", "DISCHARGE")
+    days = h.holding("DAYS", "LENGTH", "DURATION")
+    cost = h.holding("COST", "AMOUNT", "FEE", "CHARGE")
     rows = raw.select(person_key(_col(raw, name)).alias("participant_id"),
                       parse_date(_col(raw, start)).alias("start_date"),
                       parse_date(_col(raw, end)).alias("end_date"),
@@ -252,16 +254,16 @@ def treatment_type_from_file(file_col) -> Column:
 
 
 def build_treatment(raw: DataFrame, file_col: str = "source_file") -> DataFrame:
-    """Treatment extracts (rows tagged with their file name) -> treatment_episode."""
-    c = [x for x in raw.columns if x != file_col]
-    name = resolve_column(c, NAME_KW_CLIENT)
+    """One treatment extract (rows tagged with its file name) -> treatment_episode."""
+    h = Header([x for x in raw.columns if x != file_col])
+    name = h.holding(*NAME_KW_CLIENT)
     if name is None:
         raise ValueError(f"treatment header lacks a name column: {c}")
-    start = resolve_column(c, ["START", "BEGIN", "ADMISSION", "DATE"])
-    end = resolve_column(c, ["END", "COMPLETION", "DISCHARGE"])
-    typ = resolve_column(c, ["TYPE", "SERVICE", "TREATMENT", "MODALITY"])
-    prov = resolve_column(c, ["PROVIDER", "FACILITY", "AGENCY"])
-    outc = resolve_column(c, ["OUTCOME", "RESULT", "STATUS", "COMPLETION"])
+    start = h.holding("START", "BEGIN", "ADMISSION", "DATE")
+    end = h.holding("END", "COMPLETION", "DISCHARGE")
+    typ = h.holding("TYPE", "SERVICE", "TREATMENT", "MODALITY")
+    prov = h.holding("PROVIDER", "FACILITY", "AGENCY")
+    outc = h.holding("OUTCOME", "RESULT", "STATUS", "COMPLETION")
     return (raw.select(person_key(_col(raw, name)).alias("participant_id"),
                        treatment_type_from_file(F.col(file_col)).alias("treatment_type"),
                        parse_date(_col(raw, start)).alias("start_date"),
@@ -272,14 +274,20 @@ def build_treatment(raw: DataFrame, file_col: str = "source_file") -> DataFrame:
             .dropna(subset=["participant_id"]))
 
 
-def build_psychosocial(raw: DataFrame, carry: int = 10) -> DataFrame:
-    """Id, assessment date and the first ``carry`` other source columns."""
-    c = [x for x in raw.columns if x != ROW]
-    name = resolve_column(c, NAME_KW_CLIENT)
+def build_treatment_files(frames) -> DataFrame:
+    """B19 over A4: each extract is resolved under its own header and projected to the canonical
+    columns before the union, so differing headers lose no row."""
+    return reduce(DataFrame.unionByName, [build_treatment(f) for f in frames])
+
+
+def build_psychosocial(raw: DataFrame, carry: int | None = None) -> DataFrame:
+    """Id, assessment date and the other source columns (the first ``carry``, if given)."""
+    h = Header([x for x in raw.columns if x != ROW])
+    name = h.holding(*NAME_KW_CLIENT)
     if name is None:
         raise ValueError(f"psychosocial header lacks a name column: {c}")
-    date = resolve_column(c, ["DATE", "ASSESSMENT", "COMPLETED"])
-    others = [x for x in c if x not in (name, date)][:carry]
+    date = h.holding("DATE", "ASSESSMENT", "COMPLETED")
+    others = [x for x in h.columns if x not in (name, date)][:carry]
     return (raw.select(person_key(_col(raw, name)).alias("participant_id"),
                        parse_date(_col(raw, date)).alias("assessment_date"),
                        *[_col(raw, o).alias(o) for o in others])

@@ -4,10 +4,12 @@ round trips in the shared scratch folder.  Oracles redo the cleaning in DuckDB S
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import (STRIP_PATTERN, clean_text, collapse_flags, parse_date, parse_number,
+from ..functions.cleaning import (NUMBER, STRIP_PATTERN, TIME_PART, Header, clean_text, collapse_flags, parse_date, parse_number,
                                   person_key, person_key_from_parts, replace_token, split_name)
 from ..operators import ingest
 from ..operators.catalog import publish_reports
@@ -19,6 +21,7 @@ from ..sources.raw import RAW_BUILDERS, raw_sql_with
 
 SPARK: dict = {}
 SQL: dict = {}
+REPORT = re.compile(r"(r\d_\d|x\d)")
 
 
 def op(name):
@@ -49,14 +52,15 @@ def s_key_parts(last: str, first: str) -> str:
     return s_key(f"({s_strip(last)} || ', ' || {s_strip(first)})")
 
 
-# each DuckDB format guarded by the digit counts Spark's pattern accepts
-# (M/d/yyyy, yyyy-MM-dd, M/d/yy, M-d-yyyy)
+# each DuckDB format guarded by the shape that Spark's pattern accepts
 _DATE_SHAPES = [("%m/%d/%Y", r"^\d{1,2}/\d{1,2}/\d{4}$"), ("%Y-%m-%d", r"^\d{4}-\d{2}-\d{2}$"),
-                ("%m/%d/%y", r"^\d{1,2}/\d{1,2}/\d{2}$"), ("%m-%d-%Y", r"^\d{1,2}-\d{1,2}-\d{4}$")]
+                ("%m-%d-%Y", r"^\d{1,2}-\d{1,2}-\d{4}$"), ("%Y/%m/%d", r"^\d{4}/\d{2}/\d{2}$"),
+                ("%b %d, %Y", r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$"), ("%d-%b-%Y", r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$"),
+                ("%m/%d/%y", r"^\d{1,2}/\d{1,2}/\d{2}$"), ("%m-%d-%y", r"^\d{1,2}-\d{1,2}-\d{2}$")]
 
 
 def s_date(x: str) -> str:
-    s = s_strip(x)
+    s = f"regexp_replace({s_strip(x)}, '{TIME_PART}', '')"
     return "coalesce(" + ", ".join(
         f"CASE WHEN regexp_matches({s}, '{shape}') THEN CAST(try_strptime({s}, '{f}') AS DATE) END"
         for f, shape in _DATE_SHAPES) + ")"
@@ -64,7 +68,7 @@ def s_date(x: str) -> str:
 
 def s_num(x: str) -> str:
     s = s_strip(x)
-    return f"(CASE WHEN strpos({s}, '_') = 0 THEN TRY_CAST({s} AS DOUBLE) END)"
+    return f"(CASE WHEN regexp_matches({s}, '{NUMBER}') THEN TRY_CAST({s} AS DOUBLE) END)"
 
 
 def s_clean(x: str, upper: bool = False) -> str:
@@ -369,10 +373,20 @@ SELECT code, description FROM (
 
 
 # ------------------------------------------------------------------ A1-A7, A11 file round trips
-def _all_text_sql(name: str, cols: list[str]) -> str:
-    """Oracle of a CSV round trip: every value as text with surrounding spaces removed."""
-    sel = ", ".join(f"NULLIF(trim(CAST({q(c)} AS VARCHAR)), '') AS {q(c)}" for c in cols)
-    return raw_sql_with(name) + f"SELECT {sel} FROM {name}"
+#: a quoted field with blanks, quotes, a delimiter and a line break inside
+_NOTE = """'  note "' || _row || '",' || chr(10) || 'second line '"""
+
+
+def _written_as_is(df: DataFrame, path: str) -> None:
+    """As an extract comes: blanks kept, quotes doubled, line breaks inside quotes."""
+    (df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
+def _all_text_sql(name: str, cols: list[str], extra: str = "") -> str:
+    """Oracle of a CSV round trip: every value as text without the blanks after a delimiter."""
+    sel = ", ".join(f"NULLIF(ltrim(CAST({q(c)} AS VARCHAR)), '') AS {q(c)}" for c in cols)
+    return raw_sql_with(name) + f"SELECT {sel}{extra} FROM {name}"
 
 
 _ROSTER_COLS = ["_row", "Participant Name", "Date Started MHC", "Date Ended MHC", "Length of MHC", "End Status"]
@@ -382,18 +396,40 @@ _ROSTER_COLS = ["_row", "Participant Name", "Date Started MHC", "Date Ended MHC"
 def q_csv_scan(t):
     spark = t.spark
     path = scratch_path(spark, "ops", "csv_scan")
-    raw(t, "raw_roster").write.option("header", True).csv(path)
+    note = F.concat(F.lit('  note "'), F.col("_row"), F.lit('",\nsecond line '))
+    _written_as_is(raw(t, "raw_roster").withColumn("Notes", note), path)
     return csv_src.read_csv_table(spark, path)
 
 
-SQL["csv_scan"] = _all_text_sql("raw_roster", _ROSTER_COLS)
+SQL["csv_scan"] = _all_text_sql("raw_roster", _ROSTER_COLS, f", {_NOTE} AS Notes")
+
+
+@op("resolve_columns")
+def q_resolve_columns(t):
+    """A3 on the header of every raw extract: which column each keyword set finds."""
+    rows = []
+    for name in ("raw_roster", "raw_demographics", "raw_charges", "raw_mh_entry", "raw_risk", "raw_jail"):
+        h = Header(raw(t, name).columns)
+        rows.append((name, h.holding("NAME"), h.holding("DATE"), h.named("class") or h.holding("LEVEL", "STATUS")))
+    found = t.spark.createDataFrame(rows, "extract string, person string, dated string, graded string")
+    return found.crossJoin(raw(t, "raw_risk").agg(F.count("Participant Name").alias("n_risk_rows")))
+
+
+SQL["resolve_columns"] = raw_sql_with("raw_risk") + """
+SELECT *, (SELECT COUNT("Participant Name") FROM raw_risk) AS n_risk_rows FROM (VALUES
+  ('raw_roster', 'Participant Name', 'Date Started MHC', 'End Status'),
+  ('raw_demographics', 'Participant Name', NULL, NULL),
+  ('raw_charges', 'First Name', 'Charge Date', 'Class'),
+  ('raw_mh_entry', 'Participant Name', 'Assessment Date', NULL),
+  ('raw_risk', 'Participant Name', 'Assessment Date', 'Risk Level'),
+  ('raw_jail', 'Participant Name', 'Release Date', NULL)) v(extract, person, dated, graded)"""
 
 
 @op("csv_positional")
 def q_csv_positional(t):
     spark = t.spark
     path = scratch_path(spark, "ops", "csv_positional")
-    raw(t, "raw_codes").write.option("header", True).csv(path)
+    _written_as_is(raw(t, "raw_codes"), path)
     return csv_src.read_csv_table(spark, path, header=False,
                                   names=["_row", "_c0", "_c1", "_c2", "_c3", "_c4", "_c5"])
 
@@ -404,15 +440,18 @@ SQL["csv_positional"] = _all_text_sql("raw_codes", ["_row", "_c0", "_c1", "_c2",
 @op("union_tagged")
 def q_union_tagged(t):
     spark = t.spark
-    root = scratch_path(spark, "ops", "union_tagged")
-    r = raw(t, "raw_treatment")
-    names = ["Treatment_MH_FY24.csv", "Treatment_CD_FY24.csv", "Treatment_Historical.csv"]
-    for n in names:
-        (r.where(F.col("source_file") == n).drop("source_file", "_row")
-         .write.option("header", True).csv(f"{root}/{n}"))
-    paths = [f"{root}/{n}" for n in names] + [f"{root}/Treatment_MH_FY23.csv"]  # last one is missing
-    tagged = csv_src.union_tagged(spark, paths, file_col="source_file")
-    return ingest.build_treatment(tagged, "source_file")
+    # a folder whose own name looks like a category, extracts under different headers, one glob
+    # and one missing file
+    root = scratch_path(spark, "ops", "in_MH_2024")
+    by_file = scratch_path(spark, "ops", "union_tagged")
+    raw(t, "raw_treatment").drop("_row").write.partitionBy("source_file").parquet(by_file)
+    other = {"Client Name": "Participant Name", "Start Date": "Admission", "End Date": "Discharge",
+             "Service Type": "Modality", "Provider": "Agency", "Outcome": "Result"}
+    for n in ["Treatment_MH_FY24.csv", "Treatment_CD_FY24.csv", "Treatment_Historical.csv"]:
+        part = spark.read.parquet(f"{by_file}/source_file={n}")
+        _written_as_is(part.withColumnsRenamed(other) if "Historical" in n else part, f"{root}/{n}")
+    paths = [f"{root}/Treatment_*_FY24.csv", f"{root}/Treatment_Historical.csv", f"{root}/Treatment_MH_FY23.csv"]
+    return ingest.build_treatment_files(csv_src.read_extracts(spark, paths))
 
 
 SQL["union_tagged"] = raw_sql_with("raw_treatment") + _TREAT_SQL
@@ -421,7 +460,7 @@ SQL["union_tagged"] = raw_sql_with("raw_treatment") + _TREAT_SQL
 @op("write_table")
 def q_write_table(t):
     path = scratch_path(t.spark, "ops", "write_table")
-    sinks.write_table(t["enrollment"], path, n_files=4)
+    sinks.write_table(t["enrollment"], path)
     return t.spark.read.parquet(path)
 
 
@@ -441,18 +480,14 @@ def _report_sql(name):
 @op("export_csv")
 def q_export_csv(t):
     path = scratch_path(t.spark, "ops", "export_csv")
-    sinks.export_csv(_report("r4_3")(t), path, single_file=True)
+    r = raw(t, "raw_roster")
+    note = F.concat(F.lit('  note "'), F.col("_row"), F.lit('",\nsecond line '))
+    sinks.export_csv(r.select("_row", "Participant Name", "End Status", note.alias("Notes")), path)
     return csv_src.read_csv_table(t.spark, path)
 
 
-def _export_csv_sql():
-    from .section4 import SQL as S4
-    cols = ["Fiscal_Year", "Total_Participants", "Graduated", "Terminated", "Graduation_Rate", "Termination_Rate"]
-    sel = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in cols)
-    return f"SELECT {sel} FROM ({S4['r4_3']}) s"
-
-
-SQL["export_csv"] = _export_csv_sql()
+SQL["export_csv"] = raw_sql_with("raw_roster") + f"""
+SELECT CAST(_row AS VARCHAR) AS _row, "Participant Name", "End Status", {_NOTE} AS Notes FROM raw_roster"""
 
 
 @op("export_json")
@@ -470,22 +505,21 @@ def _export_json_sql():
 
 SQL["export_json"] = _export_json_sql()
 
-_PUBLISHED = ["r1_1", "r2_5", "r4_9", "r5_8"]
-
-
 @op("publish_reports")
 def q_publish(t):
     from .registry import reports
     out = scratch_path(t.spark, "ops", "publish")
-    log = publish_reports(t.spark, reports(), t, out, _PUBLISHED)
-    return log.select("report_name", "ok", "row_count")
+    every = reports()
+    log = publish_reports(t.spark, every, t, out, [n for n in every if REPORT.fullmatch(n)])
+    return log.select("report_name", "ok", "row_count", "error")
 
 
 def _publish_sql():
-    from . import section1, section2, section4, section5
-    sqls = {**section1.SQL, **section2.SQL, **section4.SQL, **section5.SQL}
+    from . import extras, section1, section2, section3, section4, section5
+    sqls = {k: v for m in (section1, section2, section3, section4, section5, extras) for k, v in m.SQL.items()}
     return "\nUNION ALL\n".join(
-        f"SELECT '{n}' AS report_name, TRUE AS ok, COUNT(*) AS row_count FROM ({sqls[n]}) s" for n in _PUBLISHED)
+        f"SELECT '{n}' AS report_name, TRUE AS ok, COUNT(*) AS row_count, CAST(NULL AS VARCHAR) AS error "
+        f"FROM ({sql}) s" for n, sql in sqls.items() if REPORT.fullmatch(n))
 
 
 SQL["publish_reports"] = _publish_sql()

@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.bindings import load_tables
 from ..sources.store import stored_tables
 
 MODULES = ["section1", "section2", "section3", "section4", "section5", "extras", "ops", "ingest_ops"]
@@ -16,12 +15,7 @@ MODULES = ["section1", "section2", "section3", "section4", "section5", "extras",
 def _load():
     spark_fns, sql = {}, {}
     for m in MODULES:
-        try:
-            mod = importlib.import_module(f"{__package__}.{m}")
-        except ModuleNotFoundError as ex:
-            if ex.name and ex.name.endswith(m):
-                continue
-            raise
+        mod = importlib.import_module(f"{__package__}.{m}")
         spark_fns.update(mod.SPARK)
         sql.update(mod.SQL)
     return spark_fns, sql
@@ -34,12 +28,8 @@ def reports() -> dict[str, Callable]:
 
 def tables_for(spark: SparkSession, sf_dir: str):
     """Canonical tables for ``sf_dir``: the materialised store (written once per input
-    fingerprint under the shared checkpoint folder), or the lazy bindings if the store
-    cannot be written."""
-    try:
-        return stored_tables(spark, sf_dir)
-    except Exception:  # noqa: BLE001 - e.g. read-only checkpoint folder
-        return load_tables(spark, sf_dir)
+    fingerprint under the shared checkpoint folder)."""
+    return stored_tables(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

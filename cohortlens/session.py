@@ -30,7 +30,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("COHORTLENS_DRIVER_MEMORY", "16g"))
+    builder = builder.config("spark.driver.memory", os.environ.get("COHORTLENS_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -38,23 +38,32 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """The shared folder the session names (``spark.checkpoint.dir``).
 
-    The folder is read from the session (``spark.checkpoint.dir``).  Only when the
-    session names none (local tests) do we set one ourselves.
-    """
+    Only a local-mode session without one (tests) gets a folder of ours; on a cluster a folder of
+    one machine would be lost to the others, so the missing setting is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not (sc.master or "").startswith(("local[", "local")) or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = os.path.join("/tmp", "cohortlens-checkpoints")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> str:
+    """Have the path removed when the application ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    """A fresh path under the shared checkpoint folder (never a machine-local temp dir)."""
+    """A fresh path under the shared checkpoint folder; removed when the application ends."""
     root = ensure_checkpoint_dir(spark)
-    return "/".join([root.rstrip("/"), "cohortlens", *parts, uuid.uuid4().hex])
+    path = "/".join([root.rstrip("/"), "cohortlens", *parts, uuid.uuid4().hex])
+    return delete_at_exit(spark, path)

@@ -6,7 +6,9 @@ cleaning jobs); header names are trimmed; blanks after a delimiter are skipped.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,42 +26,56 @@ def _null_tokens(df: DataFrame, tokens) -> DataFrame:
                        .otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
-def _reader(spark: SparkSession, header: bool):
-    # RFC 4180 quoting: a quote inside a quoted field is written as two quotes
-    return (spark.read.option("header", header).option("ignoreLeadingWhiteSpace", True)
-            .option("quote", '"').option("escape", '"').option("multiLine", False)
-            .option("inferSchema", False).option("mode", "PERMISSIVE"))
-
-
 def read_csv_table(spark: SparkSession, path: str | Sequence[str], header: bool = True,
-                   names: Sequence[str] | None = None, na_tokens: Sequence[str] | None = NA_TOKENS) -> DataFrame:
-    """A1/A2: read CSV as strings.
+                   names: Sequence[str] | None = None, na_tokens: Sequence[str] | None = NA_TOKENS,
+                   multi_line: bool = True, mode: str = "FAILFAST") -> DataFrame:
+    """A1/A2: read CSV as strings (RFC 4180 quoting, blanks after a delimiter skipped).
 
     header=True: the first line names the columns (names trimmed).
-    header=False with ``names``: the first record is dropped and columns are taken by
-    position (the dropped record is the header line of such files), renamed to ``names``
-    or ``_c<i>``.
+    header=False: the first record is dropped and columns are taken by position, renamed to
+    ``names`` (one per column, or an error) or ``_c<i>``.
     Values equal to one of ``na_tokens`` (default: pandas' missing-value tokens) are NULL.
+    ``multi_line``: quoted fields may hold line breaks; a file is then read by one task, so
+    turn it off for large files without such fields.  A record that does not fit the header
+    is an error in the default ``mode``; PERMISSIVE pads it.
     """
-    df = _reader(spark, True).csv(path)
+    df = (spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True)
+          .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+          .option("inferSchema", False).option("mode", mode).csv(path))
     if header:
         return _null_tokens(df.toDF(*[c.strip() for c in df.columns]), na_tokens)
-    cols = list(names) if names else [f"_c{i}" for i in range(len(df.columns))]
-    return _null_tokens(df.toDF(*cols[:len(df.columns)]), na_tokens)
+    if names and len(names) != len(df.columns):
+        raise ValueError(f"{len(names)} names for {len(df.columns)} columns")
+    return _null_tokens(df.toDF(*(names or [f"_c{i}" for i in range(len(df.columns))])), na_tokens)
 
 
-def union_tagged(spark: SparkSession, paths: Sequence[str], file_col: str = "source_file") -> DataFrame:
-    """A4: several extracts -> one frame; each row tagged with its file path; missing
-    files skipped; differing headers aligned by name (missing columns NULL)."""
+def list_extracts(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], list[str]]:
+    """(files and folders that the paths and globs name, those of them that name nothing)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    out = None
+    found, missing = [], []
     for p in paths:
         hp = jvm.org.apache.hadoop.fs.Path(p)
-        if not hp.getFileSystem(conf).exists(hp):  # a missing extract is skipped
-            continue
-        df = read_csv_table(spark, p).withColumn(file_col, F.col("_metadata.file_path"))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
+        hits = [st.getPath().toString() for st in hp.getFileSystem(conf).globStatus(hp) or []]
+        found += [h for h in hits if h not in found]
+        if not hits:
+            missing.append(p)
+    return found, missing
+
+
+def read_extracts(spark: SparkSession, paths: Sequence[str], file_col: str = "source_file",
+                  **options) -> Iterator[DataFrame]:
+    """One frame per extract, under its own header, tagged with the extract's own name (the last
+    part of its path).  Paths that name nothing are skipped with a warning."""
+    found, missing = list_extracts(spark, paths)
+    if not found:
         raise FileNotFoundError(f"none of {list(paths)} exists")
-    return out
+    if missing:
+        warnings.warn(f"skipped, not found: {missing}", stacklevel=2)
+    for path in found:
+        yield read_csv_table(spark, path, **options).withColumn(file_col, F.lit(path.rstrip("/").rsplit("/", 1)[-1]))
+
+
+def union_tagged(spark: SparkSession, paths: Sequence[str], file_col: str = "source_file", **options) -> DataFrame:
+    """A4: several extracts as one frame, aligned by column name (missing columns NULL)."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read_extracts(spark, paths, file_col, **options))

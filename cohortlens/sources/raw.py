@@ -40,7 +40,14 @@ def raw_roster(src) -> DataFrame:
     days = F.lit(30) + (ok * 7 % 700).cast("int")
     low = F.col("o_orderpriority") == "5-LOW"
     return o.select(ok.alias("_row"), _name(k).alias("Participant Name"),
-                    F.when(ok % 50 == 0, "unknown").otherwise(_mdy(start)).alias("Date Started MHC"),
+                    F.when(ok % 50 == 0, "unknown")
+                    .when(ok % 7 == 1, F.date_format(start, "yyyy-MM-dd 00:00:00"))
+                    .when(ok % 7 == 2, F.concat(_mdy(start), F.lit(" 0:00")))
+                    .when(ok % 7 == 3, F.date_format(start, "MMM d, yyyy"))
+                    .when(ok % 7 == 4, F.date_format(start, "d-MMM-yyyy"))
+                    .when(ok % 7 == 5, F.date_format(start, "yyyy/MM/dd"))
+                    .when(ok % 7 == 6, F.date_format(start, "M/d/yy"))
+                    .otherwise(_mdy(start)).alias("Date Started MHC"),
                     F.when(~low, _mdy(F.date_add(start, days))).alias("Date Ended MHC"),
                     F.when(~low, days.cast("string")).alias("Length of MHC"),
                     F.when(F.col("o_orderstatus") == "F", " Graduated")
@@ -114,7 +121,7 @@ def raw_risk(src) -> DataFrame:
            .when(score < 10, "Low").when(score < 20, "Medium").when(score < 30, "High").otherwise("Very High"))
     adate = F.date_add(F.lit("2019-01-01").cast("date"), (k % 2000).cast("int"))
     return c.select(k.alias("_row"), _name(k).alias("Participant Name"), _mdy(adate).alias("Assessment Date"),
-                    F.when(k % 50 == 0, "n/a").otherwise(score.cast("string")).alias("LS/CMI Score"),
+                    F.when(k % 50 == 0, "n/a").when(k % 53 == 0, "12d").otherwise(score.cast("string")).alias("LS/CMI Score"),
                     F.when(k % 4 == 0, F.concat(F.lit(" "), cat)).otherwise(cat).alias("Risk Level"))
 
 
@@ -198,10 +205,14 @@ _SHIFT = "CAST(CAST({c} AS DATE) + INTERVAL 24 YEAR AS DATE)"
 _CLASS = ("CASE p_type WHEN 'ECONOMY' THEN 'F' WHEN 'MEDIUM' THEN 'M' WHEN 'SMALL' THEN 'GM' "
           "WHEN 'LARGE' THEN 'PM' WHEN 'PROMO' THEN 'T' END")
 
+_START = _SHIFT.format(c='o_orderdate')
+_START_SHAPES = "".join(f" WHEN {i} THEN strftime({_START}, '{f}')" for i, f in enumerate(
+    ["%-m/%-d/%Y", "%Y-%m-%d 00:00:00", "%-m/%-d/%Y 0:00", "%b %-d, %Y", "%-d-%b-%Y", "%Y/%m/%d", "%-m/%-d/%y"]))
+
 RAW_SQL: dict[str, str] = {
     "raw_roster": f"""
   SELECT o_orderkey AS _row, {_sql_name('o_custkey')} AS {_q('Participant Name')},
-         CASE WHEN o_orderkey % 50 = 0 THEN 'unknown' ELSE {_sql_mdy(_SHIFT.format(c='o_orderdate'))} END
+         CASE WHEN o_orderkey % 50 = 0 THEN 'unknown' ELSE CASE o_orderkey % 7 {_START_SHAPES} END END
              AS {_q('Date Started MHC')},
          CASE WHEN o_orderpriority <> '5-LOW' THEN
               {_sql_mdy(_SHIFT.format(c='o_orderdate') + ' + CAST(30 + o_orderkey * 7 % 700 AS INTEGER)')} END
@@ -250,7 +261,7 @@ RAW_SQL: dict[str, str] = {
     "raw_risk": f"""
   SELECT c_custkey AS _row, {_sql_name('c_custkey')} AS {_q('Participant Name')},
          {_sql_mdy("DATE '2019-01-01' + CAST(c_custkey % 2000 AS INTEGER)")} AS {_q('Assessment Date')},
-         CASE WHEN c_custkey % 50 = 0 THEN 'n/a'
+         CASE WHEN c_custkey % 50 = 0 THEN 'n/a' WHEN c_custkey % 53 = 0 THEN '12d'
               ELSE CAST(CAST(floor((c_acctbal + 1000) / 220) AS BIGINT) AS VARCHAR) END AS {_q('LS/CMI Score')},
          CASE WHEN c_custkey % 4 = 0 THEN ' ' || cat ELSE cat END AS {_q('Risk Level')}
   FROM (SELECT *, CASE WHEN c_acctbal < 0 THEN NULL

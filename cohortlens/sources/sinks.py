@@ -12,13 +12,11 @@ def write_table(df: DataFrame, path: str, n_files: int | None = None, fmt: str =
     return path
 
 
-def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
+def export_csv(df: DataFrame, path: str) -> str:
     """CSV with a header, every field quoted, quotes doubled.
-
-    ``single_file`` coalesces to one part file — only for small report results.
     """
-    out = df.coalesce(1) if single_file else df
-    (out.write.mode("overwrite").option("header", True).option("quoteAll", True)
+    (df.write.mode("overwrite").option("header", True).option("quoteAll", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path))
     return path
 

@@ -5,9 +5,7 @@ cluster's shared checkpoint folder (``spark.checkpoint.dir``), so that:
 
 * reports scan compact, already-joined tables instead of re-deriving them from the
   sources (e.g. lineitem x orders) on every query;
-* each table is written as several similarly sized files (round-robin repartition,
-  immune to hot keys), so every later scan is parallel even when a source file is a
-  single row group;
+* each table is written as files of AQE's advisory size, whatever the skew of its keys;
 * the written tables cut lineage: a lost executor re-reads files instead of
   recomputing the source joins.
 
@@ -20,7 +18,6 @@ then renamed into place, so concurrent writers never expose half-written tables.
 from __future__ import annotations
 
 import hashlib
-import math
 import os
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -30,7 +27,6 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bindings
 from ..session import ensure_checkpoint_dir
 
-TARGET_FILE_BYTES = 128 * 1024 * 1024
 COMPLETE = "_COMPLETE"
 
 
@@ -45,29 +41,21 @@ def _root(spark: SparkSession) -> str:
     return base.rstrip("/") + "/cohortlens/canonical"
 
 
-# main source of each canonical table (its size drives the number of output files)
-MAIN_SOURCE = {"diagnosis_code": "nation", "participant": "customer", "enrollment": "orders",
-               "charge_offense": "part", "participant_charge": "lineitem",
-               "participant_diagnosis": "customer", "risk_assessment": "customer",
-               "jail_data": "events", "treatment_episode": "events", "psychosocial_assessment": "events"}
-SPREAD_BYTES = 4 * 1024 * 1024  # smaller outputs are written as one file, without a shuffle
-
-
-def _source_bytes(spark: SparkSession, sf_dir: str, names=None) -> tuple[int, str]:
-    """Total source bytes and a fingerprint of the source files (size + mtime)."""
-    total, parts = 0, []
-    for name in names or bindings.SOURCE_TABLES:
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Path, size and time of every source file, nested folders included."""
+    parts = []
+    for name in bindings.SOURCE_TABLES:
         fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
-        if not fs.exists(p):
-            continue
-        for st in fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)]:
-            total += st.getLen()
-            parts.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
-    return total, "|".join(sorted(parts))
+        if fs.exists(p):
+            files = fs.listFiles(p, True)
+            while files.hasNext():
+                st = files.next()
+                parts.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
+    return "|".join(sorted(parts))
 
 
 def store_key(spark: SparkSession, sf_dir: str) -> str:
-    _, fp = _source_bytes(spark, sf_dir)
+    fp = _fingerprint(spark, sf_dir)
     with open(bindings.__file__, "rb") as f:
         code = f.read()
     h = hashlib.sha1()
@@ -77,21 +65,10 @@ def store_key(spark: SparkSession, sf_dir: str) -> str:
     return h.hexdigest()[:20]
 
 
-def n_files_for(spark: SparkSession, sf_dir: str, table: str) -> int:
-    """Files for a canonical table: ~128 MB each, and at least the cluster parallelism for
-    tables whose source is larger than a few MB (so later scans are parallel); 1 file
-    for small tables."""
-    size, _ = _source_bytes(spark, sf_dir, [MAIN_SOURCE.get(table, "lineitem")])
-    if size < SPREAD_BYTES:
-        return 1
-    return max(spark.sparkContext.defaultParallelism, math.ceil(size / TARGET_FILE_BYTES))
-
-
-def write_table(df: DataFrame, path: str, n_files: int) -> None:
-    """A5: replace-table write (overwrite).  One file: coalesce (no shuffle); several:
-    round-robin repartition, which balances files whatever the key skew."""
-    out = df.coalesce(1) if n_files == 1 else df.repartition(n_files)
-    out.write.mode("overwrite").parquet(path)
+def write_table(df: DataFrame, path: str) -> None:
+    """A5: replace-table write.  ``rebalance`` deals the rows evenly whatever the keys, and AQE
+    splits and merges the parts to its advisory size, from one file to any number."""
+    df.hint("rebalance").write.mode("overwrite").parquet(path)
 
 
 def materialize(spark: SparkSession, sf_dir: str, root: str | None = None,
@@ -107,8 +84,8 @@ def materialize(spark: SparkSession, sf_dir: str, root: str | None = None,
     tables = bindings.load_tables(spark, sf_dir)
     # independent Spark jobs submitted concurrently: the small tables' jobs use the slots
     # the big fact-table job leaves idle (largest first)
-    names = sorted(bindings.BUILDERS, key=lambda n: -n_files_for(spark, sf_dir, n))
-    plans = [(tables[n], f"{tmp}/{n}", n_files_for(spark, sf_dir, n)) for n in names]
+    names = ["participant_charge", *(n for n in bindings.BUILDERS if n != "participant_charge")]
+    plans = [(tables[n], f"{tmp}/{n}") for n in names]
     with ThreadPoolExecutor(max_workers=min(4, len(plans))) as pool:
         for f in [pool.submit(write_table, *p) for p in plans]:
             f.result()
@@ -150,8 +127,8 @@ _CACHE: dict = {}
 
 
 def stored_tables(spark: SparkSession, sf_dir: str) -> StoredTables:
-    """Canonical tables for ``sf_dir``, materialised on first use (per session)."""
-    key = (id(spark), os.path.abspath(sf_dir))
+    """Canonical tables for ``sf_dir``, materialised when its files are new or changed."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), store_key(spark, sf_dir))
     if key not in _CACHE:
         _CACHE[key] = StoredTables(spark, materialize(spark, sf_dir), sf_dir)
     return _CACHE[key]

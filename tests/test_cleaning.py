@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cohortlens.functions.cleaning import (clean_text, collapse_flags, parse_date, parse_number,
-                                           person_key, person_key_from_parts, resolve_column,
+                                           person_key, person_key_from_parts, Header,
                                            split_name)
 from cohortlens.operators import ingest
 
@@ -48,9 +48,11 @@ def test_b10_collapse_flags(spark):
 
 def test_a3_resolve_column_first_in_file_order():
     cols = ["Participant Name", "Dx Code", "Condition Description", "Assessment Date"]
-    assert resolve_column(cols, ["DIAGNOSIS", "CODE", "DX"]) == "Dx Code"
-    assert resolve_column(cols, ["DIAGNOSIS", "DESCRIPTION", "CONDITION"]) == "Condition Description"
-    assert resolve_column(cols, ["CHARGE DATE"], exact=True) is None
+    h = Header(cols)
+    assert h.holding("DIAGNOSIS", "CODE", "DX") == "Dx Code"
+    assert h.holding("DIAGNOSIS", "DESCRIPTION", "CONDITION") == "Condition Description"
+    assert h.named("CHARGE DATE") is None and h.named("dx code") == "Dx Code"
+    assert Header(["MHC Charge Date", "Charge Date 2"]).holding("CHARGE", without="MHC") == "Charge Date 2"
 
 
 def test_b18_days_filled_only_when_whole_column_empty(spark):

@@ -99,7 +99,8 @@ def fixture_tables(spark):
     return out
 
 
-@pytest.mark.parametrize("name", REPORTS)
+# these two describe the bound tables' own columns, which the fixture does not carry
+@pytest.mark.parametrize("name", [r for r in REPORTS if r not in ("column_profile", "table_inventory")])
 def test_report_matches_oracle_on_fan_out_fixture(fixture_tables, name):
     fn = registry.reports()[name]
     body = report_body(registry.oracle_sql()[name])

@@ -5,10 +5,11 @@ import math
 import pytest
 
 import __spark_entry__ as entry
+from cohortlens.plans import registry
 from tests.conftest import SF_SMALL
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = registry.oracle_sql()
 
 
 def _norm(v):
@@ -41,6 +42,10 @@ def test_query_matches_oracle(spark, duck, name):
     assert _rows(s_cols, s_rows) == _rows(d_cols, d_rows)
 
 
+def test_entry_registers_them_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+
+
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["Group_Type", "Participant_Count", "Participants_With_Post_MHC_Charges",

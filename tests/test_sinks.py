@@ -15,7 +15,7 @@ def _text(path):
 def test_export_csv_quotes_every_field_and_doubles_quotes(spark):
     df = spark.createDataFrame([("a", 'say "hi"', 1), ("b", None, 2)], "k string, v string, n long")
     path = scratch_path(spark, "test-export")
-    sinks.export_csv(df, path, single_file=True)
+    sinks.export_csv(df, path)
     lines = _text(path).splitlines()
     assert lines[0] == '"k","v","n"'
     assert '"a","say ""hi""","1"' in lines

@@ -7,9 +7,12 @@ handling, and the answer equals the brute-force SQL shape.
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from cohortlens.plans import registry
 from cohortlens.plans.registry import reports
+from cohortlens.sources.bindings import report_body
 from tests.util import table, tables
 
 SKEW_CONF = {
@@ -91,6 +94,37 @@ def test_hot_participant_join_is_split_and_result_exact(spark):
     assert "isSkewJoin=true" in final_plan or "skew=true" in final_plan, final_plan[:3000]
 
 
+BOUNDED = ["r3_2", "r3_5", "r4_4", "r4_5", "r5_6", "in_interval", "in_lookback", "in_followup"]
+
+
+@pytest.mark.parametrize("name", BOUNDED)
+def test_hot_participant_is_bounded_before_the_interval_join(spark, name):
+    """Before charges meet on the id alone they are one row per (id, day, ...): the plan groups by
+    the day below the join, and the answer equals the SQL oracle's on the same rows."""
+    import duckdb
+
+    enrollment, charges = _skewed_cohort(spark)
+    people = [(e[0], "F", "L", "1980-01-01", "Female" if i % 2 else "Male", "White") for i, e in enumerate(enrollment)]
+    t = tables(spark, enrollment=enrollment, participant=people, charge_offense=[(1, "Theft", "F")])
+    t["participant_charge"] = table(spark, "participant_charge", charges).repartition(6)
+    old = _with_conf(spark, SKEW_CONF)
+    try:
+        df = reports()[name](t)
+        got = sorted(str(sorted(r.asDict().items())) for r in df.collect())
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        _restore(spark, old)
+    join = next(i for i, line in enumerate(plan.splitlines()) if "Join Inner" in line and "participant_id" in line)
+    assert any("Aggregate" in line and "charge_date" in line for line in plan.splitlines()[join:])
+    con = duckdb.connect()
+    for k, v in t.items():
+        con.register(k, v.toArrow())
+    res = con.execute(report_body(registry.oracle_sql()[name]))
+    cols = [c[0] for c in res.description]
+    want = sorted(str(sorted(zip(cols, r, strict=True))) for r in res.fetchall())
+    assert got == want
+
+
 def test_first_row_per_key_with_hot_key_is_a_partial_aggregate(spark):
     from cohortlens.operators.ingest import first_per_key
     df = spark.range(0, 30000).select(

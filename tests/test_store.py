@@ -1,8 +1,11 @@
 """The materialised canonical store: reuse, force, content equal to the lazy bindings."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from cohortlens.session import scratch_path
 from cohortlens.sources.bindings import BUILDERS, load_tables
-from cohortlens.sources.store import StoredTables, materialize, n_files_for, store_key
+from cohortlens.sources.store import StoredTables, materialize, store_key, write_table
 from tests.conftest import SF_SMALL
 
 
@@ -26,6 +29,39 @@ def test_force_rewrites_in_place(spark):
     assert StoredTables(spark, b, SF_SMALL)["enrollment"].count() == load_tables(spark, SF_SMALL)["enrollment"].count()
 
 
-def test_small_tables_are_one_file(spark):
-    assert n_files_for(spark, SF_SMALL, "diagnosis_code") == 1
-    assert n_files_for(spark, SF_SMALL, "participant_charge") >= 1
+def test_nested_source_files_count(spark):
+    import os
+    import shutil
+    import tempfile
+
+    src = tempfile.mkdtemp(prefix="cohortlens-src-")
+    for f in os.listdir(SF_SMALL):
+        if f != "lineitem.parquet":
+            os.symlink(f"{SF_SMALL}/{f}", f"{src}/{f}")
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    li.withColumn("year", F.year("l_shipdate")).write.partitionBy("year").parquet(f"{src}/lineitem.parquet")
+    before = store_key(spark, src)
+    li.limit(5).write.parquet(f"{src}/lineitem.parquet/year=1995/more")
+    assert store_key(spark, src) != before  # a new file in a nested folder is a new input
+    shutil.rmtree(src)
+
+
+def test_large_tables_are_written_by_many_tasks(spark):
+    path = scratch_path(spark, "test-rebalance")
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        write_table(spark.range(200_000).coalesce(1).selectExpr("id", "uuid() AS v"), path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() > 3
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from cohortlens.session import ensure_checkpoint_dir
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None)))
