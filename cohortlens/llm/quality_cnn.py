@@ -33,30 +33,36 @@ GOOD = 0.8  # weight of label 1 in fitting: to lose a clean document costs four
 PIECE = CHUNK * STEP * 1024
 
 
-def _layout(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(padded bytes, first window of each chunk, row of each chunk).
+def _layout(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(padded bytes, first window of each chunk, row of each chunk, windows that reach into the
+    next row).
 
     Each row is padded with zeros to whole steps and by the bytes its last window needs."""
     size = np.diff(off)
-    steps = np.maximum(1, -(-size // STEP)) + TAPS - 1
+    windows = np.maximum(1, -(-size // STEP))
+    steps = windows + TAPS - 1
     at = np.concatenate([[0], np.cumsum(steps)])
     flat = np.zeros(int(at[-1]) * STEP, dtype=np.uint8)
     dest = np.repeat(at[:-1] * STEP - off[:-1], size) + np.arange(len(buf))
     flat[dest] = buf
-    per_row = -(-steps // CHUNK)
+    over = (at[1:, None] - np.arange(1, TAPS)).ravel()
+    per_row = -(-windows // CHUNK)
     row = np.repeat(np.arange(len(size)), per_row)
     first = np.concatenate([[0], np.cumsum(per_row)])[:-1]
     start = at[row] + (np.arange(len(row)) - first[row]) * CHUNK
-    return flat, start, row
+    return flat, start, row, over
 
 
-def _filters(model: dict, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _filters(model: dict, flat: np.ndarray, over: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(embedded steps, rectified filter outputs of every window; 0 for windows ``over`` a row)."""
     a = model["emb"][flat].reshape(len(flat) // STEP, STEP * EMBED)
     z = a @ model["w"]  # (steps, TAPS * FILTERS)
     out = z[:, :FILTERS] + model["b"]
     for k in range(1, TAPS):
         out[:-k] += z[k:, k * FILTERS:(k + 1) * FILTERS]
-    return a, np.maximum(out, 0, out=out)
+    np.maximum(out, 0, out=out)
+    out[over] = 0
+    return a, out
 
 
 def _pooled(chunk_max: np.ndarray, row: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -96,8 +102,8 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 7, batch: int = 16,
         for ids in (order[i:i + batch] for i in range(0, len(order), batch)):
             raw = [np.frombuffer(texts[i], np.uint8) for i in ids]
             off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-            flat, start, row = _layout(np.concatenate(raw), off)
-            a, z = _filters(m, flat)
+            flat, start, row, over = _layout(np.concatenate(raw), off)
+            a, z = _filters(m, flat, over)
             cm = np.maximum.reduceat(z, start, axis=0)
             x = _pooled(cm, row, np.diff(off))
             hidden, p = _head(m, x)
@@ -137,15 +143,15 @@ def scores(model: dict, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         top, total, n = np.full(FILTERS, -np.inf), np.zeros(FILTERS), 0
         for i in range(0, len(buf), PIECE):
             part = buf[i:i + PIECE + WIDTH - STEP]  # the bytes that the last windows reach into
-            flat, start, _ = _layout(part, np.array([0, len(part)]))
+            flat, start, _, over = _layout(part, np.array([0, len(part)]))
             steps = min(len(buf) - i, PIECE)
-            z = _filters(model, flat)[1][:max(1, -(-steps // STEP))]
+            z = _filters(model, flat, over)[1][:max(1, -(-steps // STEP))]
             cm = np.maximum.reduceat(z, start[start < len(z)], axis=0)
             top, total, n = np.maximum(top, cm.max(axis=0)), total + cm.sum(axis=0), n + len(cm)
         x = np.concatenate([top, total / n, [1.0]])[None, :]
     else:
-        flat, start, row = _layout(buf, off)
-        x = _pooled(np.maximum.reduceat(_filters(model, flat)[1], start, axis=0), row, np.diff(off))
+        flat, start, row, over = _layout(buf, off)
+        x = _pooled(np.maximum.reduceat(_filters(model, flat, over)[1], start, axis=0), row, np.diff(off))
     return _head(model, x)[1].astype(np.float64)
 
 
@@ -153,7 +159,7 @@ def _block_scores(model: dict, column: pa.Array) -> np.ndarray:
     out = np.zeros(len(column))
     for i, j, buf, off in text_blocks(column, 1 << 19):
         out[i:j] = scores(model, buf, off)
-    return out
+    return np.round(out, 6)  # equal texts score alike, whatever block they share
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", **sample) -> dict:
