@@ -64,7 +64,9 @@ def alignments(docs: DataFrame, items: DataFrame, window: int = WINDOW, slack: i
     tokens = d.select("id", "key", F.posexplode(words(F.col("text"))).alias("pos", "term"))
     frequency = written(tokens.select("term").join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("f")), "index-terms")
     ahead = W.partitionBy("iid").orderBy("at").rowsBetween(0, window - 1)
-    rare = F.min(F.struct(F.coalesce("f", F.lit(0).cast("long")).alias("f"), "term", "at")).over(ahead)
+    rare = F.struct(F.coalesce("f", F.lit(0).cast("long")).alias("f"), "term", "at")
+    # an exact phrase needs all its terms; near its place, the rarest of those that occur will do
+    rare = F.min(F.when(F.col("f") > 0, rare) if slack else rare).over(ahead)
     anchors = written(places.join(frequency, "term", "left").withColumn("rare", rare)
                       .where(f"at <= greatest(n - {window}, 0) and rare.f > 0")
                       .select("iid", "n", "rare.term", "rare.at").distinct(), "index-anchors")
