@@ -5,17 +5,17 @@ Scale strategy
 An interval join is an equi-join on the subject id plus a date residual.  If one subject
 holds a large share of all events, the partition of that id dominates.  Defences:
 
-1. Counting queries use INNER interval joins on the raw events (one shuffle of the event
-   table).  AQE's skew-join handling splits a hot subject's partition into several tasks
-   (``tests/test_skew.py`` shows ``isSkewJoin=true``), and every aggregate after the join
-   is partial, so the hot subject is combined map-side.
+1. Counting queries reduce the events to one row per (id, day) first (``day_counts``): the
+   group key spreads a hot subject over its days, and the join on the id then brings together at
+   most a calendar of rows per subject.  They do not depend on AQE's skew handling, which gives
+   up where the aggregate after the join has the join's own key.
 2. ``intervals LEFT JOIN events`` is never planned as an outer join (whose right side AQE
    cannot split): ``flag_intervals`` unions an inner join with one zero row per interval.
 3. EXISTS / NOT EXISTS (semi/anti joins, whose right side cannot be split) first reduce
    the events to distinct (id, day) pairs: a partial aggregate bounded per subject by the
    calendar, whatever the subject's share of the rows.
-4. ``day_counts`` offers the same (id, day) pre-aggregation for counting queries when many
-   events share a day; it costs an extra shuffle of the facts otherwise.
+4. ``events_in_window`` returns the events themselves: an inner join on raw rows, whose hot
+   partitions AQE splits (nothing is grouped by the id after it).
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ from ..functions.cleaning import (NUMBER, STRIP_PATTERN, TIME_PART, Header, clea
                                   person_key, person_key_from_parts, replace_token, split_name)
 from ..operators import ingest
 from ..operators.catalog import publish_reports
+from ..operators.metrics import with_total
 from ..session import scratch_path
 from ..sources import csv as csv_src
 from ..sources import sinks
@@ -412,7 +413,7 @@ def q_resolve_columns(t):
         h = Header(raw(t, name).columns)
         rows.append((name, h.holding("NAME"), h.holding("DATE"), h.named("class") or h.holding("LEVEL", "STATUS")))
     found = t.spark.createDataFrame(rows, "extract string, person string, dated string, graded string")
-    return found.crossJoin(raw(t, "raw_risk").agg(F.count("Participant Name").alias("n_risk_rows")))
+    return with_total(found, raw(t, "raw_risk").agg(F.count("Participant Name").alias("n_risk_rows")))
 
 
 SQL["resolve_columns"] = raw_sql_with("raw_risk") + """
