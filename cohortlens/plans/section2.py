@@ -178,24 +178,17 @@ def graduation_by_condition(t) -> DataFrame:
     return metric_rows(row, rows, types)
 
 
-def _sql_grad_arm(label: str, where: str, with_diag: bool) -> str:
-    grad = "SUM(CASE WHEN e.end_status = 'Graduated' THEN 1 ELSE 0 END)"
-    join = "JOIN participant_diagnosis pd ON p.participant_id = pd.participant_id" if with_diag else ""
-    return f"""SELECT '{label}' AS Condition, COUNT(DISTINCT p.participant_id) AS Total_With_Condition,
-       CAST({grad} AS BIGINT) AS Graduated,
-       {sql_pct(grad, 'COUNT(DISTINCT p.participant_id)')} AS Graduation_Rate
-FROM participant p JOIN enrollment e ON p.participant_id = e.participant_id {join}
-WHERE {where}"""
-
-
-SQL["r2_6"] = sql_with("participant", "enrollment", "participant_diagnosis") + \
-    _sql_grad_arm("PTSD Present", "upper(pd.diagnosis_description) LIKE '%PTSD%'", True) + \
-    "\nUNION ALL\n" + \
-    _sql_grad_arm("Bipolar Present", "upper(pd.diagnosis_description) LIKE '%BIPOLAR%'", True) + \
-    "\nUNION ALL\n" + \
-    _sql_grad_arm("Any MH Diagnosis",
-                  "EXISTS (SELECT 1 FROM participant_diagnosis pd WHERE pd.participant_id = p.participant_id)",
-                  False)
+SQL["r2_6"] = sql_with("participant", "enrollment", "participant_diagnosis") + f"""
+, exits AS (SELECT participant_id, end_status = 'Graduated' AS done FROM participant JOIN enrollment USING (participant_id)),
+kinds(label, word) AS (VALUES ('PTSD Present', 'PTSD'), ('Bipolar Present', 'BIPOLAR')),
+hits AS (SELECT label, participant_id, done FROM exits JOIN participant_diagnosis USING (participant_id)
+                JOIN kinds ON contains(upper(diagnosis_description), word)
+         UNION ALL
+         SELECT 'Any MH Diagnosis', participant_id, done FROM exits SEMI JOIN participant_diagnosis USING (participant_id))
+SELECT k.label AS Condition, count(DISTINCT participant_id) AS Total_With_Condition,
+       CAST(sum(CASE WHEN hits.label IS NULL THEN NULL WHEN done THEN 1 ELSE 0 END) AS BIGINT) AS Graduated,
+       {sql_pct('sum(CASE WHEN done THEN 1 ELSE 0 END)', 'count(DISTINCT participant_id)')} AS Graduation_Rate
+FROM (SELECT label FROM kinds UNION ALL SELECT 'Any MH Diagnosis') k LEFT JOIN hits ON k.label = hits.label GROUP BY k.label"""
 
 
 # ---------------------------------------------------------------- r2_7 treatment engagement

@@ -90,20 +90,17 @@ def history_before_during(t) -> DataFrame:
     ], types)
 
 
-def _sql_history_arm(label: str, cond: str) -> str:
-    hit = f"SUM(CASE WHEN {cond} THEN 1 ELSE 0 END)"
-    return f"""SELECT '{label}' AS Period, COUNT(*) AS Total_Charges,
-       COUNT(DISTINCT pc.participant_id) AS Participants_With_Charges,
-       CAST(SUM(CASE WHEN pc.outcome = 'Convicted' THEN 1 ELSE 0 END) AS BIGINT) AS Total_Convictions,
-       {sql_pct(hit, 'COUNT(*)')} AS Percentage_Before_MHC
-FROM participant_charge pc JOIN enrollment e ON pc.participant_id = e.participant_id
-WHERE pc.charge_date IS NOT NULL AND e.start_date IS NOT NULL"""
-
-
-SQL["r3_2"] = sql_with("participant_charge", "enrollment") + \
-    _sql_history_arm("Before MHC Enrollment", "pc.charge_date < e.start_date") + "\nUNION ALL\n" + \
-    _sql_history_arm("During MHC Enrollment",
-                     "pc.charge_date >= e.start_date AND (pc.charge_date <= e.end_date OR e.end_date IS NULL)")
+SQL["r3_2"] = sql_with("participant_charge", "enrollment") + f"""
+, pairs AS (SELECT participant_id, outcome, charge_date < start_date AS earlier,
+                   charge_date BETWEEN start_date AND coalesce(end_date, charge_date) AS inside
+            FROM participant_charge JOIN enrollment USING (participant_id)
+            WHERE charge_date IS NOT NULL AND start_date IS NOT NULL),
+tally AS (SELECT count(*) AS n, count(DISTINCT participant_id) AS ids,
+                 CAST(sum(CASE outcome WHEN 'Convicted' THEN 1 ELSE 0 END) AS BIGINT) AS guilty,
+                 count(*) FILTER (earlier) AS b, count(*) FILTER (inside) AS d FROM pairs)
+SELECT period AS Period, n AS Total_Charges, ids AS Participants_With_Charges, guilty AS Total_Convictions,
+       CASE period WHEN 'Before MHC Enrollment' THEN {sql_pct('b', 'n')} ELSE {sql_pct('d', 'n')} END AS Percentage_Before_MHC
+FROM tally, (VALUES ('Before MHC Enrollment'), ('During MHC Enrollment')) periods(period)"""
 
 
 # ---------------------------------------------------------------- r3_3 per-participant history
@@ -124,15 +121,15 @@ def history_per_participant(t) -> DataFrame:
     ], types)
 
 
-def _sql_summary_arm(label: str, measure: str) -> str:
-    return f"""SELECT '{label}' AS Metric, {sql_round_ratio('SUM(x)', 'COUNT(x)', 2)} AS Average,
-       CAST(MIN(x) AS BIGINT) AS Minimum, CAST(MAX(x) AS BIGINT) AS Maximum, CAST(SUM(x) AS BIGINT) AS Total
-FROM (SELECT pc.participant_id, {measure} AS x FROM participant_charge pc GROUP BY pc.participant_id) s"""
-
-
-SQL["r3_3"] = sql_with("participant_charge") + \
-    _sql_summary_arm("Charges Per Participant", "COUNT(*)") + "\nUNION ALL\n" + \
-    _sql_summary_arm("Convictions Per Participant", "SUM(CASE WHEN pc.outcome = 'Convicted' THEN 1 ELSE 0 END)")
+SQL["r3_3"] = sql_with("participant_charge") + f"""
+, people AS (SELECT count(*) AS charges, count(*) FILTER (outcome = 'Convicted') AS convictions
+             FROM participant_charge GROUP BY participant_id),
+long AS (SELECT unnest([{{'m': 'Charges Per Participant', 'x': charges}},
+                        {{'m': 'Convictions Per Participant', 'x': convictions}}], recursive := true) FROM people)
+SELECT metric AS Metric, {sql_round_ratio('sum(x)', 'count(x)', 2)} AS Average, min(x) AS Minimum, max(x) AS Maximum,
+       CAST(sum(x) AS BIGINT) AS Total
+FROM (VALUES ('Charges Per Participant'), ('Convictions Per Participant')) k(metric) LEFT JOIN long ON m = metric
+GROUP BY metric"""
 
 
 # ---------------------------------------------------------------- r3_4 risk by exit status
@@ -153,13 +150,11 @@ def risk_by_exit_status(t) -> DataFrame:
 
 
 SQL["r3_4"] = sql_with("participant", "enrollment", "risk_assessment") + f"""
-SELECT e.end_status AS End_Status, COUNT(*) AS Participant_Count,
-       {sql_round_real('AVG(ra.risk_score)', 2)} AS Average_Risk_Score,
-       MIN(ra.risk_score) AS Min_Risk_Score, MAX(ra.risk_score) AS Max_Risk_Score
-FROM participant p JOIN enrollment e ON p.participant_id = e.participant_id
-LEFT JOIN risk_assessment ra ON p.participant_id = ra.participant_id
-WHERE e.end_status IS NOT NULL AND ra.risk_score IS NOT NULL
-GROUP BY e.end_status"""
+, exits AS (SELECT participant_id, end_status FROM participant JOIN enrollment USING (participant_id) WHERE end_status IS NOT NULL),
+scored AS (SELECT participant_id, risk_score AS x FROM risk_assessment WHERE risk_score IS NOT NULL)
+SELECT end_status AS End_Status, count(*) AS Participant_Count, {sql_round_real('avg(x)', 2)} AS Average_Risk_Score,
+       min(x) AS Min_Risk_Score, max(x) AS Max_Risk_Score
+FROM exits JOIN scored USING (participant_id) GROUP BY end_status"""
 
 
 # ---------------------------------------------------------------- r3_5 prior class vs outcome
@@ -189,15 +184,12 @@ def prior_class_outcome(t, min_group_size: int = MIN_GROUP) -> DataFrame:
             .orderBy(F.desc("Total_Participants"), "Offense_Class"))
 
 
-_G = "SUM(CASE WHEN e.end_status = 'Graduated' THEN 1 ELSE 0 END)"
 SQL["r3_5"] = sql_with("participant", "enrollment", "participant_charge", "charge_offense") + f"""
-SELECT co.class AS Offense_Class, COUNT(DISTINCT p.participant_id) AS Total_Participants,
-       CAST({_G} AS BIGINT) AS Graduated,
-       CAST(SUM(CASE WHEN e.end_status = 'Terminated' THEN 1 ELSE 0 END) AS BIGINT) AS Terminated,
-       {sql_pct(_G, 'COUNT(DISTINCT p.participant_id)')} AS Graduation_Rate
-FROM participant p JOIN enrollment e ON p.participant_id = e.participant_id
-JOIN participant_charge pc ON p.participant_id = pc.participant_id
-JOIN charge_offense co ON pc.offense_id = co.offense_id
-WHERE e.end_status IN ('Graduated', 'Terminated') AND pc.charge_date < e.start_date
-GROUP BY co.class
-HAVING COUNT(DISTINCT p.participant_id) >= {MIN_GROUP}"""
+, prior AS (SELECT class, participant_id, count(*) FILTER (end_status = 'Graduated') AS g,
+                   count(*) FILTER (end_status = 'Terminated') AS x
+            FROM enrollment JOIN participant USING (participant_id) JOIN participant_charge USING (participant_id)
+                 JOIN charge_offense USING (offense_id)
+            WHERE end_status IN ('Graduated', 'Terminated') AND charge_date < start_date GROUP BY ALL)
+SELECT class AS Offense_Class, count(*) AS Total_Participants, CAST(sum(g) AS BIGINT) AS Graduated,
+       CAST(sum(x) AS BIGINT) AS Terminated, {sql_pct('sum(g)', 'count(*)')} AS Graduation_Rate
+FROM prior GROUP BY class HAVING count(*) >= {MIN_GROUP}"""

@@ -45,16 +45,13 @@ def phase_progression(t) -> DataFrame:
                              {"Phase_Transition": "Overall Program Completion", **common}], types)
 
 
-def _sql_phase_arm(label: str) -> str:
-    g = "COUNT(DISTINCT CASE WHEN e.end_status = 'Graduated' THEN p.participant_id END)"
-    return f"""SELECT '{label}' AS Phase_Transition, COUNT(DISTINCT p.participant_id) AS Attempted_Transition,
-       {g} AS Successful_Graduation, {sql_pct(g, 'COUNT(DISTINCT p.participant_id)')} AS Success_Rate
-FROM participant p JOIN enrollment e ON p.participant_id = e.participant_id
-WHERE e.end_status IS NOT NULL"""
-
-
-SQL["r4_1"] = sql_with("participant", "enrollment") + _sql_phase_arm("Phase 1 to 2") + \
-    "\nUNION ALL\n" + _sql_phase_arm("Overall Program Completion")
+SQL["r4_1"] = sql_with("participant", "enrollment") + f"""
+, people AS (SELECT participant_id, max(CASE end_status WHEN 'Graduated' THEN 1 ELSE 0 END) AS done
+             FROM enrollment SEMI JOIN participant USING (participant_id)
+             WHERE end_status IS NOT NULL GROUP BY participant_id),
+tally AS (SELECT count(*) AS n, CAST(coalesce(sum(done), 0) AS BIGINT) AS g FROM people)
+SELECT step AS Phase_Transition, n AS Attempted_Transition, g AS Successful_Graduation, {sql_pct('g', 'n')} AS Success_Rate
+FROM tally, (VALUES ('Phase 1 to 2'), ('Overall Program Completion')) steps(step)"""
 
 
 # ---------------------------------------------------------------- r4_2 exit status
@@ -137,19 +134,26 @@ def convictions_before_during(t) -> DataFrame:
     ], types)
 
 
-def _sql_conv_arm(label: str, cond: str) -> str:
-    return f"""SELECT '{label}' AS Period, COUNT(*) AS Total_Convictions,
-       COUNT(DISTINCT pc.participant_id) AS Participants_With_Convictions,
-       {sql_round_ratio('COUNT(*)', 'COUNT(DISTINCT pc.participant_id)', 2)} AS Avg_Convictions_Per_Participant
-FROM participant_charge pc JOIN enrollment e ON pc.participant_id = e.participant_id
-WHERE pc.outcome = 'Convicted' AND {cond}"""
+def _sql_before_during(charges: str, lookback: str, before: str, during: str) -> str:
+    """CTEs: one row per (charge, enrolment) pair and period that the charge falls into."""
+    return f"""
+, periods(period) AS (VALUES ('{before}'), ('{during}')),
+placed AS (
+  SELECT participant_id, unnest([
+           CASE WHEN {lookback} THEN '{before}' END,
+           CASE WHEN charge_date BETWEEN start_date AND coalesce(end_date, charge_date) THEN '{during}' END]) AS period
+  FROM ({charges}) JOIN enrollment USING (participant_id)),
+tally AS (SELECT period, count(participant_id) AS n, count(DISTINCT participant_id) AS ids
+          FROM periods LEFT JOIN placed USING (period) GROUP BY period)
+"""
 
 
-_DURING = "pc.charge_date >= e.start_date AND (pc.charge_date <= e.end_date OR e.end_date IS NULL)"
-SQL["r4_4"] = sql_with("participant_charge", "enrollment") + _sql_conv_arm(
-    "Before MHC (12 months prior)",
-    "pc.charge_date < e.start_date AND date_diff('day', pc.charge_date, e.start_date) <= 365") + \
-    "\nUNION ALL\n" + _sql_conv_arm("During MHC Participation", _DURING)
+SQL["r4_4"] = sql_with("participant_charge", "enrollment") + _sql_before_during(
+    "SELECT participant_id, charge_date FROM participant_charge WHERE outcome = 'Convicted'",
+    "date_diff('day', charge_date, start_date) BETWEEN 1 AND 365",
+    "Before MHC (12 months prior)", "During MHC Participation") + f"""
+SELECT period AS Period, n AS Total_Convictions, ids AS Participants_With_Convictions,
+       {sql_round_ratio('n', 'ids', 2)} AS Avg_Convictions_Per_Participant FROM tally"""
 
 
 @report("r4_5")
@@ -166,17 +170,11 @@ def felony_before_during(t) -> DataFrame:
     ], types)
 
 
-def _sql_felony_arm(label: str, cond: str) -> str:
-    return f"""SELECT '{label}' AS Category, COUNT(*) AS Conviction_Count,
-       COUNT(DISTINCT pc.participant_id) AS Participants
-FROM participant_charge pc JOIN enrollment e ON pc.participant_id = e.participant_id
-JOIN charge_offense co ON pc.offense_id = co.offense_id
-WHERE pc.outcome = 'Convicted' AND co.class = 'F' AND {cond}"""
-
-
-SQL["r4_5"] = sql_with("participant_charge", "enrollment", "charge_offense") + \
-    _sql_felony_arm("Felony Convictions Before MHC", "pc.charge_date < e.start_date") + \
-    "\nUNION ALL\n" + _sql_felony_arm("Felony Convictions During MHC", _DURING)
+SQL["r4_5"] = sql_with("participant_charge", "enrollment", "charge_offense") + _sql_before_during(
+    "SELECT participant_id, charge_date FROM participant_charge JOIN charge_offense USING (offense_id) "
+    "WHERE outcome = 'Convicted' AND class = 'F'", "charge_date < start_date",
+    "Felony Convictions Before MHC", "Felony Convictions During MHC") + """
+SELECT period AS Category, n AS Conviction_Count, ids AS Participants FROM tally"""
 
 
 # ---------------------------------------------------------------- r4_6 no charge during
@@ -204,17 +202,15 @@ def charge_free_during(t) -> DataFrame:
     ], types)
 
 
-def _sql_exists_arm(label: str, neg: str) -> str:
-    return f"""SELECT '{label}' AS Category, COUNT(DISTINCT e.participant_id) AS Participant_Count,
-       {sql_pct_unrounded('COUNT(DISTINCT e.participant_id)', '(SELECT COUNT(*) FROM enrollment)')} AS Percentage
-FROM enrollment e
-WHERE {neg} EXISTS (SELECT 1 FROM participant_charge pc
-                    WHERE pc.participant_id = e.participant_id AND {_DURING})"""
-
-
-SQL["r4_6"] = sql_with("participant_charge", "enrollment") + \
-    _sql_exists_arm("Participants with NO Charges During MHC", "NOT") + "\nUNION ALL\n" + \
-    _sql_exists_arm("Participants with Charges During MHC", "")
+SQL["r4_6"] = sql_with("participant_charge", "enrollment") + f"""
+, marked AS (
+  SELECT participant_id, start_date, end_date,
+         coalesce(bool_or(charge_date BETWEEN start_date AND coalesce(end_date, charge_date)), FALSE) AS charged
+  FROM enrollment LEFT JOIN participant_charge USING (participant_id) GROUP BY ALL),
+kinds(label, want) AS (VALUES ('Participants with NO Charges During MHC', FALSE), ('Participants with Charges During MHC', TRUE)),
+tally AS (SELECT label, count(DISTINCT participant_id) AS n FROM kinds LEFT JOIN marked ON charged = want GROUP BY label)
+SELECT label AS Category, n AS Participant_Count,
+       {sql_pct_unrounded('n', '(SELECT count(*) FROM enrollment)')} AS Percentage FROM tally"""
 
 
 # ---------------------------------------------------------------- r4_7 jail days
@@ -234,16 +230,14 @@ def jail_days(t) -> DataFrame:
 
 
 SQL["r4_7"] = sql_with("jail_data", "enrollment") + f"""
-SELECT 'Total Jail Days During MHC' AS Metric, SUM(jd.days_incarcerated) AS Value,
-       COUNT(DISTINCT jd.participant_id) AS Participants_Affected
-FROM jail_data jd WHERE jd.days_incarcerated IS NOT NULL
-UNION ALL
-SELECT 'Average Jail Days Per Incarcerated Participant', {sql_round_real('AVG(jd.days_incarcerated)', 1)}, NULL
-FROM jail_data jd WHERE jd.days_incarcerated IS NOT NULL
-UNION ALL
-SELECT 'Percentage of Participants with Jail Time During MHC',
-       {sql_pct('COUNT(DISTINCT jd.participant_id)', '(SELECT COUNT(*) FROM enrollment)')}, NULL
-FROM jail_data jd WHERE jd.days_incarcerated IS NOT NULL"""
+, days AS (SELECT sum(days_incarcerated) AS total, avg(days_incarcerated) AS mean, count(DISTINCT participant_id) AS ids
+           FROM jail_data WHERE days_incarcerated IS NOT NULL)
+SELECT unnest([
+  {{'Metric': 'Total Jail Days During MHC', 'Value': total, 'Participants_Affected': ids}},
+  {{'Metric': 'Average Jail Days Per Incarcerated Participant', 'Value': {sql_round_real('mean', 1)}, 'Participants_Affected': NULL}},
+  {{'Metric': 'Percentage of Participants with Jail Time During MHC',
+    'Value': {sql_pct('ids', '(SELECT count(*) FROM enrollment)')}, 'Participants_Affected': NULL}}], recursive := true)
+FROM days"""
 
 
 # ---------------------------------------------------------------- r4_8 cost savings
@@ -257,17 +251,16 @@ def cost_savings(t) -> DataFrame:
     ], {"Metric": "string", "Value": "double"})
 
 
-_PROJ = (f"((SELECT COUNT(*) FROM enrollment) * (SELECT AVG(e.length_days) FROM enrollment e) / 365.0 "
-         f"* (SELECT AVG(jd2.days_incarcerated) * {DAILY_JAIL_COST} FROM jail_data jd2) * {BEFORE_RATE_UPLIFT})")
-_ACT = f"(SELECT SUM(jd.days_incarcerated) * {DAILY_JAIL_COST} FROM jail_data jd WHERE jd.days_incarcerated IS NOT NULL)"
 SQL["r4_8"] = sql_with("jail_data", "enrollment") + f"""
-SELECT 'Estimated Jail Cost Savings During MHC' AS Metric,
-       {sql_round_real(f'SUM(jd.days_incarcerated) * {DAILY_JAIL_COST}', 2)} AS Value
-FROM jail_data jd WHERE jd.days_incarcerated IS NOT NULL
-UNION ALL
-SELECT 'Potential Cost Without MHC (Based on Before Rates)', {sql_round_real(_PROJ, 2)}
-UNION ALL
-SELECT 'Estimated Net Cost Savings', {sql_round_real(f'{_PROJ} - {_ACT}', 2)}"""
+, jail AS (SELECT sum(days_incarcerated) * {DAILY_JAIL_COST} AS spent, avg(days_incarcerated) * {DAILY_JAIL_COST} AS each
+           FROM jail_data),
+model AS (SELECT spent, n * stay / 365.0 * each * {BEFORE_RATE_UPLIFT} AS without
+          FROM jail, (SELECT count(*) AS n, avg(length_days) AS stay FROM enrollment))
+SELECT unnest([
+  {{'Metric': 'Estimated Jail Cost Savings During MHC', 'Value': {sql_round_real('spent', 2)}}},
+  {{'Metric': 'Potential Cost Without MHC (Based on Before Rates)', 'Value': {sql_round_real('without', 2)}}},
+  {{'Metric': 'Estimated Net Cost Savings', 'Value': {sql_round_real('(without - spent)', 2)}}}], recursive := true)
+FROM model"""
 
 
 # ---------------------------------------------------------------- r4_9 post-programme outcomes
@@ -293,16 +286,16 @@ def post_programme_outcomes(t, followup_days: int = FOLLOWUP_DAYS) -> DataFrame:
                     .alias("Percentage_With_Post_MHC_Charges"))
 
 
-_FU = ("pc.charge_date > e.end_date AND date_diff('day', e.end_date, pc.charge_date) <= 365")
-_ANY = f"COUNT(DISTINCT CASE WHEN {_FU} THEN pc.participant_id END)"
 SQL["r4_9"] = sql_with("participant_charge", "enrollment") + f"""
-SELECT CASE WHEN e.end_status = 'Graduated' THEN 'Graduates'
-            WHEN e.end_status = 'Terminated' THEN 'Terminated Participants' ELSE 'Other' END AS Group_Type,
-       COUNT(DISTINCT e.participant_id) AS Participant_Count,
-       {_ANY} AS Participants_With_Post_MHC_Charges,
-       COUNT(DISTINCT CASE WHEN pc.outcome = 'Convicted' AND {_FU} THEN pc.participant_id END)
-           AS Participants_With_Post_MHC_Convictions,
-       {sql_pct(_ANY, 'COUNT(DISTINCT e.participant_id)')} AS Percentage_With_Post_MHC_Charges
-FROM enrollment e LEFT JOIN participant_charge pc ON e.participant_id = pc.participant_id
-WHERE e.end_status IN ('Graduated', 'Terminated') AND e.end_date IS NOT NULL
-GROUP BY 1"""
+, people AS (
+  SELECT CASE end_status WHEN 'Graduated' THEN 'Graduates' ELSE 'Terminated Participants' END AS kind, participant_id,
+         max(CASE WHEN date_diff('day', end_date, charge_date) BETWEEN 1 AND 365 THEN 1 ELSE 0 END) AS again,
+         max(CASE WHEN date_diff('day', end_date, charge_date) BETWEEN 1 AND 365 AND outcome = 'Convicted'
+                  THEN 1 ELSE 0 END) AS guilty
+  FROM enrollment LEFT JOIN participant_charge USING (participant_id)
+  WHERE end_status IN ('Graduated', 'Terminated') AND end_date IS NOT NULL AND participant_id IS NOT NULL GROUP BY ALL)
+SELECT kind AS Group_Type, count(*) AS Participant_Count,
+       CAST(sum(again) AS BIGINT) AS Participants_With_Post_MHC_Charges,
+       CAST(sum(guilty) AS BIGINT) AS Participants_With_Post_MHC_Convictions,
+       {sql_pct('sum(again)', 'count(*)')} AS Percentage_With_Post_MHC_Charges
+FROM people GROUP BY kind"""
