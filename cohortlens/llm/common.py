@@ -37,6 +37,12 @@ def written(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], columns: dict[str, str]) -> DataFrame:
+    """A few given rows as a table, from literals alone."""
+    row = [F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(r, columns.items(), strict=True)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*row)))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Hint a broadcast only after counting: beyond ``max_rows`` the join stays a shuffle join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, written
+from .common import broadcast_if_small, literal_table, written
 from .decontamination import LOWER, UPPER
 
 LINK = r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
@@ -91,7 +91,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, thres
     ``rules``: (host, path, verdict), a list or a table; a rule fits its host and all
     subdomains, if the page's path starts with the rule's; the longest wins."""
     if not isinstance(rules, DataFrame):
-        rules = pages.sparkSession.createDataFrame(rules, "host string, path string, verdict string")
+        rules = literal_table(pages.sparkSession, rules, dict.fromkeys(("host", "path", "verdict"), "string"))
     by_host = rules.groupBy(F.col("host").alias("suffix")).agg(F.collect_set(F.struct(
         F.length(F.concat("host", "path")).alias("size"), F.concat("host", "path").alias("rule"), "path", "verdict")).alias("rules"))
     links = written(host_edges(pages, url_col, html_col), "url-links")
