@@ -1,7 +1,7 @@
 """MinHash near-dedup by a multi-index Hamming join (operator 10).
 
 A document's set holds its distinct w-word shingles.  Its signature has ``components`` MinHash
-values cut to 8 bits; the distance of two signatures is the number of differing components.
+values cut to 16 bits; the distance of two signatures is the number of differing components.
 Two sets of similarity s differ in about (1 - s) of them, so all pairs of at least the
 threshold lie, but for a probability under about 1e-5, within
 
@@ -9,7 +9,8 @@ threshold lie, but for a probability under about 1e-5, within
 
 The signature is cut into m = ceil((r + 1) / 2) chunks: by the pigeonhole principle, two
 signatures within r differ in at most one component of some chunk.  Chunk errors are
-enumerated by leaving out one component of the chunk in turn, so such a pair shares a key;
+enumerated by leaving out one component of the chunk in turn, so such a pair shares a key
+(of 48 bits or more: unlike texts meet by chance only beyond any real corpus);
 every pair within r is a candidate.  Candidates within a wider distance (6.5 standard
 deviations, so that no likely link goes) are confirmed on their full sets.
 
@@ -64,13 +65,13 @@ def chunks(components: int, similarity: float) -> list[tuple[int, int]]:
 
 
 def signature(s: np.ndarray, components: int) -> bytes:
-    """8 bits of the minimum of each of ``components`` hash functions over a set."""
+    """16 bits of the minimum of each of ``components`` hash functions over a set."""
     low = np.full(components, np.uint64(0xFFFFFFFFFFFFFFFF))
     for i in range(0, len(s), 4096):
         v = np.multiply.outer(_MUL[:components], s[i:i + 4096])
         v += _ADD[:components, None]
         np.minimum(low, v.min(axis=1), out=low)
-    return ((low >> np.uint64(16)) & np.uint64(255)).astype(np.uint8).tobytes()
+    return ((low >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
 
 
 def _sets(batch: pa.RecordBatch, size: int):
@@ -131,7 +132,7 @@ def _near(reach: int):
         for b in batches:
             if not len(b):
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), -1) for c in ("ga", "gb"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(len(b), -1) for c in ("ga", "gb"))
             yield b.select(["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= reach))
     return run
 
@@ -188,8 +189,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = (sigs.where("n_shingles > 0 and id is not null").groupBy("n_shingles", "k1", "k2")
                .agg(F.min("id").alias("id"), F.min("sig").alias("sig")))
     classes = written(classes, "near-classes")
-    keys = [F.xxhash64(F.lit(start * 64 + i), F.substring("sig", start + 1, i),
-                       F.substring("sig", start + i + 2, length - i - 1))
+    keys = [F.xxhash64(F.lit(start * 64 + i), F.substring("sig", 2 * start + 1, 2 * i),
+                       F.substring("sig", 2 * (start + i) + 3, 2 * (length - i - 1)))
             for start, length in chunks(components, num / den) for i in range(length)]
     entries = classes.select("id", F.col("n_shingles").alias("n"), F.explode(F.array(*keys)).alias("key"))
     shared = (entries.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub"))
