@@ -45,6 +45,7 @@ from .common import mix, shingle_hashes, text_blocks, word_hashes, written
 
 COMPONENTS = 64
 SMALL_KEY = 24
+EARLIER = 48  # shingles before a shared one that are searched for an earlier shared one
 _RNG = np.random.default_rng(77)
 _MUL = _RNG.integers(0, 1 << 64, 1024, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 64, 1024, dtype=np.uint64)
@@ -261,9 +262,11 @@ def _prefix_pairs(dense: DataFrame, texts: DataFrame, size: int, num: int, den:
     ranked = (ranked.withColumn("r", F.row_number().over(w.orderBy("f", "h"))).withColumn("n", F.count("*").over(w))
               .where(f"r <= n - ceil(n * {num} / {den}) + 1 and f > 1"))
     mixed = ranked.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("h")
-    x = ranked.join(mixed, "h", "left_semi").select("h", "id", "label", "n", "r")
-    y = x.select("h", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "n", "r")])
-    # the first shingle that two sets share bounds their overlap by what follows it in either
+    ranked = ranked.withColumn("back", F.collect_list("h").over(w.orderBy("f", "h").rowsBetween(-EARLIER, -1)))
+    x = ranked.join(mixed, "h", "left_semi").select("h", "id", "label", "n", "r", "back")
+    y = x.select("h", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "n", "r", "back")])
+    # the first shingle that two sets share bounds their overlap by what follows it in either; a
+    # pair with a common shingle shortly before comes from that one already
     enough = f"{num + den} * (1 + least(n - r, n2 - r2)) >= {num} * (n + n2)"
-    return (x.join(y, "h").where(f"id < id2 and label <> label2 and {enough}")
+    return (x.join(y, "h").where(f"id < id2 and label <> label2 and {enough} and not arrays_overlap(back, back2)")
             .select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct())
