@@ -75,7 +75,10 @@ def alignments(docs: DataFrame, items: DataFrame, window: int = WINDOW, slack: i
                     .select("id", "key", "iid", "n", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "index-alignments")
     per_doc = found.groupBy("id", "key").agg(F.collect_list(F.struct("iid", "n", "shift")).alias("found"))
     per_doc = per_doc.withColumnsRenamed({"id": "id2", "key": "key2"})
-    hit = d.join(broadcast_if_small(per_doc, broadcast_rows // 10), F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")))
+    same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2"))
+    # texts without a candidate stay where they are, unless there are too many ids to broadcast
+    near = d.join(broadcast_if_small(per_doc.select("id2", "key2"), broadcast_rows), same, "left_semi")
+    hit = near.join(per_doc, same)
     hit = hit.dropDuplicates(["id", "key"]).select("id", "key", "found", words(F.col("text")).alias("words"))
 
     def stretch(x):
@@ -140,6 +143,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     bad = (contamination(docs, items, id_col=id_col, text_col=text_col, **names).where("contaminated")
            .select(F.col(id_col).alias("__bad_id"), F.col("key").alias("__bad_key")).distinct())
+    bad = broadcast_if_small(written(bad, "index-contaminated"))
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad_id")) & (F.xxhash64(F.col(text_col)) == F.col("__bad_key")), "left_anti")
 
 
