@@ -18,7 +18,7 @@ TREND_YEAR_BANDS = [(2019, 2020, "2019-2020"), (2021, 2021, "2021"), (2022, 2022
                     (2023, 2023, "2023"), (2024, 2024, "2024")]
 # Two-year band of the graduation-by-year report.
 GRADUATION_YEAR_BANDS = [(2023, 2023, "FY23"), (2024, 2024, "FY24")]
-# Age groups of the dashboard sample query: (low, high, label); None = open end.
+# Age groups of the example query: (low, high, label); None = open end.
 AGE_GROUPS = [(None, 17, "Under 18"), (18, 30, "18-30"), (31, 50, "31-50"), (51, None, "Over 50")]
 # Gender prefix bands.
 GENDER_PREFIXES = [("F", "Female"), ("M", "Male")]
