@@ -21,7 +21,7 @@ def written(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
 
     Python stages in it get Arrow batches of ``batch_rows`` rows, for bounded memory.
     Cuts lineage: a lost executor re-reads files instead of recomputing what came before.
-    The files go when the application ends (``deleteOnExit`` of their file system)."""
+    The files go when the application ends (``scratch_path``)."""
     spark = df.sparkSession
     path = scratch_path(spark, "llm", name)
     conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -31,9 +31,6 @@ def written(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(conf, before)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
