@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix, shingle_hashes, text_blocks, word_hashes, written
+from .common import broadcast_if_small, mix, shingle_hashes, text_blocks, word_hashes, written
 
 COMPONENTS = 64
 SMALL_KEY = 24
@@ -141,6 +141,7 @@ def _near(reach: int):
 def _links(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int, name: str) -> DataFrame:
     """Of candidate pairs (a, b), those confirmed on full sets, as a written table."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = broadcast_if_small(ids)  # texts move only if there are too many ids to send to them
     sets = written(docs.join(ids, "id", "left_semi").mapInArrow(_set_rows(size), "id long, s binary"), f"{name}-sets")
     both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
             .join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb"))
@@ -253,7 +254,7 @@ def _explode_sets(batches):
 def _prefix_pairs(dense: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Exact candidates among the classes of large keys: pairs that share one of the rarest
     ``n - ceil(n * num / den) + 1`` shingles of both, counted among these classes."""
-    sets = texts.join(dense.select("id"), "id", "left_semi").mapInArrow(_set_rows(size), "id long, s binary")
+    sets = texts.join(broadcast_if_small(dense.select("id")), "id", "left_semi").mapInArrow(_set_rows(size), "id long, s binary")
     rows = written(sets.join(dense, "id").select("id", "label", "s")
                    .mapInArrow(_explode_sets, "id long, label long, h long"), "near-dense")
     freq = rows.groupBy("h").agg(F.count("*").alias("f"))
