@@ -5,12 +5,14 @@ Terms are maximal runs of ASCII letters and digits and of characters over 127, A
 A window is ``window`` successive terms of an item (all of them, if fewer).
 
 1. corpus frequencies of the items' terms; of each window the rarest term is its anchor, and
-   windows with a term that the corpus lacks are dropped;
+   windows with a term that the corpus lacks are dropped; for proximity an item's anchors are its
+   rarest places, one more than a match may miss, so that every match holds one of them;
 2. postings (document, position) of the anchors; adjusted by the anchor's offset in the item, they
    give candidate alignments (document, item, shift), each once;
 3. each aligned stretch of the document is intersected with the item's terms place by place:
    runs of at least a window are exact phrase matches (every word in them is hit), and stretches
-   that hold most terms near their places are proximity matches.
+   that hold most terms near their places are proximity matches (all shifts that an anchor allows
+   are tried).
 
 Postings of other terms are never stored or shuffled, and no pair is made that an anchor does not
 give.  Broadcasts (item terms and anchors) are hinted only after a count; beyond
@@ -50,26 +52,29 @@ def _items(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     return rows.select("iid", "terms", "n").dropDuplicates(["iid"]), rows.select("iid", "item_id").distinct()
 
 
-def alignments(docs: DataFrame, items: DataFrame, window: int = WINDOW, slack: int = 0,
+def alignments(docs: DataFrame, items: DataFrame, window: int = WINDOW, slack: int = 0, share: float | None = None,
                id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
                broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(aligned stretches: id, key, iid, shift, first, stretch, terms, n; item ids).
 
     ``stretch`` holds the document's words from position ``first`` on, where the item's
-    would lie, widened by ``slack`` words on both sides."""
+    would lie, widened by ``slack`` words on both sides.  Anchors are the rarest term of every
+    window or, with ``share``, as many of an item's rarest places as any ``share`` of them must meet."""
     texts, ids = _items(items, item_id, item_text)
     places = texts.select("iid", "n", F.posexplode("terms").alias("at", "term"))
     vocabulary = broadcast_if_small(places.select("term").distinct(), broadcast_rows)
     d = _keyed(docs, id_col, text_col).where("text is not null")
     tokens = d.select("id", "key", F.posexplode(words(F.col("text"))).alias("pos", "term"))
     frequency = written(tokens.select("term").join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("f")), "index-terms")
-    ahead = W.partitionBy("iid").orderBy("at").rowsBetween(0, window - 1)
-    rare = F.struct(F.coalesce("f", F.lit(0).cast("long")).alias("f"), "term", "at")
-    # an exact phrase needs all its terms; near its place, the rarest of those that occur will do
-    rare = F.min(F.when(F.col("f") > 0, rare) if slack else rare).over(ahead)
-    anchors = written(places.join(frequency, "term", "left").withColumn("rare", rare)
-                      .where(f"at <= greatest(n - {window}, 0) and rare.f > 0")
-                      .select("iid", "n", "rare.term", "rare.at").distinct(), "index-anchors")
+    counted = places.join(frequency, "term", "left").withColumn("f", F.coalesce("f", F.lit(0).cast("long")))
+    if share is None:
+        ahead = W.partitionBy("iid").orderBy("at").rowsBetween(0, window - 1)
+        counted = (counted.withColumn("rare", F.min(F.struct("f", "term", "at")).over(ahead))
+                   .where(f"at <= greatest(n - {window}, 0)").select("iid", "n", "rare.*"))
+    else:  # rounded so that no place is missing
+        rank = F.row_number().over(W.partitionBy("iid").orderBy("f", "term", "at"))
+        counted = counted.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1)
+    anchors = written(counted.where("f > 0").select("iid", "n", "term", "at").distinct(), "index-anchors")
     listed = tokens.join(broadcast_if_small(anchors.select("term").distinct(), broadcast_rows), "term", "left_semi")
     found = written(listed.join(broadcast_if_small(anchors, broadcast_rows), "term")
                     .select("id", "key", "iid", "n", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "index-alignments")
@@ -106,15 +111,28 @@ def phrase_runs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slack: int = 3, share: float = 0.8, **names) -> DataFrame:
     """(id_col, item_id, first, matched): stretches that hold at least ``share`` of an item's
-    terms, each within ``slack`` words of its place."""
-    rows, ids = alignments(docs, items, slack=slack, **names)
-    def near(i):  # place of item word i in the stretch, give or take the slack
-        at = i + F.col("shift") - F.col("first")
-        return F.array_contains(F.slice("stretch", F.greatest(at - slack, F.lit(0)) + 1, 2 * slack + 1), F.get("terms", i))
-    matched = F.size(F.filter(F.sequence(F.lit(0), F.col("n") - 1), near))
-    return (rows.withColumn("matched", matched / F.col("n")).where(F.col("matched") >= share)
-            .join(ids, "iid").groupBy("id", "key", "item_id").agg(F.max(F.struct("matched", "first")).alias("m"))
-            .select(F.col("id").alias(names.get("id_col", "doc_id")), "item_id", "m.first", "m.matched"))
+    terms, each within ``slack`` words of its place.
+
+    Of a document and item the shift with most terms counts, then that with most of them exactly
+    in place, then the smallest; ``first`` is the place of the item's first word in the document."""
+    rows, ids = alignments(docs, items, slack=2 * slack, share=share, **names)
+
+    def held(shift, reach):  # item words that the stretch holds within ``reach`` of their places
+        def near(i):
+            at = i + shift - F.col("first")
+            start = F.greatest(at - reach, F.lit(0))
+            return F.array_contains(F.slice("stretch", start + 1, F.greatest(at + reach + 1 - start, F.lit(0))), F.get("terms", i))
+        return F.size(F.filter(F.sequence(F.lit(0), F.col("n") - 1), near))
+
+    shift = F.col("shift")
+    # an anchor lies within the slack of its place, so the best shift within the slack of the anchor's
+    near = rows.where(held(shift, 2 * slack) / F.col("n") >= share)
+    near = near.select("id", "key", "iid", "n", "first", "stretch", "terms", F.explode(F.sequence(shift - slack, shift + slack)).alias("shift"))
+    near = near.withColumn("matched", held(shift, slack) / F.col("n")).where(F.col("matched") >= share)
+    best = F.max(F.struct("matched", held(shift, 0).alias("exact"), (-shift).alias("back")))
+    return (near.groupBy("id", "key", "iid").agg(best.alias("m")).join(ids, "iid")
+            .groupBy("id", "key", "item_id").agg(F.max("m").alias("m"))
+            .select(F.col("id").alias(names.get("id_col", "doc_id")), "item_id", (-F.col("m.back")).alias("first"), "m.matched"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id",

@@ -32,6 +32,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          read_table(spark, sf_dir, "benchmark")).drop("key")
 
 
+def op6_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.proximity_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality_cnn.score_documents(docs, quality_cnn.train(docs, read_table(spark, sf_dir, "labels")))
@@ -69,6 +73,7 @@ SPARK = {
     "op7_url_graph": op7_url_graph,
     "op2_line_winnowing": op2_line_winnowing,
     "op6_decontamination": op6_decontamination,
+    "op6_proximity": op6_proximity,
     "op3_quality_cnn": op3_quality_cnn,
     "op5_toxicity_fm": op5_toxicity_fm,
     "op8_packing": op8_packing,

@@ -181,6 +181,52 @@ def test_proximity_finds_what_a_phrase_misses(spark):
     assert [(x.doc_id, x.item_id) for x in near.collect()] == [(1, 1)]
 
 
+def test_proximity_finds_an_item_without_its_rarest_word(spark):
+    words = PASSAGE.split()[:13]
+    rows = [(i, " ".join("other" if w == words[6] else w for w in words)) for i in (1, 2)]
+    docs = spark.createDataFrame([*rows, (3, f"alone {words[6]}")], "doc_id long, text string")
+    near = decontamination.proximity_matches(docs, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"))
+    assert sorted(tuple(r) for r in near.collect()) == [(1, 1, 0, 12 / 13), (2, 1, 0, 12 / 13)]
+
+
+def brute_proximity(rows, items, slack, share):
+    out = []
+    for i, t in rows:
+        w = t.split()
+        for item, x in items:
+            q = x.split()
+            if not q:
+                continue
+
+            def held(s, reach, w=w, q=q):
+                return sum(v in w[max(s + a - reach, 0):max(s + a + reach + 1, 0)] for a, v in enumerate(q))
+
+            held_at = [(held(s, slack) / len(q), held(s, 0), -s) for s in range(-len(q) - slack, len(w) + slack)]
+            matched, _, back = max(held_at)
+            if matched >= share:
+                out.append((i, item, -back, matched))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 10**6])
+def test_proximity_equals_brute_force(spark, broadcast_rows):
+    r = random.Random(21)
+    items = [(i, " ".join(f"t{r.randrange(40)}" for _ in range(r.choice([1, 2, 5, 13, 15, 30])))) for i in range(25)] + [(99, "")]
+    rows = []
+    for i in range(60):
+        w = r.choice(items)[1].split()
+        for _ in range(round(len(w) * r.choice([0, 0.1, 0.2, 0.3]))):
+            w[r.randrange(len(w))] = f"t{r.randrange(50)}"
+        for _ in range(r.randrange(3)):
+            w.insert(r.randrange(len(w) + 1), "added")
+        pad = [f"t{r.randrange(50)}" for _ in range(r.randrange(12))]
+        rows.append((i, " ".join(pad + w[r.randrange(3):])))
+    near = decontamination.proximity_matches(spark.createDataFrame(rows, "doc_id long, text string"),
+                                             spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=broadcast_rows)
+    want = brute_proximity(rows, items, 3, 0.8)
+    assert len(want) > 60 and sorted(tuple(x) for x in near.collect()) == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_equal_their_sql(spark, duck, name):
     s, d = queries.SPARK[name](spark, SF_SMALL).toArrow(), duck.sql(queries.SQL[name]).to_arrow_table()
