@@ -8,7 +8,9 @@ quality           rows that the byte CNN scores under 0.5 go (trained on ``label
 line_dedup        later copies of runs of lines of 50 or more words are cut; texts left without
                   a word go, ``n_chars`` follows the text
 near_dedup        one document stays of each component of five-word shingle similarity 0.8 or more:
-                  the smallest id (and one row of equal rows; rows with a null id all stay)
+                  the smallest id (of rows that share it, the smallest text hash); rows that share
+                  an id but not the text are judged apart; of rows equal in both the smallest
+                  stays; rows with a null id all stay
 decontamination   documents with a twentieth or more of their words in benchmark passages go
 packing           pieces of at most 1024 tokens with their place in sequences
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import decontamination, line_winnowing, minhash_hamming, packing, quality_cnn
-from cohortlens.llm.common import read_table, written
+from cohortlens.llm.common import broadcast_if_small, read_table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +38,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = (minhash_hamming.near_duplicates(docs, shingle=5, threshold=(80, 100)).where("not kept")
-            .select(F.col("doc_id").alias("__gone")).distinct())
-    kept = docs.join(gone, docs.doc_id == gone["__gone"], "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    key = F.xxhash64("text")
+    rows = docs.where("doc_id is not null").withColumn("__key", key)
+    node = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    found = minhash_hamming.near_duplicates(docs.select(node.alias("node"), "text"), id_col="node", shingle=5, threshold=(80, 100))
+    linked = written(found.where("not kept").select("node", "component_id").distinct(), "near-linked")
+    linked = linked.union(linked.select(F.col("component_id").alias("node"), "component_id").distinct())
+    # only components of several nodes have rows to drop; their texts stay where they are
+    members = rows.select("doc_id", "__key", node.alias("node")).join(broadcast_if_small(linked), "node").drop("node").distinct()
+    members = written(members, "near-members")
+    stays = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("stays"))
+    gone = (members.join(stays, "component_id").where("struct(doc_id, __key) <> stays")
+            .select(F.col("doc_id").alias("__gone"), F.col("__key").alias("__gone_key")).distinct())
+    kept = rows.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__key") == F.col("__gone_key")), "left_anti")
+    one = kept.groupBy("doc_id", "__key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return one.union(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

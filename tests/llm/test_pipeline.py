@@ -7,6 +7,7 @@ import corpus_pipeline
 from cohortlens.llm import quality_cnn
 from cohortlens.llm.common import read_table, written
 from tests.conftest import SF_SMALL
+from tests.llm.conftest import text
 from tests.llm.test_near_and_lines import brute_components, brute_contamination, brute_lines
 
 
@@ -52,6 +53,17 @@ def test_stages_equal_brute_force(spark):
     assert max(fill.values()) <= 1024 and len(fill) <= 1.05 * sum(fill.values()) / 1024 + 2
 
 
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    a, b, c, d, e = (text(i) for i in range(500, 505))
+    rows = [(1, a, "en"), (1, b, "en"), (2, a + " end", "en"), (3, c, "en"), (3, d, "en"), (0, c + " end", "en"),
+            (5, e, "en"), (5, e, "de"), (None, e, "en"), (6, "", "en"), (6, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for n in (1, 5):
+        got = corpus_pipeline.near_dedup(spark, docs.repartition(n), SF_SMALL)
+        assert got.columns == docs.columns
+        assert Counter(tuple(r) for r in got.collect()) == Counter(r for r in rows if r not in (rows[2], rows[3], rows[6]))
+
+
 def test_an_empty_table_passes_every_stage(spark):
     docs = read_table(spark, SF_SMALL, "documents").limit(0)
     for name, stage in corpus_pipeline.STAGES:
