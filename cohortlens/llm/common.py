@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,41 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+# ---- what outlives a task in its worker ----------------------------------------------------
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker.  Functions of this package travel by
+    value, so their own module globals begin anew with every task."""
+    name = "_cohortlens_worker_cache"
+    if name not in sys.modules:
+        sys.modules[name] = types.ModuleType(name)
+        sys.modules[name].kept = {}
+    return sys.modules[name].kept
+
+
+def tree_reduce(parts: DataFrame, combine, fan_in: int = 8, name: str = "tree") -> DataFrame:
+    """Fold the fragments of every key in order: (key, seq, frag binary) -> (key, frag).
+
+    ``combine`` maps a list of successive fragments to one and is associative.  A round joins
+    ``fan_in`` neighbours of a key, so no task ever holds more of one key than that; rounds
+    follow the longest key's number of fragments.  Every round is a table in the shared folder."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        frag = combine([v.as_py() for v in table.column("frag")])
+        return pa.table({"key": table.column("key").slice(0, 1), "seq": table.column("seq").slice(0, 1),
+                         "frag": pa.array([frag], pa.binary())})
+
+    schema = "key string, seq long, frag binary"
+    parts = written(parts.select("key", F.col("seq").cast("long").alias("seq"), "frag"), name)
+    last = parts.agg(F.max("seq")).first()[0] or 0
+    while last > 0:
+        step = parts.select("key", F.floor(F.col("seq") / fan_in).alias("seq"), F.col("seq").alias("pos"), "frag")
+        parts = written(step.groupBy("key", "seq").applyInArrow(run, schema), name)
+        last //= fan_in
+    return parts.select("key", "frag")
+
+
 def text_blocks(column: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut an Arrow string column into row ranges of about ``max_bytes`` of UTF-8.
 

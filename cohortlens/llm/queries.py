@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, decontamination, hnsw, line_winnowing, packing, pii_crf, quality_cnn, toxicity_fm, url_graph
+from . import chat_windows, decontamination, hnsw, line_winnowing, packing, pii_crf, quality_cnn, token_counts, toxicity_fm, url_graph
 from .common import literal_table, read_table
 from .minhash_hamming import near_duplicates
 
@@ -66,6 +66,10 @@ def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.digests(pii_crf.find_pii(read_table(spark, sf_dir, "documents")))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
+
+
 SPARK = {
     "op9_pii_crf": op9_pii_crf,
     "op1_hnsw": op1_hnsw,
@@ -78,6 +82,7 @@ SPARK = {
     "op5_toxicity_fm": op5_toxicity_fm,
     "op8_packing": op8_packing,
     "op10_minhash_hamming": op10_minhash_hamming,
+    "op13_token_counts": op13_token_counts,
 }
 
 SQL: dict[str, str] = {
