@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_windows, decontamination, hnsw, line_winnowing, packing, periodic_runs, pii_crf, quality_cnn, token_counts,
-               toxicity_fm, url_graph)
+from . import (chat_windows, decontamination, hnsw, line_winnowing, packing, periodic_runs, pii_crf, quality_cnn,
+               token_alignment, token_counts, toxicity_fm, url_graph)
 from .common import literal_table, read_table
 from .minhash_hamming import near_duplicates
 
@@ -67,6 +67,10 @@ def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.digests(pii_crf.find_pii(read_table(spark, sf_dir, "documents")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(read_table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.find_runs(read_table(spark, sf_dir, "documents"), seed=F.crc32(F.col("doc_id").cast("string")))
 
@@ -87,6 +91,7 @@ SPARK = {
     "op5_toxicity_fm": op5_toxicity_fm,
     "op8_packing": op8_packing,
     "op10_minhash_hamming": op10_minhash_hamming,
+    "op11_token_alignment": op11_token_alignment,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_token_counts": op13_token_counts,
 }
