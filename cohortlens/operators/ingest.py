@@ -209,7 +209,7 @@ def build_risk(raw: DataFrame) -> DataFrame:
     h = Header(raw.columns)
     name = h.holding(*NAME_KW)
     if name is None:
-        raise ValueError(f"risk header lacks a name column: {c}")
+        raise ValueError(f"risk header lacks a name column: {raw.columns}")
     date = h.holding("DATE", "ASSESSMENT")
     score = h.holding("SCORE", "LS/CMI", "LS CMI", "RISK")
     cat = h.holding("CATEGORY", "LEVEL", "RISK LEVEL")
@@ -227,7 +227,7 @@ def build_jail(raw: DataFrame) -> DataFrame:
     h = Header(raw.columns)
     name = h.holding(*NAME_KW)
     if name is None:
-        raise ValueError(f"jail header lacks a name column: {c}")
+        raise ValueError(f"jail header lacks a name column: {raw.columns}")
     start = h.holding("START", "BEGIN", "ADMISSION", "FROM")
     end = h.holding("END", "RELEASE", "TO", "DISCHARGE")
     days = h.holding("DAYS", "LENGTH", "DURATION")
@@ -258,7 +258,7 @@ def build_treatment(raw: DataFrame, file_col: str = "source_file") -> DataFrame:
     h = Header([x for x in raw.columns if x != file_col])
     name = h.holding(*NAME_KW_CLIENT)
     if name is None:
-        raise ValueError(f"treatment header lacks a name column: {c}")
+        raise ValueError(f"treatment header lacks a name column: {raw.columns}")
     start = h.holding("START", "BEGIN", "ADMISSION", "DATE")
     end = h.holding("END", "COMPLETION", "DISCHARGE")
     typ = h.holding("TYPE", "SERVICE", "TREATMENT", "MODALITY")
@@ -285,7 +285,7 @@ def build_psychosocial(raw: DataFrame, carry: int | None = None) -> DataFrame:
     h = Header([x for x in raw.columns if x != ROW])
     name = h.holding(*NAME_KW_CLIENT)
     if name is None:
-        raise ValueError(f"psychosocial header lacks a name column: {c}")
+        raise ValueError(f"psychosocial header lacks a name column: {raw.columns}")
     date = h.holding("DATE", "ASSESSMENT", "COMPLETED")
     others = [x for x in h.columns if x not in (name, date)][:carry]
     return (raw.select(person_key(_col(raw, name)).alias("participant_id"),

@@ -2,20 +2,16 @@
 
 Scale strategy
 --------------
-An interval join is an equi-join on the subject id plus a date residual.  If one subject
-holds a large share of all events, the partition of that id dominates.  Defences:
-
-1. Counting queries reduce the events to one row per (id, day) first (``day_counts``): the
-   group key spreads a hot subject over its days, and the join on the id then brings together at
-   most a calendar of rows per subject.  They do not depend on AQE's skew handling, which gives
-   up where the aggregate after the join has the join's own key.
-2. ``intervals LEFT JOIN events`` is never planned as an outer join (whose right side AQE
-   cannot split): ``flag_intervals`` unions an inner join with one zero row per interval.
-3. EXISTS / NOT EXISTS (semi/anti joins, whose right side cannot be split) first reduce
-   the events to distinct (id, day) pairs: a partial aggregate bounded per subject by the
-   calendar, whatever the subject's share of the rows.
-4. ``events_in_window`` returns the events themselves: an inner join on raw rows, whose hot
-   partitions AQE splits (nothing is grouped by the id after it).
+Joining events and intervals on the subject alone brings all pairs of a hot subject together.
+Counts, sums and existence (EXISTS / NOT EXISTS) therefore go through ``operators.running``: running
+counts over the calendar, looked up at the ends of the intervals.  What remains a join of events and
+intervals returns pairs by definition:
+
+* ``events_in_window`` (D6) returns one row per (event, interval): an inner join on raw rows, whose
+  hot partitions AQE splits (nothing is grouped by the id after it).
+* ``flag_intervals`` evaluates conditions over columns of both sides, on events reduced to one row
+  per (id, day, ...) first (``day_counts``); an inner join and a zero row per interval in place of an
+  outer join, whose right side AQE cannot split.
 """
 
 from __future__ import annotations
@@ -26,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import window_predicate
+from .running import count_in_interval, event_days
 
 
 def day_counts(events: DataFrame, id_col: str, date_col: str, keys: Sequence[str] = (),
@@ -57,12 +54,6 @@ def _interval_cond(window, days, id_col, date_col, start_col, end_col, ev_alias=
             & window_predicate(window, F.col(f"{ev_alias}_d"), F.col(start_col), F.col(end_col), days))
 
 
-def _event_days(events: DataFrame, id_col: str, date_col: str) -> DataFrame:
-    # distinct (id, day): existence only needs one row per day per subject
-    return (events.where(F.col(date_col).isNotNull())
-            .select(F.col(id_col).alias("_ev_id"), F.col(date_col).alias("_ev_d")).distinct())
-
-
 def with_any(left: DataFrame, right: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Rows of ``left`` with at least one matching row in ``right`` (EXISTS).
 
@@ -72,14 +63,23 @@ def with_any(left: DataFrame, right: DataFrame, key: str | Sequence[str]) -> Dat
     return left.join(right.select(*keys).distinct(), keys, "left_semi")
 
 
+def _held(intervals, events, window, days, id_col, date_col, start_col, end_col) -> tuple[DataFrame, Column]:
+    """The different (id, start, end) that hold an event, and the condition to join intervals to them."""
+    ev = event_days(events, id_col, date_col, {"n": F.lit(1)})
+    held = count_in_interval(intervals, ev, window, days, id_col=id_col, start_col=start_col, end_col=end_col).where("_n > 0")
+    cols = (id_col, start_col, end_col)
+    held = held.select(*[F.col(c).alias(f"_held_{c}") for c in cols])
+    same = [F.col(c).eqNullSafe(F.col(f"_held_{c}")) for c in cols]
+    return held, same[0] & same[1] & same[2]
+
+
 def with_event_in_interval(intervals: DataFrame, events: DataFrame, window: str = "during",
                            days: int | None = None, id_col: str = "participant_id",
                            date_col: str = "charge_date", start_col: str = "start_date",
                            end_col: str = "end_date") -> DataFrame:
     """Intervals having at least one event in the window (EXISTS equi + range)."""
-    ev = _event_days(events, id_col, date_col)
-    return intervals.join(ev, _interval_cond(window, days, id_col, date_col, start_col, end_col),
-                          "left_semi")
+    held, same = _held(intervals, events, window, days, id_col, date_col, start_col, end_col)
+    return intervals.join(held, same, "left_semi")
 
 
 def without_event_in_interval(intervals: DataFrame, events: DataFrame, window: str = "during",
@@ -87,9 +87,8 @@ def without_event_in_interval(intervals: DataFrame, events: DataFrame, window: s
                               date_col: str = "charge_date", start_col: str = "start_date",
                               end_col: str = "end_date") -> DataFrame:
     """Intervals with no event in the window (NOT EXISTS equi + range)."""
-    ev = _event_days(events, id_col, date_col)
-    return intervals.join(ev, _interval_cond(window, days, id_col, date_col, start_col, end_col),
-                          "left_anti")
+    held, same = _held(intervals, events, window, days, id_col, date_col, start_col, end_col)
+    return intervals.join(held, same, "left_anti")
 
 
 def first_event(events: DataFrame, id_col: str = "participant_id",

@@ -11,13 +11,14 @@ from ..functions.aggs import (ONE, avg_int_rounded, count_if_sum, distinct_if, f
                               per_subject, rate, ratio_text, share_of_total)
 from ..functions.bands import (FISCAL_YEAR_BANDS, RISK_NORMS, age_at, band_rank, count_band,
                                delimited_count, numeric_band, prefix_band, relabel, year_band)
-from ..functions.intervals import in_followup, in_interval, in_lookback, recent
+from ..functions.intervals import recent
 from ..functions.numeric import round_real, safe_div, sql_pct, sql_round_ratio, sql_round_real
 from ..functions.text import PTSD_WORDS, combo_label, has_any_keyword, has_no_keyword
 from ..operators import quality
 from ..operators.catalog import column_profile, preview, table_inventory
 from ..operators.metrics import (charge_counts, cost_model, metric_rows, one_row, per_subject_summary, pop_stddev,
                                  top_k, with_total, with_total_row)
+from ..operators.running import windowed_sums
 from ..operators.temporal import (events_in_window, first_event, gap_from_first_event, with_any,
                                   with_event_in_interval, without_event_in_interval)
 from ..schema import FOREIGN_KEYS, REQUIRED, SCHEMAS
@@ -167,11 +168,9 @@ FROM participant p JOIN enrollment e ON p.participant_id = e.participant_id"""
 
 
 # ------------------------------------------------------------------ C10-C13 interval predicates
-def _window_counts(t, cond) -> DataFrame:
-    days = charge_days(t)
-    e = t["enrollment"].select(PID, "start_date", "end_date")
-    return (days.join(e, PID).where(cond).groupBy(PID)
-            .agg(F.sum("n").alias("n_charges")))
+def _window_counts(t, window: str, days: int | None = None) -> DataFrame:
+    per = windowed_sums(t["enrollment"], charge_days(t), {"n_charges": (window, days, "n", F.lit(1))})
+    return per.where("n_charges > 0")
 
 
 def _sql_window_counts(cond: str) -> str:
@@ -183,7 +182,7 @@ WHERE {cond} GROUP BY pc.participant_id"""
 
 @op("in_interval")
 def q_in_interval(t) -> DataFrame:
-    return _window_counts(t, in_interval("charge_date", "start_date", "end_date"))
+    return _window_counts(t, "during")
 
 
 SQL["in_interval"] = _sql_window_counts(_DURING)
@@ -191,7 +190,7 @@ SQL["in_interval"] = _sql_window_counts(_DURING)
 
 @op("in_lookback")
 def q_in_lookback(t) -> DataFrame:
-    return _window_counts(t, in_lookback("charge_date", "start_date", 365))
+    return _window_counts(t, "lookback", 365)
 
 
 SQL["in_lookback"] = _sql_window_counts(
@@ -200,7 +199,7 @@ SQL["in_lookback"] = _sql_window_counts(
 
 @op("in_followup")
 def q_in_followup(t) -> DataFrame:
-    return _window_counts(t, in_followup("charge_date", "end_date", 365))
+    return _window_counts(t, "followup", 365)
 
 
 SQL["in_followup"] = _sql_window_counts(

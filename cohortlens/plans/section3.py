@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.aggs import ONE, flag
 from ..functions.bands import RISK_NORMS, RISK_ORDER, band_rank, relabel
-from ..functions.intervals import in_interval, in_lookback
 from ..functions.numeric import (pct, round_ratio, round_real, sql_pct, sql_round_ratio,
                                  sql_round_real)
 from ..operators.metrics import metric_rows
-from ..operators.temporal import day_counts
+from ..operators.running import event_days, running_sums, windowed_sums
 from ..sources.bindings import sql_with
 
 SPARK: dict = {}
@@ -30,17 +29,12 @@ def convicted():
     return F.col("outcome") == "Convicted"
 
 
-def charge_days(t, keys=(), where=None) -> DataFrame:
-    """Charge events as (id, day, *keys, n, n_conv) rows for the interval joins.
-
-    One row per (id, day, *keys), combined map-side: the group key spreads a hot subject
-    over its days, and what the join on the id alone then brings together is bounded per subject
-    by the calendar, whatever share of the charges the subject holds.
-    """
-    pc = t["participant_charge"].where(F.col("charge_date").isNotNull())
+def charge_days(t, where=None) -> DataFrame:
+    """Charges as one row per (id, day) with n and n_conv, for look-ups of running counts."""
+    pc = t["participant_charge"]
     if where is not None:
         pc = pc.where(where)
-    return day_counts(pc, PID, "charge_date", keys, {"n_conv": flag(convicted())})
+    return event_days(pc, PID, "charge_date", {"n": F.lit(1), "n_conv": flag(convicted())})
 
 
 # ---------------------------------------------------------------- r3_1 risk vs norms
@@ -69,14 +63,11 @@ GROUP BY ra.risk_category"""
 # ---------------------------------------------------------------- r3_2 before / during
 @report("r3_2")
 def history_before_during(t) -> DataFrame:
-    days = charge_days(t)
-    e = t["enrollment"].where(F.col("start_date").isNotNull()).select(PID, "start_date", "end_date")
-    j = days.join(e, PID)
-    before = in_lookback("charge_date", "start_date")
-    during = in_interval("charge_date", "start_date", "end_date")
-    per = j.groupBy(PID).agg(F.sum("n").alias("n"), F.sum("n_conv").alias("n_conv"),
-                             F.sum(F.when(before, F.col("n")).otherwise(0)).alias("n_before"),
-                             F.sum(F.when(during, F.col("n")).otherwise(0)).alias("n_during"))
+    e = t["enrollment"].where(F.col("start_date").isNotNull())
+    each = F.lit(1)
+    per = windowed_sums(e, charge_days(t), {
+        "n": ("any", None, "n", each), "n_conv": ("any", None, "n_conv", each),
+        "n_before": ("before", None, "n", each), "n_during": ("during", None, "n", each)}).where("n > 0")
     row = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(ONE).alias("ids"),
                   F.sum("n_conv").alias("n_conv"), F.sum("n_before").alias("n_before"),
                   F.sum("n_during").alias("n_during"))
@@ -163,19 +154,19 @@ MIN_GROUP = 5
 
 @report("r3_5")
 def prior_class_outcome(t, min_group_size: int = MIN_GROUP) -> DataFrame:
-    # charges become one row per (id, class, day) before they meet on the id: a hot id then
-    # holds at most days x classes rows
-    co = t["charge_offense"].select("offense_id", "class")
+    # turned round: a charge looks up the exits of its subject's enrolments that start after its day
     pc = (t["participant_charge"].where(F.col("charge_date").isNotNull())
-          .groupBy(PID, "offense_id", "charge_date").agg(F.count(ONE).alias("n"))
-          .join(co, "offense_id").groupBy(PID, "class", "charge_date").agg(F.sum("n").alias("n")))
+          .join(t["charge_offense"].select("offense_id", "class"), "offense_id")
+          .groupBy(PID, "class", (-1 - F.unix_date("charge_date")).alias("_at")).agg(F.count(ONE).alias("n")))
     e = (t["enrollment"].where(F.col("end_status").isin("Graduated", "Terminated"))
-         .groupBy(PID, "start_date").agg(F.sum(flag(F.col("end_status") == "Graduated")).alias("eg"),
-                                         F.sum(flag(F.col("end_status") == "Terminated")).alias("ex")))
-    np_ = t["participant"].groupBy(PID).agg(F.count(ONE).alias("np"))
-    w = F.col("np") * F.col("n")
-    per = (pc.join(e.join(np_, PID), PID).where(in_lookback("charge_date", "start_date"))
-           .groupBy("class", PID).agg(F.sum(w * F.col("eg")).alias("g"), F.sum(w * F.col("ex")).alias("x")))
+         .groupBy(PID, (-F.unix_date("start_date")).alias("_at"))
+         .agg(F.sum(flag(F.col("end_status") == "Graduated")).alias("eg"),
+              F.sum(flag(F.col("end_status") == "Terminated")).alias("ex")))
+    people = t["participant"].groupBy(PID).agg(F.count(ONE).alias("np"))
+    exits = e.join(people, PID).select(PID, "_at", (F.col("np") * F.col("eg")).alias("g"), (F.col("np") * F.col("ex")).alias("x"))
+    later = running_sums(exits, pc, [PID], "_at", ["g", "x"]).where("g + x > 0")
+    per = pc.join(later, [PID, "_at"]).groupBy("class", PID).agg(
+        F.sum(F.col("n") * F.col("g")).alias("g"), F.sum(F.col("n") * F.col("x")).alias("x"))
     g = per.groupBy("class").agg(F.count(ONE).alias("Total_Participants"),
                                  F.sum("g").alias("Graduated"), F.sum("x").alias("Terminated"))
     return (g.where(F.col("Total_Participants") >= min_group_size)

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.aggs import ONE, flag
 from ..functions.bands import GRADUATION_YEAR_BANDS, year_band
-from ..functions.intervals import in_interval, in_lookback
 from ..functions.numeric import (pct, pct_unrounded, round_ratio, round_real, sql_pct,
                                  sql_pct_unrounded, sql_round_ratio, sql_round_real)
 from ..operators.metrics import (BEFORE_RATE_UPLIFT, DAILY_JAIL_COST, cost_model, metric_rows,
                                  one_row, per_subject_flags, with_total)
-from ..operators.temporal import flag_intervals
+from ..operators.running import count_in_interval, event_days, windowed_sums
 from ..sources.bindings import sql_with
 from .section3 import charge_days
 
@@ -106,12 +105,9 @@ GROUP BY 1"""
 
 # ---------------------------------------------------------------- r4_4 / r4_5 convictions before vs during
 def _before_during(t, days, lookback_days, rows_spec, types) -> DataFrame:
-    e = t["enrollment"].select(PID, "start_date", "end_date")
-    before = in_lookback("charge_date", "start_date", lookback_days)
-    during = in_interval("charge_date", "start_date", "end_date")
-    j = days.join(e, PID).where(before | during)
-    per = j.groupBy(PID).agg(F.sum(F.when(before, F.col("n")).otherwise(0)).alias("nb"),
-                             F.sum(F.when(during, F.col("n")).otherwise(0)).alias("nd"))
+    each = F.lit(1)
+    before = ("before", None) if lookback_days is None else ("lookback", lookback_days)
+    per = windowed_sums(t["enrollment"], days, {"nb": (*before, "n", each), "nd": ("during", None, "n", each)})
     row = per.agg(F.coalesce(F.sum("nb"), F.lit(0)).cast("long").alias("nb"),
                   F.count(F.when(F.col("nb") > 0, 1)).alias("ib"),
                   F.coalesce(F.sum("nd"), F.lit(0)).cast("long").alias("nd"),
@@ -159,8 +155,8 @@ SELECT period AS Period, n AS Total_Convictions, ids AS Participants_With_Convic
 @report("r4_5")
 def felony_before_during(t) -> DataFrame:
     co = t["charge_offense"].where(F.col("class") == "F").select("offense_id")
-    days = (charge_days(t, ["offense_id"], F.col("outcome") == "Convicted").join(co, "offense_id")
-            .groupBy(PID, "charge_date").agg(F.sum("n").alias("n")))
+    felonies = t["participant_charge"].where(F.col("outcome") == "Convicted").join(co, "offense_id")
+    days = event_days(felonies, PID, "charge_date", {"n": F.lit(1)})
     types = {"Category": "string", "Conviction_Count": "long", "Participants": "long"}
     return _before_during(t, days, None, [
         {"Category": "Felony Convictions Before MHC", "Conviction_Count": F.col("nb"),
@@ -180,15 +176,13 @@ SELECT period AS Category, n AS Conviction_Count, ids AS Participants FROM tally
 # ---------------------------------------------------------------- r4_6 no charge during
 @report("r4_6")
 def charge_free_during(t) -> DataFrame:
-    # EXISTS / NOT EXISTS per enrolment row, from ONE inner interval join (skew-splittable)
-    # plus a zero row per enrolment: per (id, start, end) hit = 1 if any charge falls in
-    # the interval.  A subject counts as "with" if any of its rows is hit and as "without"
-    # if any of its rows is not (both can hold with several enrolments, as in SQL).
+    # EXISTS / NOT EXISTS per enrolment from one count per different (id, start, end).  A
+    # subject counts as "with" if any of its enrolments holds a charge and as "without" if any
+    # does not (both can hold with several enrolments, as in SQL).
     e = t["enrollment"]
-    iv = e.select(PID, "start_date", "end_date")
-    ev = t["participant_charge"].where(F.col("charge_date").isNotNull()).select(PID, "charge_date")
-    hits = flag_intervals(iv, ev, ["start_date", "end_date", PID], "during", None, {"hit": F.lit(True)})
-    per = hits.groupBy(PID).agg(F.max("hit").alias("any_hit"), F.min("hit").alias("all_hit"))
+    held = count_in_interval(e.where(F.col(PID).isNotNull()), charge_days(t), "during")
+    hit = flag(F.col("_n") > 0)
+    per = held.groupBy(PID).agg(F.max(hit).alias("any_hit"), F.min(hit).alias("all_hit"))
     counts = per.agg(F.count(F.when(F.col("all_hit") == 0, 1)).alias("n0"),
                      F.count(F.when(F.col("any_hit") == 1, 1)).alias("n1"))
     total = e.agg(F.count(ONE).alias("m"))
@@ -269,13 +263,16 @@ FOLLOWUP_DAYS = 365
 
 @report("r4_9")
 def post_programme_outcomes(t, followup_days: int = FOLLOWUP_DAYS) -> DataFrame:
-    group = (F.when(F.col("end_status") == "Graduated", "Graduates")
-             .when(F.col("end_status") == "Terminated", "Terminated Participants").otherwise("Other"))
-    iv = (t["enrollment"].where(F.col("end_status").isin("Graduated", "Terminated")
-                                & F.col("end_date").isNotNull())
-          .select(PID, "start_date", "end_date", group.alias("Group_Type")))
-    flags = flag_intervals(iv, charge_days(t), ["Group_Type", PID], "followup", followup_days,
-                           {"any": F.col("n") > 0, "conv": F.col("n_conv") > 0})
+    e = t["enrollment"].where(F.col("end_status").isin("Graduated", "Terminated") & F.col("end_date").isNotNull()
+                              & F.col(PID).isNotNull())
+    kinds = {"Graduates": "Graduated", "Terminated Participants": "Terminated"}
+    ends = {k: flag(F.col("end_status") == v) for k, v in kinds.items()}
+    per = windowed_sums(e, charge_days(t), {f"{k} {m}": ("followup", followup_days, m, ends[k])
+                                            for k in kinds for m in ("n", "n_conv")})
+    people = e.groupBy(PID).agg(*[F.max(c).alias(k) for k, c in ends.items()])
+    flags = people.join(per, PID, "left").select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("Group_Type"), F.col(k).alias("in"), flag(F.col(f"{k} n") > 0).alias("any"),
+                 flag(F.col(f"{k} n_conv") > 0).alias("conv")) for k in kinds]))).where("in = 1")
     g = flags.groupBy("Group_Type").agg(
         F.count(ONE).alias("Participant_Count"),
         F.sum("any").cast("long").alias("Participants_With_Post_MHC_Charges"),
