@@ -9,7 +9,7 @@ from ..functions.aggs import ONE, avg_int_rounded
 from ..functions.bands import FISCAL_YEAR_BANDS, age_at, band_rank, prefix_band, year_band
 from ..functions.numeric import (pct, round_ratio, round_real, sql_pct, sql_round_ratio,
                                  sql_round_real)
-from ..operators.metrics import charge_counts, metric_rows, one_row, top_k, with_total
+from ..operators.metrics import metric_rows, one_row, top_k, with_total
 from ..sources.bindings import sql_with
 
 SPARK: dict = {}
@@ -89,25 +89,24 @@ def race_share(t) -> DataFrame:
 
 
 SQL["r1_3"] = sql_with("participant") + f"""
-SELECT race_ethnicity AS Race_Ethnicity, COUNT(*) AS Participant_Count,
-       {sql_pct('COUNT(*)', '(SELECT COUNT(*) FROM participant WHERE race_ethnicity IS NOT NULL)')}
-           AS Percentage
-FROM participant WHERE race_ethnicity IS NOT NULL
-GROUP BY race_ethnicity"""
+, tally AS (SELECT race_ethnicity AS race, count(race_ethnicity) AS n FROM participant GROUP BY ALL),
+everyone AS (SELECT sum(n) AS total FROM tally)
+SELECT race AS Race_Ethnicity, n AS Participant_Count, {sql_pct('n', 'total')} AS Percentage
+FROM tally, everyone WHERE n > 0"""
 
 
 # ---------------------------------------------------------------- r1_4 offense class
 @report("r1_4")
 def offense_class_distribution(t) -> DataFrame:
-    # charges are reduced to (id, offense) before they meet the dimension; the denominator
-    # comes from the same reduced rows
-    pc = charge_counts(t)
-    co = t["charge_offense"].select("offense_id", "class")
-    j = pc.where(F.col("dated") > 0).join(co, "offense_id")
-    per = j.groupBy("class", "participant_id").agg(F.sum("dated").alias("n"))
-    g = per.groupBy("class").agg(F.sum("n").alias("Total_Charges"),
-                                 F.count("participant_id").alias("Participants_With_This_Class"))
-    denom = pc.agg(F.count_distinct("participant_id").alias("_all"))
+    # the dimension first, then one grouping by (class, id), which also holds the ids of the
+    # denominator; n counts dated charges with an offense, so rows without keep n = 0
+    known = t["charge_offense"].select("offense_id", "class", F.lit(1).alias("known"))
+    counted = F.when(F.col("charge_date").isNotNull(), F.col("known"))
+    per = (t["participant_charge"].join(known, "offense_id", "left")
+           .groupBy("class", "participant_id").agg(F.count(counted).alias("n")))
+    g = per.where("n > 0").groupBy("class").agg(F.sum("n").alias("Total_Charges"),
+                                                F.count("participant_id").alias("Participants_With_This_Class"))
+    denom = per.agg(F.count_distinct("participant_id").alias("_all"))
     return (with_total(g, denom)
             .select(F.col("class").alias("Class"), "Total_Charges", "Participants_With_This_Class",
                     pct("Participants_With_This_Class", "_all").alias("Percentage_of_Participants"))
@@ -115,24 +114,25 @@ def offense_class_distribution(t) -> DataFrame:
 
 
 SQL["r1_4"] = sql_with("participant_charge", "charge_offense") + f"""
-SELECT co.class AS Class, COUNT(*) AS Total_Charges,
-       COUNT(DISTINCT pc.participant_id) AS Participants_With_This_Class,
-       {sql_pct('COUNT(DISTINCT pc.participant_id)',
-                '(SELECT COUNT(DISTINCT participant_id) FROM participant_charge)')}
-           AS Percentage_of_Participants
-FROM participant_charge pc JOIN charge_offense co ON pc.offense_id = co.offense_id
-WHERE pc.charge_date IS NOT NULL
-GROUP BY co.class"""
+, dated AS (SELECT class, participant_id FROM charge_offense JOIN participant_charge USING (offense_id)
+            WHERE charge_date IS NOT NULL),
+people AS (SELECT count(*) AS m FROM (SELECT participant_id FROM participant_charge
+                                      WHERE participant_id IS NOT NULL GROUP BY participant_id)),
+tally AS (SELECT class, sum(n) AS n, count(participant_id) AS ids
+          FROM (SELECT class, participant_id, count(*) AS n FROM dated GROUP BY ALL) GROUP BY class)
+SELECT class AS Class, CAST(n AS BIGINT) AS Total_Charges, ids AS Participants_With_This_Class,
+       {sql_pct('ids', 'm')} AS Percentage_of_Participants
+FROM tally, people"""
 
 
 # ---------------------------------------------------------------- r1_5 top offenses
 @report("r1_5")
 def top_offenses(t) -> DataFrame:
     co = t["charge_offense"]
-    # (id, offense) counts first, then (name, class, id) -> (name, class): no Expand, and every
-    # level is partial, so a hot id or offense is combined map-side
-    per = (charge_counts(t).join(co, "offense_id")
-           .groupBy("offense_name", "class", "participant_id").agg(F.sum("n").alias("n")))
+    # the dimension first, then one grouping by (name, class, id): no Expand, and both levels are
+    # partial, so a hot id or offense is combined map-side
+    per = (t["participant_charge"].select("offense_id", "participant_id").join(co, "offense_id")
+           .groupBy("offense_name", "class", "participant_id").agg(F.count(ONE).alias("n")))
     g = per.groupBy("offense_name", "class").agg(F.sum("n").alias("Frequency"),
                                                  F.count("participant_id").alias("Unique_Participants"))
     g = g.select(F.col("offense_name").alias("Offense_Name"), F.col("class").alias("Class"),
@@ -141,12 +141,13 @@ def top_offenses(t) -> DataFrame:
 
 
 SQL["r1_5"] = sql_with("participant_charge", "charge_offense") + """
-SELECT co.offense_name AS Offense_Name, co.class AS Class, COUNT(*) AS Frequency,
-       COUNT(DISTINCT pc.participant_id) AS Unique_Participants
-FROM participant_charge pc JOIN charge_offense co ON pc.offense_id = co.offense_id
-GROUP BY co.offense_name, co.class
-ORDER BY Frequency DESC, Offense_Name ASC, Class ASC NULLS FIRST
-LIMIT 15"""
+, each AS (SELECT offense_name, class, participant_id, count(*) AS n
+           FROM charge_offense JOIN participant_charge USING (offense_id) GROUP BY ALL),
+ranked AS (SELECT offense_name, class, CAST(sum(n) AS BIGINT) AS n, count(participant_id) AS ids,
+                  row_number() OVER (ORDER BY sum(n) DESC, offense_name ASC, class ASC NULLS FIRST) AS place
+           FROM each GROUP BY offense_name, class)
+SELECT offense_name AS Offense_Name, class AS Class, n AS Frequency, ids AS Unique_Participants
+FROM ranked WHERE place <= 15"""
 
 
 # ---------------------------------------------------------------- r1_6 summary
