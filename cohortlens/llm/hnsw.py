@@ -10,16 +10,17 @@ Shape of the job:
 
 * equal vectors are one point with its ``k + 1`` smallest ids, which is all that ties to smaller ids
   can need; so copies neither flood a graph nor gather in a task;
-* points are dealt to ceil(points / ``shard_rows``) shards by a hash, built where they are, and
-  written to the shared folder;
+* points are dealt to shards of ``shard_rows`` points, or of ``SHARD_BYTES`` of vectors where that is less, by
+  a hash, built where they are, and written to the shared folder;
 * the stated queries (distinct vectors) go in parts of ``part_rows`` to every shard (cogroup by shard
   and part, no cross join); each shard returns its ``k + 1`` best by exact cosine in double
   precision, and shard results are merged by a partial then final top list per query.
 
 Defined results: vectors that are null, empty or zero or hold a null or non-finite component
-take no part, nor do rows without an id; vectors of different lengths are never compared; rows of
-the query's own id are not its candidates; a query with fewer candidates returns them all;
-an empty table or query set gives no rows; other columns are ignored.
+take no part, nor do rows without an id; vectors of different lengths are never compared; equal rows
+are one; an id with several vectors is a candidate with each of them, and a query with each of them (with
+ranks from 1 for each); a query is not its own candidate; one with fewer candidates returns them all;
+an empty table or query set gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from .common import written
 
 M, M0 = 16, 32
 EF_BUILD, EF_SEARCH = 96, 160
-SHARD_ROWS, PART_ROWS = 4096, 32_768
+SHARD_ROWS, SHARD_BYTES, PART_ROWS = 16_384, 1 << 26, 32_768
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -193,18 +194,19 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 def _build_shard(table: pa.Table) -> pa.Table:
     dim, shard = table["dim"][0].as_py(), table["shard"][0].as_py()
-    order = np.argsort(table["id"].to_numpy())
-    ids, vec = table["id"].to_numpy()[order], _matrix(table["vec"], dim)[order]
+    low = table["low"].to_numpy()
+    order = np.lexsort((table["point"].to_numpy(), low))
+    ids, low, vec = table["point"].to_numpy()[order], low[order], _matrix(table["vec"], dim)[order]
     levels = build(vec)
     return pa.table({
-        "dim": [dim], "shard": pa.array([shard], pa.int64()), "ids": [ids.astype("<i8").tobytes()], "vectors": [vec.astype("<f8").tobytes()],
+        "dim": [dim], "shard": pa.array([shard], pa.int64()), "ids": [ids.astype("<i8").tobytes()], "lows": [low.astype("<i8").tobytes()], "vectors": [vec.astype("<f8").tobytes()],
         "sizes": pa.array([[len(m) for m, _ in levels]], pa.list_(pa.int32())),
         "neighbours": pa.array([[t.astype("<i4").tobytes() for _, t in levels]], pa.list_(pa.binary()))},
-        schema=pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()),
+        schema=pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("ids", pa.binary()), ("lows", pa.binary()), ("vectors", pa.binary()),
                           ("sizes", pa.list_(pa.int32())), ("neighbours", pa.list_(pa.binary()))]))
 
 
-INDEX = "dim int, shard long, ids binary, vectors binary, sizes array<int>, neighbours array<binary>"
+INDEX = "dim int, shard long, ids binary, lows binary, vectors binary, sizes array<int>, neighbours array<binary>"
 
 
 def usable(id_col: Column, vec: Column) -> Column:
@@ -213,20 +215,20 @@ def usable(id_col: Column, vec: Column) -> Column:
 
 
 def index(points: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(dim, shard, flat arrays) of distinct points (id, vec), a written table."""
-    n = {r["dim"]: max(1, -(-r["n"] // shard_rows)) for r in points.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    """(dim, shard, flat arrays) of distinct points (point, low, vec), a written table."""
+    n = {r["dim"]: max(1, -(-r["n"] // max(1, min(shard_rows, SHARD_BYTES // (8 * r["dim"]))))) for r in points.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()}
     shards = F.create_map(*[F.lit(x) for kv in n.items() for x in kv]) if n else F.create_map(F.lit(0), F.lit(1))
-    dealt = points.select("id", F.col("vec").cast("array<double>").alias("vec"), F.size("vec").alias("dim"))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("id"), shards[F.col("dim")]).cast("long"))
+    dealt = points.select("point", "low", F.col("vec").cast("array<double>").alias("vec"), F.size("vec").alias("dim"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("vec"), shards[F.col("dim")]).cast("long"))
     return written(dealt.groupBy("dim", "shard").applyInArrow(_build_shard, INDEX), "hnsw-index")
 
 
 def _search_part(k: int, ef: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        qs, ids, scores = [], [], []
+        qs, ids, lows, scores = [], [], [], []
         if left.num_rows and right.num_rows:
             dim = left["dim"][0].as_py()
-            own = np.frombuffer(left["ids"][0].as_py(), "<i8")
+            own, low = (np.frombuffer(left[c][0].as_py(), "<i8") for c in ("ids", "lows"))
             vec = np.frombuffer(left["vectors"][0].as_py(), "<f8").reshape(-1, dim)
             levels = [(None, np.frombuffer(t, "<i4").reshape(s, -1)) for s, t in zip(left["sizes"][0].as_py(), left["neighbours"][0].as_py(), strict=True)]
             unit, norm = _unit(vec), np.sqrt((vec * vec).sum(axis=1))
@@ -237,14 +239,15 @@ def _search_part(k: int, ef: int):
                 dot = np.einsum("qed,qd->qe", vec[got], block)
                 score = dot / (norm[got] * np.sqrt((block * block).sum(axis=1))[:, None])
                 score = np.where(got >= 0, score, -np.inf)
-                order = np.lexsort((np.where(got >= 0, own[got], 0), -score), axis=1)[:, :k]
+                order = np.lexsort((np.where(got >= 0, low[got], 0), -score), axis=1)[:, :k]
                 s, g = np.take_along_axis(score, order, axis=1), np.take_along_axis(got, order, axis=1)
                 ok = g >= 0
                 qs.append(np.repeat(qid[i:i + 256], ok.sum(axis=1)))
                 ids.append(own[g[ok]])
+                lows.append(low[g[ok]])
                 scores.append(s[ok])
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        return pa.table({"query": cat(qs, np.int64), "point": cat(ids, np.int64), "score": cat(scores, np.float64)})
+        return pa.table({"query": cat(qs, np.int64), "point": cat(ids, np.int64), "low": cat(lows, np.int64), "score": cat(scores, np.float64)})
     return run
 
 
@@ -256,10 +259,12 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     order = W.partitionBy("vec").orderBy("id")
     members = (rows.select("id", "vec").withColumn("r", F.dense_rank().over(order)).where(f"r <= {k + 1}")
                .groupBy("vec").agg(F.array_sort(F.collect_set("id")).alias("ids")))
-    members = written(members.select(F.get("ids", F.lit(0)).alias("id"), "vec", "ids"), "hnsw-points")
+    # a point's number names its vector, not an id: an id may have several; written, so fixed from here on
+    members = written(members.select(F.monotonically_increasing_id().alias("point"), F.get("ids", F.lit(0)).alias("low"), "vec", "ids"),
+                      "hnsw-points")
     graph = index(members, shard_rows)
     asked = written(rows.where("is_query").select(F.col("id").alias("query_id"), "vec").distinct()
-                    .join(members.select("id", "vec"), "vec").select("query_id", F.col("id").alias("query"), "vec"), "hnsw-queries")
+                    .join(members.select("point", "vec"), "vec").select("query_id", F.col("point").alias("query"), "vec"), "hnsw-queries")
     distinct = asked.select("query", F.col("vec").cast("array<double>").alias("vec"), F.size("vec").alias("dim")).dropDuplicates(["query"])
     parts = max(1, -(-distinct.count() // part_rows))
     shards = graph.groupBy("dim").agg(F.collect_set("shard").alias("shards"))
@@ -267,10 +272,10 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     right = (distinct.join(shards, "dim").withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int"))
              .select("query", "vec", "dim", "part", F.explode("shards").alias("shard")))
     found = written(left.groupBy("dim", "shard", "part").cogroup(right.groupBy("dim", "shard", "part"))
-                    .applyInArrow(_search_part(k + 1, ef), "query long, point long, score double"), "hnsw-found")
-    top = W.partitionBy("query").orderBy(F.desc("score"), "point")
+                    .applyInArrow(_search_part(k + 1, ef), "query long, point long, low long, score double"), "hnsw-found")
+    top = W.partitionBy("query").orderBy(F.desc("score"), "low", "point")
     best = found.withColumn("r", F.row_number().over(top)).where(f"r <= {k + 1}").drop("r")
-    best = best.join(members.select(F.col("id").alias("point"), "ids"), "point").select("query", "score", F.explode("ids").alias("id"))
-    pairs = asked.select("query_id", "query").join(best, "query").where("id <> query_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    best = best.join(members.select("point", "ids"), "point").select("query", "point", "score", F.explode("ids").alias("id"))
+    pairs = asked.select("query_id", "query").join(best, "query").where("not (id = query_id and point = query)")
+    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "query").orderBy(F.desc("score"), "id", "point")))
     return ranked.where(f"rank <= {k}").select("query_id", "rank", F.col("id").alias(id_col), "score")

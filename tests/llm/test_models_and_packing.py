@@ -55,6 +55,37 @@ def test_a_pair_of_terms_weighs_more_than_its_parts():
     assert s[2] > 0.8 and max(s[0], s[1], s[3]) < 0.3
 
 
+def test_terms_neutral_alone_are_learned_as_a_pair():
+    pairs = {"grp ins": 1, "oth fri": 1, "grp fri": 0, "oth ins": 0}
+    model = toxicity_fm.fit([t.encode() for t in pairs] * 300, list(pairs.values()) * 300)
+    buf = np.frombuffer("".join(pairs).encode(), np.uint8)
+    s = toxicity_fm.scores(model, buf, np.cumsum([0] + [len(t) for t in pairs]))
+    assert s[0] > 0.9 and s[1] > 0.9 and s[2] < 0.1 and s[3] < 0.1
+
+
+def test_the_score_equals_a_plain_sum_over_pairs():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 12))).encode() for _ in range(60)]
+    model = toxicity_fm.fit(texts * 8, [int(b"a" in t and b"b" in t) for t in texts] * 8)
+    assert len(model["w"]) >= 2
+    for t in texts:
+        off = np.array([0, len(t)])
+        terms = toxicity_fm._terms(np.frombuffer(t, np.uint8), off, model["table"])[1]
+        raw = model["w0"][0] + model["w"][terms].sum()
+        raw += sum(model["v"][i] @ model["v"][j] for k, i in enumerate(terms) for j in terms[k + 1:])
+        assert abs(toxicity_fm.scores(model, np.frombuffer(t, np.uint8), off)[0] - 1 / (1 + np.exp(-raw))) < 1e-9
+
+
+def test_nearest_of_ids_with_several_vectors(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.9987, 0.0499, 0.01]
+    rows = [(1, a), (1, b), (2, b), (3, c), (50, c), (50, c), (7, [2.0, 0.0, 0.0])]
+    table = spark.createDataFrame([(i, v, 9, 0.5, "x") for i, v in rows],
+                                  "vec_id long, embedding array<double>, point long, score double, query string")
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in hnsw.nearest(table, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    near, far = round(0.9987 / np.linalg.norm(c), 6), round(0.0499 / np.linalg.norm(c), 6)
+    assert got == [(50, 1, 3, 1.0), (50, 2, 1, near), (50, 3, 7, near), (50, 4, 1, far), (50, 5, 2, far)]
+
+
 # -------------------------------------------------------------------------------- packing
 
 def check_plan(counts, capacity=64, **k):
