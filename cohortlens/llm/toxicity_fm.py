@@ -7,9 +7,10 @@ A document is its set of hashed terms (words and word beginnings); its score is
 so that pairs of terms, such as an insult with the mention of a group, carry weights of their
 own.  The pairwise sum costs one pass: half of |sum v_i|^2 - sum |v_i|^2.
 
-Fitting on the driver: a bounded labelled sample; hashed terms whose frequency differs between
-the labels by at least ``MIN_Z`` standard errors enter the model; Adam with L2 on all
-weights.  Scoring: one Arrow pass over all documents, whole texts, no shuffle.
+Fitting on the driver: a bounded labelled sample; a hashed term enters the model if its own frequency
+differs between the labels by at least ``MIN_Z`` standard errors, or if that of its pair with some other term does
+and exceeds what either says alone by as much (``telling_pairs``): so terms that are neutral alone and
+matter together are learned.  Adam with L2 on all weights.  Scoring: one Arrow pass over all documents, whole texts, no shuffle.
 
 Defined results: null and empty texts have no terms and score sigmoid(w0); repeated rows
 score alike; an empty table gives an empty table; without labelled rows of both labels every
@@ -29,6 +30,7 @@ from .training import held_out, labelled_sample
 
 BITS, RANK, MIN_Z = 20, 6, 5.0
 PREFIXES = (4, 5)
+PAIR_BLOCK = 128
 
 
 def _terms(buf: np.ndarray, off: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +56,32 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _difference(pos, tot, n1: float, n0: float):
+    """How many standard errors a share differs between label 1 (``pos`` of n1) and label 0 (the rest of ``tot``, of n0)."""
+    share = (tot + 1) / (n1 + n0 + 2)
+    return (pos / n1 - (tot - pos) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+
+
+def telling_pairs(row: np.ndarray, t: np.ndarray, y: np.ndarray, z: np.ndarray, tot: np.ndarray) -> np.ndarray:
+    """Terms of pairs whose joint frequency differs between the labels by ``MIN_Z`` standard errors more than that of
+    either term.  A pair of fewer than MIN_Z squared texts cannot, so rarer terms are not paired."""
+    terms = np.flatnonzero(tot >= MIN_Z ** 2)
+    at = np.full(len(tot), -1, dtype=np.int64)
+    at[terms] = np.arange(len(terms))
+    place = np.argsort(np.argsort(-y, kind="stable"))  # texts of label 1 come first
+    held = np.zeros((len(y), len(terms)), np.float32)
+    keep = at[t] >= 0
+    held[place[row[keep]], at[t[keep]]] = 1
+    n1, n0 = float(y.sum()), float((1 - y).sum())
+    own, toxic = np.abs(z[terms]).astype(np.float32), held[:int(n1)]
+    told = np.zeros(len(terms), bool)
+    for i in range(0, len(terms), PAIR_BLOCK):  # bounded memory: a block of rows of the matrix of pairs
+        both, pos = held[:, i:i + PAIR_BLOCK].T @ held, toxic[:, i:i + PAIR_BLOCK].T @ toxic
+        gain = np.abs(_difference(pos, both, n1, n0)) - np.maximum(own[i:i + PAIR_BLOCK, None], own[None, :])
+        told |= (gain >= MIN_Z).any(axis=0)
+    return terms[told]
+
+
 def fit(texts: list[bytes], labels: list[int], steps: int = 400, l2: float = 5e-4, seed: int = 3) -> dict:
     y = np.array(labels, dtype=np.float64)
     if len(y) == 0 or y.min() == y.max():
@@ -63,10 +91,10 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 400, l2: float = 5e-
     row, t = _terms(buf, off)
     pos = np.bincount(t, weights=y[row], minlength=1 << BITS)
     tot = np.bincount(t, minlength=1 << BITS)
-    n1, n0 = y.sum(), (1 - y).sum()
-    share = (tot + 1) / (len(y) + 2)
-    z = (pos / n1 - (tot - pos) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    chosen = np.flatnonzero((np.abs(z) >= MIN_Z) & (tot >= 3))
+    n1, n0 = float(y.sum()), float((1 - y).sum())
+    z = _difference(pos, tot, n1, n0)
+    alone = np.flatnonzero((np.abs(z) >= MIN_Z) & (tot >= 3))
+    chosen = np.union1d(alone, telling_pairs(row, t, y, z, tot))
     table = np.full(1 << BITS, -1, dtype=np.int32)
     table[chosen] = np.arange(len(chosen))
     keep = table[t] >= 0
