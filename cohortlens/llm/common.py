@@ -82,7 +82,7 @@ def tree_reduce(parts: DataFrame, combine, fan_in: int = 8, name: str = "tree")
     return parts.select("key", "frag")
 
 
-def text_blocks(column: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut an Arrow string column into row ranges of about ``max_bytes`` of UTF-8.
 
     Yields (first row, end row, bytes, row offsets into bytes); null texts are empty.  A
@@ -125,7 +125,7 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
         full = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         full[0] = 1
         have = np.cumprod(full, dtype=np.uint64)
-        if len(have) <= 1 << 23:
+        if len(have) <= 1 << 20:
             _POWERS[name] = have
     return have[:n]
 

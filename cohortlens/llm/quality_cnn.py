@@ -30,7 +30,8 @@ from .training import held_out, labelled_sample
 EMBED, STEP, TAPS, FILTERS, CHUNK, HIDDEN = 8, 4, 3, 32, 64, 16
 WIDTH = STEP * TAPS
 GOOD = 0.8  # weight of label 1 in fitting: to lose a clean document costs four times a junk one kept
-PIECE = CHUNK * STEP * 1024
+BLOCK = 1 << 17  # bytes of text scored at once: some 20 MB of arrays
+PIECE = CHUNK * STEP * 256
 
 
 def _layout(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +158,7 @@ def scores(model: dict, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _block_scores(model: dict, column: pa.Array) -> np.ndarray:
     out = np.zeros(len(column))
-    for i, j, buf, off in text_blocks(column, 1 << 19):
+    for i, j, buf, off in text_blocks(column, BLOCK):
         out[i:j] = scores(model, buf, off)
     return np.round(out, 6)  # equal texts score alike, whatever block they share
 
@@ -181,10 +182,11 @@ def score_documents(docs: DataFrame, model: dict, threshold: float = 0.5, id_col
 
 
 def keep_good(docs: DataFrame, model: dict, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows scored at least ``threshold``, with all their columns: a filter without a join."""
-    at = docs.columns.index(text_col)
+    """The rows scored at least ``threshold``, with all their columns: a filter without a join.
 
-    def run(batches):
-        for b in batches:
-            yield b.filter(pa.array(_block_scores(model, b.column(at)) >= threshold))
-    return docs.mapInArrow(run, docs.schema)
+    Only the texts go to Python, and only the verdicts come back."""
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        return pa.array(_block_scores(model, text) >= threshold)
+
+    return docs.where(good(F.col(text_col)))
