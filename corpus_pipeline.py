@@ -9,8 +9,8 @@ line_dedup        later copies of runs of lines of 50 or more words are cut; tex
                   a word go, ``n_chars`` follows the text
 near_dedup        one document stays of each component of five-word shingle similarity 0.8 or more:
                   the smallest id (of rows that share it, the smallest text hash); rows that share
-                  an id but not the text are judged apart; of rows equal in both the smallest
-                  stays; rows with a null id all stay
+                  an id but not the text are judged apart; of rows equal in both the one whose JSON
+                  is smallest stays; rows with a null id all stay
 decontamination   documents with a twentieth or more of their words in benchmark passages go
 packing           pieces of at most 1024 tokens with their place in sequences
 
@@ -50,9 +50,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("stays"))
     gone = (members.join(stays, "component_id").where("struct(doc_id, __key) <> stays")
             .select(F.col("doc_id").alias("__gone"), F.col("__key").alias("__gone_key")).distinct())
+    gone = broadcast_if_small(written(gone, "near-gone"))
     kept = rows.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__key") == F.col("__gone_key")), "left_anti")
-    one = kept.groupBy("doc_id", "__key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return one.union(docs.where("doc_id is null"))
+    # rows that share id and text are rare: their keys are found first, and only they are moved
+    twice = kept.groupBy("doc_id", "__key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "__key")
+    twice = broadcast_if_small(written(twice, "near-repeated"))
+    single = kept.join(twice, ["doc_id", "__key"], "left_anti").select(docs.columns)
+    one = (kept.join(twice, ["doc_id", "__key"], "left_semi").groupBy("doc_id", "__key")
+           .agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("row")).select("row.*"))
+    return single.union(one).union(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
