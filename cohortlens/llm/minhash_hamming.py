@@ -22,7 +22,7 @@ Shape of the job (nothing expands into all pairs of a group of copies):
 * then only pairs of classes of different components remain.  In keys of up to
   ``SMALL_KEY`` classes they are joined directly; classes of larger keys go through an exact
   prefix-filter join instead: a pair over the threshold must share one of the rarest shingles
-  of either (the first ``n - ceil(s * n) + 1`` by frequency), with enough shingles behind it;
+  of either (the first ``n - ceil(s * n) + 1`` by the count of their hash bucket), with enough shingles behind it;
 * components by alternating large-star and small-star steps on tables in the shared folder.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
@@ -38,13 +38,13 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, mix, shingle_hashes, text_blocks, word_hashes, written
 
 COMPONENTS = 64
 SMALL_KEY = 24
+BUCKETS = 1 << 20
 EARLIER = 48  # shingles before a shared one that are searched for an earlier shared one
 _RNG = np.random.default_rng(77)
 _MUL = _RNG.integers(0, 1 << 64, 1024, dtype=np.uint64) | np.uint64(1)
@@ -237,33 +237,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _explode_sets(batches):
+def _bucket_counts(batches):
     for b in batches:
-        ids, label, hashes = [], [], []
-        i0, l0, s0 = b.column("id").to_numpy(), b.column("label").to_numpy(), b.column("s")
-        for i in range(len(b)):
-            s = np.frombuffer(s0[i].as_buffer(), dtype=np.int64)
-            ids.append(np.full(len(s), i0[i]))
-            label.append(np.full(len(s), l0[i]))
-            hashes.append(s)
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, label, hashes)],
-                                             names=["id", "label", "h"])
+        sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in b.column(0)]
+        bucket, n = np.unique(np.concatenate(sets) % np.uint64(BUCKETS), return_counts=True) if sets else (np.zeros(0), np.zeros(0))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+
+
+def _prefixes(counts, num: int, den: int):
+    """(id, label, h, n, r, back) of the prefix of each set: its shingles by the count of their bucket, then by
+    hash; h is the r-th of n, ``back`` are up to ``EARLIER`` prefix shingles before it."""
+    def run(batches):
+        for b in batches:
+            cols = [[] for _ in range(6)]
+            for i, label, v in zip(b.column("id").to_pylist(), b.column("label").to_pylist(), b.column("s")):
+                s = np.frombuffer(v.as_buffer(), dtype=np.uint64)
+                f = counts.value[(s % np.uint64(BUCKETS)).astype(np.int64)]
+                order = np.lexsort((s, f))[:len(s) + (-len(s) * num // den) + 1]
+                r = np.flatnonzero(f[order] > 1)  # a bucket of one holds a shingle that no other set has
+                h = s[order[r]].view(np.int64)
+                for c, x in zip(cols, ([i] * len(r), [label] * len(r), h.tolist(), [len(s)] * len(r), (r + 1).tolist(),
+                                       [h[max(0, k - EARLIER):k].tolist() for k in range(len(r))])):
+                    c += x
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "label", "h", "n", "r", "back"])
+    return run
 
 
 def _prefix_pairs(dense: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Exact candidates among the classes of large keys: pairs that share one of the rarest
-    ``n - ceil(n * num / den) + 1`` shingles of both, counted among these classes."""
+    """Exact candidates among the classes of large keys: pairs that share one of the first
+    ``n - ceil(n * num / den) + 1`` shingles of both.
+
+    Any order of all shingles would do; rare ones first keeps the pairs few.  The order goes by the counts of
+    ``BUCKETS`` hash buckets among these classes, a table of fixed size that every task has, so that
+    no shingle outside a prefix is moved."""
     sets = texts.join(broadcast_if_small(dense.select("id")), "id", "left_semi").mapInArrow(_set_rows(size), "id long, s binary")
-    rows = written(sets.join(dense, "id").select("id", "label", "s")
-                   .mapInArrow(_explode_sets, "id long, label long, h long"), "near-dense")
-    freq = rows.groupBy("h").agg(F.count("*").alias("f"))
-    ranked = rows.join(freq, "h").select("id", "label", "h", "f")
-    w = W.partitionBy("id")
-    ranked = (ranked.withColumn("r", F.row_number().over(w.orderBy("f", "h"))).withColumn("n", F.count("*").over(w))
-              .where(f"r <= n - ceil(n * {num} / {den}) + 1 and f > 1"))
+    sets = written(sets.join(dense, "id").select("id", "label", "s"), "near-dense")
+    found = sets.select("s").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    prefixes = sets.mapInArrow(_prefixes(dense.sparkSession.sparkContext.broadcast(counts), num, den),
+                               "id long, label long, h long, n long, r long, back array<long>")
+    ranked = written(prefixes, "near-prefixes")
     mixed = ranked.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("h")
-    ranked = ranked.withColumn("back", F.collect_list("h").over(w.orderBy("f", "h").rowsBetween(-EARLIER, -1)))
     x = ranked.join(mixed, "h", "left_semi").select("h", "id", "label", "n", "r", "back")
     y = x.select("h", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "n", "r", "back")])
     # the first shingle that two sets share bounds their overlap by what follows it in either; a
