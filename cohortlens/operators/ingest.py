@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import (Header, clean_text, collapse_flags, parse_date, parse_number,
@@ -188,7 +188,17 @@ def build_charges(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return offense, facts
 
 
-def build_diagnosis(raw: DataFrame) -> DataFrame:
+def observed(raw: DataFrame, rejects: Observation | None, parses: dict) -> DataFrame:
+    """Count in ``rejects``, while ``raw`` is read for its build, the values per column that are there but come out
+    NULL of their parse; ``parses``: source column (None: not in this file) -> parse."""
+    if rejects is None:
+        return raw
+    counts = [F.sum(F.when(clean_text(_col(raw, c)).isNotNull() & parse(_col(raw, c)).isNull(), 1).otherwise(0)).cast("long").alias(c)
+              for c, parse in parses.items() if c]
+    return raw.observe(rejects, *counts) if counts else raw
+
+
+def build_diagnosis(raw: DataFrame, rejects: Observation | None = None) -> DataFrame:
     """Mental-health entry -> participant_diagnosis; rows without code or id dropped."""
     h = Header(raw.columns)
     name = h.holding(*NAME_KW)
@@ -197,6 +207,7 @@ def build_diagnosis(raw: DataFrame) -> DataFrame:
     date = h.holding("DATE", "ASSESSMENT", "ENTRY")
     if name is None or code is None:
         raise ValueError(f"mental-health header lacks name/code columns: {raw.columns}")
+    raw = observed(raw, rejects, {date: parse_date})
     return (raw.select(person_key(_col(raw, name)).alias("participant_id"),
                        clean_text(_col(raw, code)).alias("diagnosis_code"),
                        clean_text(_col(raw, desc)).alias("diagnosis_description"),
@@ -204,7 +215,7 @@ def build_diagnosis(raw: DataFrame) -> DataFrame:
             .dropna(subset=["diagnosis_code", "participant_id"]))
 
 
-def build_risk(raw: DataFrame) -> DataFrame:
+def build_risk(raw: DataFrame, rejects: Observation | None = None) -> DataFrame:
     """Risk assessment -> risk_assessment."""
     h = Header(raw.columns)
     name = h.holding(*NAME_KW)
@@ -213,6 +224,7 @@ def build_risk(raw: DataFrame) -> DataFrame:
     date = h.holding("DATE", "ASSESSMENT")
     score = h.holding("SCORE", "LS/CMI", "LS CMI", "RISK")
     cat = h.holding("CATEGORY", "LEVEL", "RISK LEVEL")
+    raw = observed(raw, rejects, {date: parse_date, score: parse_number})
     return (raw.select(person_key(_col(raw, name)).alias("participant_id"),
                        parse_date(_col(raw, date)).alias("assessment_date"),
                        parse_number(_col(raw, score)).alias("risk_score"),
@@ -220,7 +232,7 @@ def build_risk(raw: DataFrame) -> DataFrame:
             .dropna(subset=["participant_id"]))
 
 
-def build_jail(raw: DataFrame) -> DataFrame:
+def build_jail(raw: DataFrame, rejects: Observation | None = None) -> DataFrame:
     """Jail tracking -> jail_data.  Days come from end - start only when the whole
     days column is empty (a data-dependent rule, evaluated as a broadcast one-row
     aggregate)."""
@@ -232,12 +244,13 @@ def build_jail(raw: DataFrame) -> DataFrame:
     end = h.holding("END", "RELEASE", "TO", "DISCHARGE")
     days = h.holding("DAYS", "LENGTH", "DURATION")
     cost = h.holding("COST", "AMOUNT", "FEE", "CHARGE")
+    n_days = raw.agg(F.count(parse_number(_col(raw, days))).alias("_n_days")).scalar()
+    raw = observed(raw, rejects, {start: parse_date, end: parse_date, days: parse_number, cost: parse_number})
     rows = raw.select(person_key(_col(raw, name)).alias("participant_id"),
                       parse_date(_col(raw, start)).alias("start_date"),
                       parse_date(_col(raw, end)).alias("end_date"),
                       parse_number(_col(raw, days)).alias("_days"),
                       parse_number(_col(raw, cost)).alias("cost"))
-    n_days = rows.agg(F.count("_days").alias("_n_days")).scalar()
     return (rows.withColumn("_n_days", n_days)
             .select("participant_id", "start_date", "end_date",
                     F.when(F.col("_n_days") == 0, F.date_diff("end_date", "start_date").cast("double"))

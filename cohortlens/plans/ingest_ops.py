@@ -5,15 +5,17 @@ round trips in the shared scratch folder.  Oracles redo the cleaning in DuckDB S
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import (NUMBER, STRIP_PATTERN, TIME_PART, Header, clean_text, collapse_flags, parse_date, parse_number,
                                   person_key, person_key_from_parts, replace_token, split_name)
 from ..operators import ingest
 from ..operators.catalog import publish_reports
-from ..operators.metrics import with_total
 from ..session import scratch_path
 from ..sources import csv as csv_src
 from ..sources import sinks
@@ -405,25 +407,63 @@ def q_csv_scan(t):
 SQL["csv_scan"] = _all_text_sql("raw_roster", _ROSTER_COLS, f", {_NOTE} AS Notes")
 
 
+_RESOLVED = ["raw_roster", "raw_demographics", "raw_charges", "raw_mh_entry", "raw_risk", "raw_jail"]
+
+
 @op("resolve_columns")
 def q_resolve_columns(t):
-    """A3 on the header of every raw extract: which column each keyword set finds."""
+    """A3 over the data: each raw extract is projected by the columns that the keyword sets find in its
+    header; per extract and role: the rows, the values, those that are dates and those that are numbers."""
+    parts = []
+    for name in _RESOLVED:
+        frame = raw(t, name)
+        h = Header(frame.columns)
+        roles = {"person": h.holding("NAME"), "dated": h.holding("DATE"), "graded": h.named("class") or h.holding("LEVEL", "STATUS")}
+        roles = {k: c for k, c in roles.items() if c}
+        cells = [F.struct(F.lit(k).alias("role"), F.lit(c).alias("found"), F.col(f"`{c}`").cast("string").alias("v")) for k, c in roles.items()]
+        cell = frame.select(F.inline(F.array(*cells)))
+        parts.append(cell.groupBy("role", "found").agg(
+            F.count("*").alias("n_rows"), F.count(clean_text("v")).alias("n_values"), F.count(parse_date("v")).alias("n_dates"),
+            F.count(parse_number("v")).alias("n_numbers")).select(F.lit(name).alias("extract"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _resolved_sql(extract: str, role: str, column: str) -> str:
+    c = f"CAST({q(column)} AS VARCHAR)"
+    return f"""SELECT '{extract}' AS extract, '{role}' AS role, '{column}' AS found, count(*) AS n_rows,
+       count({s_clean(c)}) AS n_values, count({s_date(c)}) AS n_dates, count({s_num(c)}) AS n_numbers FROM {extract} HAVING count(*) > 0"""
+
+
+SQL["resolve_columns"] = raw_sql_with(*_RESOLVED) + "\nUNION ALL\n".join(_resolved_sql(*r) for r in [
+    ("raw_roster", "person", "Participant Name"), ("raw_roster", "dated", "Date Started MHC"), ("raw_roster", "graded", "End Status"),
+    ("raw_demographics", "person", "Participant Name"), ("raw_charges", "person", "First Name"), ("raw_charges", "dated", "Charge Date"),
+    ("raw_charges", "graded", "Class"), ("raw_mh_entry", "person", "Participant Name"), ("raw_mh_entry", "dated", "Assessment Date"),
+    ("raw_risk", "person", "Participant Name"), ("raw_risk", "dated", "Assessment Date"), ("raw_risk", "graded", "Risk Level"),
+    ("raw_jail", "person", "Participant Name"), ("raw_jail", "dated", "Release Date")])
+
+
+@op("ingest_rejects")
+def q_ingest_rejects(t):
+    """B4/B5 in the load itself: values that are there but parse to nothing, per extract and column, observed
+    while the tables are built and written (no scan of their own)."""
+    builds = {"raw_risk": ingest.build_risk, "raw_jail": ingest.build_jail, "raw_mh_entry": ingest.build_diagnosis}
     rows = []
-    for name in ("raw_roster", "raw_demographics", "raw_charges", "raw_mh_entry", "raw_risk", "raw_jail"):
-        h = Header(raw(t, name).columns)
-        rows.append((name, h.holding("NAME"), h.holding("DATE"), h.named("class") or h.holding("LEVEL", "STATUS")))
-    found = t.spark.createDataFrame(rows, "extract string, person string, dated string, graded string")
-    return with_total(found, raw(t, "raw_risk").agg(F.count("Participant Name").alias("n_risk_rows")))
-
-
-SQL["resolve_columns"] = raw_sql_with("raw_risk") + """
-SELECT *, (SELECT COUNT("Participant Name") FROM raw_risk) AS n_risk_rows FROM (VALUES
-  ('raw_roster', 'Participant Name', 'Date Started MHC', 'End Status'),
-  ('raw_demographics', 'Participant Name', NULL, NULL),
-  ('raw_charges', 'First Name', 'Charge Date', 'Class'),
-  ('raw_mh_entry', 'Participant Name', 'Assessment Date', NULL),
-  ('raw_risk', 'Participant Name', 'Assessment Date', 'Risk Level'),
-  ('raw_jail', 'Participant Name', 'Release Date', NULL)) v(extract, person, dated, graded)"""
+    for name, build in builds.items():
+        seen = Observation(f"rejects-{name}-{uuid.uuid4().hex[:8]}")
+        sinks.write_table(build(raw(t, name), rejects=seen), scratch_path(t.spark, "ops", "rejects", name))
+        rows += [(name, c, n or 0) for c, n in seen.get.items()]
+    return t.spark.createDataFrame(rows, "extract string, source_column string, rejected long")
+
+
+def _rejects_sql(extract: str, column: str, parsed: Callable[[str], str]) -> str:
+    c = f"CAST({q(column)} AS VARCHAR)"
+    return f"""SELECT '{extract}' AS extract, '{column}' AS source_column,
+       count(CASE WHEN {s_clean(c)} IS NOT NULL AND {parsed(c)} IS NULL THEN 1 END) AS rejected FROM {extract}"""
+
+
+SQL["ingest_rejects"] = raw_sql_with("raw_risk", "raw_jail", "raw_mh_entry") + "\nUNION ALL\n".join(_rejects_sql(*r) for r in [
+    ("raw_risk", "Assessment Date", s_date), ("raw_risk", "LS/CMI Score", s_num), ("raw_jail", "Booking Start", s_date), ("raw_jail", "Release Date", s_date),
+    ("raw_jail", "Days", s_num), ("raw_jail", "Cost", s_num), ("raw_mh_entry", "Assessment Date", s_date)])
 
 
 @op("csv_positional")

@@ -26,22 +26,45 @@ def _null_tokens(df: DataFrame, tokens) -> DataFrame:
                        .otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+#: One line that holds whole records only: fields without quotes, or in closed quotes.
+_WHOLE_FIELD = r'(?:[ \t]*+"(?:[^"]|"")*+"[ \t]*+|[ \t]*+(?:[^", \t][^,]*+)?)'
+WHOLE_LINE = f"^{_WHOLE_FIELD}(?:,{_WHOLE_FIELD})*+$"
+
+
+def files_with_broken_lines(spark: SparkSession, path: str | Sequence[str]) -> tuple[list[str], list[str]]:
+    """(files whose every line is a whole record, files with a line that opens or goes on with a quoted field).
+
+    A splittable pass over the lines: while none leaves a quote open, every line break ends a record, so the
+    files of the first list read alike in parts and whole.  Only file names come to the driver."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (~F.col("value").rlike(WHOLE_LINE)).alias("broken"))
+    found = lines.groupBy("file").agg(F.max("broken").alias("broken")).collect()
+    return sorted(r.file for r in found if not r.broken), sorted(r.file for r in found if r.broken)
+
+
 def read_csv_table(spark: SparkSession, path: str | Sequence[str], header: bool = True,
                    names: Sequence[str] | None = None, na_tokens: Sequence[str] | None = NA_TOKENS,
-                   multi_line: bool = True, mode: str = "FAILFAST") -> DataFrame:
+                   multi_line: bool | None = None, mode: str = "FAILFAST") -> DataFrame:
     """A1/A2: read CSV as strings (RFC 4180 quoting, blanks after a delimiter skipped).
 
     header=True: the first line names the columns (names trimmed).
     header=False: the first record is dropped and columns are taken by position, renamed to
     ``names`` (one per column, or an error) or ``_c<i>``.
     Values equal to one of ``na_tokens`` (default: pandas' missing-value tokens) are NULL.
-    ``multi_line``: quoted fields may hold line breaks; a file is then read by one task, so
-    turn it off for large files without such fields.  A record that does not fit the header
-    is an error in the default ``mode``; PERMISSIVE pads it.
+    ``multi_line``: quoted fields may hold line breaks, and a file is read by one task.  By default
+    this is found out per file (``files_with_broken_lines``): files without such fields are read in parts.
+    A record that does not fit the header is an error in the default ``mode``; PERMISSIVE pads it.
     """
-    df = (spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True)
-          .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-          .option("inferSchema", False).option("mode", mode).csv(path))
+    def reader(whole: bool):
+        return (spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True)
+                .option("quote", '"').option("escape", '"').option("multiLine", whole)
+                .option("inferSchema", False).option("mode", mode))
+
+    split, whole = files_with_broken_lines(spark, path) if multi_line is None else ([], [])
+    if split and whole:
+        schema = reader(True).csv(path).schema
+        df = reader(False).schema(schema).csv(split).unionAll(reader(True).schema(schema).csv(whole))
+    else:
+        df = reader(bool(whole) if multi_line is None else multi_line).csv(path)
     if header:
         return _null_tokens(df.toDF(*[c.strip() for c in df.columns]), na_tokens)
     if names and len(names) != len(df.columns):
