@@ -33,7 +33,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          read_table(spark, sf_dir, "benchmark")).drop("key")
 
 
-def op6_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decontamination_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.proximity_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
@@ -86,7 +86,7 @@ SPARK = {
     "op7_url_graph": op7_url_graph,
     "op2_line_winnowing": op2_line_winnowing,
     "op6_decontamination": op6_decontamination,
-    "op6_proximity": op6_proximity,
+    "decontamination_proximity": decontamination_proximity,
     "op3_quality_cnn": op3_quality_cnn,
     "op5_toxicity_fm": op5_toxicity_fm,
     "op8_packing": op8_packing,

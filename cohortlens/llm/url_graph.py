@@ -57,16 +57,20 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-4,
-              steps: int = 50) -> DataFrame:
-    """(host, trust, distrust) from seeds (host, trust, distrust) along edges (src, dst, n)."""
+              steps: int | None = None) -> DataFrame:
+    """(host, trust, distrust) from seeds (host, trust, distrust) along edges (src, dst, n).
+
+    Steps go on until no rank moves by ``tolerance``, which a damping below 1 reaches in any graph; with
+    ``steps`` given, ranks that still move after so many are an error."""
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("into"))
     edges = written(edges.join(out, "src").join(into, "dst")
                     .select("src", "dst", (F.col("n") / F.col("out")).alias("w"), (F.col("n") / F.col("into")).alias("v")), "url-edges")
     hosts = (seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct())
     seeds = written(hosts.join(seeds, "host", "left").fillna(0.0, ["trust", "distrust"]), "url-seeds")
-    state = seeds
-    for _ in range(steps):
+    state, step = seeds, 0
+    while True:
+        step += 1
         forth = edges.join(state.select(F.col("host").alias("src"), "trust"), "src").select(
             F.col("dst").alias("host"), (F.col("w") * F.col("trust")).alias("trust"), F.lit(0.0).alias("distrust"))
         back = edges.join(state.select(F.col("host").alias("dst"), "distrust"), "dst").select(
@@ -80,8 +84,9 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, toleran
         moved = new.join(old, "host").agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("t0")), F.abs(F.col("distrust") - F.col("d0")))).alias("m")).first()["m"]
         state = new
         if moved is None or moved < tolerance:
-            break
-    return state
+            return state
+        if step == steps:
+            raise RuntimeError(f"ranks still move by {moved} after {steps} steps")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, threshold: float = 0.5,

@@ -185,7 +185,7 @@ def test_url_rules_and_ranks_equal_brute_force(spark):
               "".join(f"<a href='http://{r.choice(hosts)}/p'>" for _ in range(r.randrange(4))) + '<a href="/local">') for i in range(150)]
     pages += [(None, None, None), (500, "no scheme", "x"), (501, "", None), (501, "", None), (502, "http:///only/path", "")]
     rules = queries.URL_RULES
-    got = url_graph.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules, tolerance=1e-9, steps=60).collect()
+    got = url_graph.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules, tolerance=1e-6).collect()
     import re
 
     def parse(u):
@@ -236,6 +236,17 @@ def test_url_filter_of_an_empty_table(spark):
     assert url_graph.judge(spark.createDataFrame([], "page_id long, url string, html string"), queries.URL_RULES).count() == 0
 
 
+def test_ranks_go_on_until_they_rest_and_a_step_limit_is_an_error(spark):
+    seeds = spark.createDataFrame([("a", 1.0, 0.0), ("b", 1.0, 1.0)], "host string, trust double, distrust double")
+    edges = spark.createDataFrame([("a", "b", 3), ("b", "a", 1)], "src string, dst string, n long")
+    with pytest.raises(RuntimeError, match="still move"):
+        url_graph.propagate(seeds, edges, tolerance=1e-3, steps=3)
+    got = {r.host: (r.trust, r.distrust) for r in url_graph.propagate(seeds, edges, tolerance=1e-3).collect()}
+    d = 1 / (1 - 0.85 ** 2)  # closed form of two hosts that link each other
+    for host, want in (("a", (1.85 * d, 0.85 * d)), ("b", (1.85 * d, d))):
+        assert all(abs(x - w) < 0.01 for x, w in zip(got[host], want))
+
+
 # ------------------------------------------------------------------------------------ pii
 
 def brute_base(text):
