@@ -34,6 +34,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ from .common import broadcast_if_small, mix, shingle_hashes, text_blocks, word_h
 
 COMPONENTS = 64
 SMALL_KEY = 24
-BUCKETS = 1 << 20
+BUCKETS, SLICES = 1 << 18, 16
 EARLIER = 48  # shingles before a shared one that are searched for an earlier shared one
 _RNG = np.random.default_rng(77)
 _MUL = _RNG.integers(0, 1 << 64, 1024, dtype=np.uint64) | np.uint64(1)
@@ -238,10 +239,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _bucket_counts(batches):
+    """(slice, counts) of a task: how many shingles its sets have in each bucket, a few rows of fixed size."""
+    counts = np.zeros(BUCKETS, np.int64)
     for b in batches:
-        sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in b.column(0)]
-        bucket, n = np.unique(np.concatenate(sets) % np.uint64(BUCKETS), return_counts=True) if sets else (np.zeros(0), np.zeros(0))
-        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+        for v in b.column(0):
+            np.add.at(counts, (np.frombuffer(v.as_buffer(), np.uint64) % np.uint64(BUCKETS)).astype(np.int64), 1)
+    parts = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, SLICES)] if counts.any() else []
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+
+
+def _summed_slice(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zlib.decompress(v.as_py()), np.int64) for v in table["counts"])
+    return pa.table({"slice": table["slice"].slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def _prefixes(counts, num: int, den: int):
@@ -273,9 +282,11 @@ def _prefix_pairs(dense: DataFrame, texts: DataFrame, size: int, num: int, den:
     no shingle outside a prefix is moved."""
     sets = texts.join(broadcast_if_small(dense.select("id")), "id", "left_semi").mapInArrow(_set_rows(size), "id long, s binary")
     sets = written(sets.join(dense, "id").select("id", "label", "s"), "near-dense")
-    found = sets.select("s").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    schema = "slice int, counts binary"
+    found = sets.select("s").mapInArrow(_bucket_counts, schema).groupBy("slice").applyInArrow(_summed_slice, schema).collect()
     counts = np.zeros(BUCKETS, np.int64)
-    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    for r in found:
+        counts.reshape(SLICES, -1)[r.slice] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
     prefixes = sets.mapInArrow(_prefixes(dense.sparkSession.sparkContext.broadcast(counts), num, den),
                                "id long, label long, h long, n long, r long, back array<long>")
     ranked = written(prefixes, "near-prefixes")
