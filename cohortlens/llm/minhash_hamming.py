@@ -45,7 +45,7 @@ from .common import broadcast_if_small, mix, shingle_hashes, text_blocks, word_h
 
 COMPONENTS = 64
 SMALL_KEY = 24
-BUCKETS, SLICES = 1 << 18, 16
+BUCKETS, SLICES = 1 << 20, 64
 EARLIER = 48  # shingles before a shared one that are searched for an earlier shared one
 _RNG = np.random.default_rng(77)
 _MUL = _RNG.integers(0, 1 << 64, 1024, dtype=np.uint64) | np.uint64(1)
