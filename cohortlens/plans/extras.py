@@ -211,11 +211,11 @@ def row_counts(t) -> DataFrame:
     b = t["participant_charge"].agg(F.count(ONE).alias("Charges"))
     c = t["treatment_episode"].agg(F.count(ONE).alias("Treatment_Episodes"))
     return (one_row(a, b, c)
-            .select(F.lit("Database working").alias("Status"), "Participants", "Charges",
+            .select(F.lit("Tables working").alias("Status"), "Participants", "Charges",
                     "Treatment_Episodes"))
 
 
 SQL["x6"] = sql_with("participant", "participant_charge", "treatment_episode") + """
-SELECT 'Database working' AS Status, p.n AS Participants, c.n AS Charges, e.n AS Treatment_Episodes
+SELECT 'Tables working' AS Status, p.n AS Participants, c.n AS Charges, e.n AS Treatment_Episodes
 FROM (SELECT count(*) AS n FROM participant) p, (SELECT count(*) AS n FROM participant_charge) c,
      (SELECT count(*) AS n FROM treatment_episode) e"""
