@@ -176,6 +176,76 @@ def test_windows_keep_the_budget_the_system_turn_and_some_history(spark):
     assert [x.n_repeated for x in w][0] == 0 and all(x.n_repeated >= 2 for x in w[1:])
 
 
+def _plain_spans(tokens, head, budget, history):
+    """(new, repeated) places of each window of one stretch, turn by turn."""
+    out, new, again = [], [], []
+    for i, n in enumerate(tokens):
+        if new and head + sum(tokens[k] for k in again + new) + n > budget:
+            out.append((new, again))
+            room, tail = max(0, min(history, budget - head - n)), []
+            for k in reversed(new):
+                if tokens[k] + sum(tokens[j] for j in tail) > room:
+                    break
+                tail.insert(0, k)
+            new, again = [], tail
+        new = new + [i]
+    return out + [(new, again)]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_spans_close_before_the_turn_that_would_pass_the_budget(spark, monkeypatch, partitions):
+    monkeypatch.setattr(chat_windows, "STRETCH", 3)
+    r = random.Random(9)
+    budget, history = 60, 20
+    sizes = {c: [r.choice([1, 3, 8, 15, 26, 52, 80]) for _ in range(r.choice([1, 2, 12, 200]))] for c in range(25)}
+    rows = [(c, i + 1, r.choice(["user", "assistant"]), "w " * n) for c, v in sizes.items() for i, n in enumerate(v)]
+    rows += [(c, 0, "system", "s s s") for c in sizes if c % 2]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = chat_windows.windows(table, budget=budget, history=history).select("conv_id", "window", "n_turns", "n_repeated", "n_tokens").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = set()
+    for c, v in sizes.items():
+        tokens, head, at, stretches = [n + chat_windows.MARKS for n in v], (3 + chat_windows.MARKS) * (c % 2), 0, defaultdict(list)
+        for n in tokens:
+            stretches[at // (3 * budget)].append(n)
+            at += n
+        for k, ts in stretches.items():
+            for w, (new, again) in enumerate(_plain_spans(ts, head, budget, history)):
+                total = head + sum(ts[j] for j in new + again)
+                repeated = len(again) + (c % 2 and not (k == 0 and w == 0))
+                want.add((c, k * 3 * budget + w, len(new) + len(again) + c % 2, repeated, total))
+                assert total <= budget or len(new) == 1 and not again
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
+def test_large_turns_share_a_window_and_none_passes_the_budget(spark):
+    def tokens(n):
+        rows = [(1, i, "user", "w " * (n - chat_windows.MARKS)) for i in range(8)]
+        return [x.n_tokens for x in chat_windows.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("window").collect()]
+
+    assert tokens(504) == [1008] * 4
+    assert tokens(600) == [600] * 8
+
+
+def test_a_hot_conversation_is_cut_by_many_tasks(spark):
+    rows = spark.range(40_000).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"),
+                                      F.concat(F.lit("words of turn "), "id").alias("text"), F.lit(1).alias("hash"), F.lit("x").alias("part"))
+    w = chat_windows.windows(rows)
+    assert w.count() > 200 and w.agg(F.sum(F.col("n_turns") - F.col("n_repeated"))).first()[0] == 40_000
+    sums = chat_windows._prefix_sums(rows.select(F.col("conv_id").alias("conv"), "turn", "role", F.xxhash64("text").alias("hash"), F.lit(8).cast("long").alias("tokens")))
+    got = sums.orderBy("turn").select("seq", "before").collect()
+    assert [tuple(x) for x in got] == [(i, 8 * i) for i in range(40_000)]
+
+
+def test_a_conversation_of_a_system_turn_alone(spark):
+    w = chat_windows.windows(spark.createDataFrame([(1, 0, "system", "be kind")], "conv_id long, turn long, role string, text string")).collect()
+    assert [(x.window, x.n_turns, x.n_repeated, x.loss) for x in w] == [(0, 1, 0, [])]
+
+
 # ------------------------------------------------------------------------------------ url
 
 def test_url_rules_and_ranks_equal_brute_force(spark):
