@@ -35,16 +35,62 @@ def test_held_out_accuracy_and_awkward_rows(spark, awkward, empty, module, label
     assert module.score_documents(awkward, module.train(docs, labels.limit(0))).count() == awkward.count()
 
 
-def test_long_texts_score_piecewise_as_whole():
+def _plain_score(model, text):
+    """The network by its definition, window by window and chunk by chunk."""
+    q = quality_cnn
+    steps = max(1, -(-len(text) // q.STEP))
+    padded = text + b"\0" * (steps * q.STEP + q.WIDTH - len(text))
+    taps = model["w"].reshape(q.STEP * q.EMBED, q.TAPS, q.FILTERS).astype(float)
+    out = []
+    for i in range(steps):
+        z = model["b"].astype(float)
+        for k in range(q.TAPS):
+            part = padded[(i + k) * q.STEP:(i + k + 1) * q.STEP]
+            z = z + model["emb"][np.frombuffer(part, np.uint8)].astype(float).ravel() @ taps[:, k]
+        out.append(np.maximum(z, 0))
+    half = q.CHUNK // 2
+    starts = range(0, max(1, steps - half), half)
+    chunks = np.array([np.max(out[i:i + q.CHUNK], axis=0) for i in starts])
+    x = np.concatenate([chunks.max(axis=0), chunks.mean(axis=0), [min(1, len(text) / (q.CHUNK * q.STEP))]])
+    hidden = np.maximum(x @ model["h"] + model["hb"], 0)
+    return 1 / (1 + np.exp(-(hidden @ model["out"] + model["bias"][0])))
+
+
+def test_scores_equal_a_plain_convolution_whole_and_piecewise():
     rng = np.random.default_rng(0)
-    model = quality_cnn.fit([bytes(rng.integers(97, 123, 300, dtype=np.uint8)) for _ in range(8)], [0, 1] * 4, epochs=1)
-    for n in (quality_cnn.PIECE + 1, 2 * quality_cnn.PIECE, 2 * quality_cnn.PIECE + 77):
-        buf = rng.integers(32, 123, n, dtype=np.uint8)
-        flat, start, row, over = quality_cnn._layout(buf, np.array([0, n]))
-        z = quality_cnn._filters(model, flat, over)[1]
-        cm = np.maximum.reduceat(z, start[start < len(z)], axis=0)
-        whole = quality_cnn._head(model, quality_cnn._pooled(cm, np.zeros(len(cm), int), np.array([n])))[1]
-        assert abs(quality_cnn.scores(model, buf, np.array([0, n]))[0] - whole[0]) < 1e-5
+    train = [bytes(rng.integers(97, 123, rng.integers(0, 900), dtype=np.uint8)) for _ in range(16)]
+    model = quality_cnn.fit(train, [0, 1] * 8, epochs=2)
+    sizes = [0, 1, 3, 4, 127, 128, 129, 256, 257, 384, 385, 1000, 5000]
+    texts = [bytes(rng.integers(32, 123, n, dtype=np.uint8)) for n in sizes]
+    got = quality_cnn.scores(model, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + sizes))
+    assert np.allclose(got, [_plain_score(model, t) for t in texts], atol=1e-5)
+    for n in (quality_cnn.PIECE + 1, quality_cnn.PIECE + 131, 2 * quality_cnn.PIECE, 2 * quality_cnn.PIECE + 77):
+        text = bytes(rng.integers(32, 123, n, dtype=np.uint8))
+        assert abs(quality_cnn.scores(model, np.frombuffer(text, np.uint8), np.array([0, n]))[0] - _plain_score(model, text)) < 1e-5
+
+
+def test_gradients_equal_differences_of_the_loss():
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (0, 5, 130, 700, 1500)]
+    y, weight = np.array([0, 1, 1, 0, 1.0]), np.array([1, 2, 0.5, 1, 1.0])
+    model = {k: v.astype(float) for k, v in quality_cnn.fit(texts, [0, 1, 1, 0, 1], epochs=1).items()}
+    buf, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+
+    def loss():
+        p = quality_cnn.scores(model, buf, off)
+        return (weight * -np.log(np.where(y == 1, p, 1 - p))).mean() + 0.5e-4 * (model["h"] ** 2).sum()
+
+    grad = quality_cnn._gradients(model, texts, y, weight)
+    for name, g in grad.items():
+        flat, g = model[name].reshape(-1), np.asarray(g).reshape(-1)
+        for i in np.argsort(-abs(g))[:12]:
+            keep, eps = flat[i], 1e-6
+            flat[i] = keep + eps
+            up = loss()
+            flat[i] = keep - eps
+            down = loss()
+            flat[i] = keep
+            assert abs((up - down) / (2 * eps) - g[i]) <= 1e-4 * max(1, abs(g[i])), name
 
 
 def test_a_pair_of_terms_weighs_more_than_its_parts():
