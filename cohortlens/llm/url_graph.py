@@ -100,11 +100,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, thres
     by_host = rules.groupBy(F.col("host").alias("suffix")).agg(F.collect_set(F.struct(
         F.length(F.concat("host", "path")).alias("size"), F.concat("host", "path").alias("rule"), "path", "verdict")).alias("rules"))
     links = written(host_edges(pages, url_col, html_col), "url-links")
-    base = written(pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")), "url-pages")
+    base = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     fitting = (base.select("host").where("host <> ''").distinct().select("host", F.explode(_suffixes(F.col("host"))).alias("suffix"))
                .join(broadcast_if_small(by_host), "suffix").groupBy("host").agg(F.flatten(F.collect_list("rules")).alias("rules")))
     best = F.array_max(F.filter("rules", lambda r: F.col("path").startswith(r.path)))
-    ruled = base.join(fitting, "host", "left").select("id", "host", "path", best.alias("best"))
+    # a table between the joins by host: nothing above either join needs a host's pages together, so a hot host splits
+    ruled = written(base.join(fitting, "host", "left").select("id", "host", "path", best.alias("best")), "url-ruled")
 
     def share(verdict):
         return F.avg(F.when(F.col("best.verdict") == verdict, 1.0).otherwise(0.0))
