@@ -88,6 +88,33 @@ range 100-200 and 1000 - 2000
 build 20240105.1 passed 314 tests
 0 1 2 3 4 5 6 7 8 9
 42.1 1.5 2.75 900
+wrote to [email:jörg@münchen.example] yesterday
+or [email:søren.ås@øst.example.dk], as before
+address [ip:2001:db8::1] answers
+host [ip:fe80::1ff:fe23:4567:890a] is up
+route to [ip:2001:0db8:85a3:0000:0000:8a2e:0370:7334], then on
+mac 00:1a:2b:3c:4d:5e is wired
+it rained at 12:30:45 and 23:59:59
+verses 3:16:4 and 1:2:3 are read
+call [phone:0800 123 4567] now
+phone [phone:020 7946 0958] or come
+hotline [phone:1-800-555-0199] is free
+fax [phone:030/9018200] works
+call [phone:(0)30 901820] later
+ring [phone:650.555.0123] or [phone:650-555-0124]
+card [card:4111.1111.1111.1111] was seen
+paid by [card:4012  8888  8888  1881] once
+card [card:5105/1051/0510/5100] was refused
+card 4111.1111.1111.1112 is mistyped
+rows 1234  5678  9012  3456 add up
+uuid 123e4567-e89b-12d3-a456-426614174000 was read
+commit 9fceb02d0ae598e95dc970b74767f19372d61af8 broke it
+digest e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855 matches
+key 4f1c2a9d7b6e5038 and salt 99aa00bb11cc22dd
+from 1985 to 1999 some 2500 lived there
+pages 112-118, 201-215 and 330
+sizes 10.5 20.25 30.125
+invoice 2023-004512 of 3.10.2023
 """
 
 
@@ -101,6 +128,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"\s")
+_EDGE = ".,;:!?<>\"'[]{}"
 
 
 def luhn(digits: str) -> bool:
@@ -167,6 +195,16 @@ def runs_of(text: str) -> list[list[tuple[int, int]]]:
 
 
 _CLASS = re.compile(r"[0-9]+|[a-z]+|[A-Z]+|[^\x00-\x7f]+")
+_MIXED = re.compile(r"[0-9][A-Za-z]")
+_DIGIT_GROUP = re.compile(r"[0-9]+")
+
+
+def _groups(text: str) -> bool:
+    """Whether groups of up to four hex digits between colons make an address of 8 groups, ``::`` for missing ones."""
+    parts = text.split(":")
+    if any(len(p) > 4 for p in parts) or text.count("::") > 1 or ":::" in text:
+        return False
+    return len([p for p in parts if p]) < 8 if "::" in text else len(parts) == 8 and all(parts)
 
 
 def _shape(tok: str) -> str:
@@ -181,10 +219,13 @@ def features(tok: str) -> tuple[str, ...]:
     n = len(digits)
     f = ["bias", "shape=" + _shape(bare)[:24], "n=" + str(min(n, 20)), "len=" + str(min(len(tok) // 4, 10)),
          "first=" + (bare[:1] if not bare[:1].isalnum() else "w"), "dots=" + str(min(bare.count("."), 5)),
-         "at=" + str("@" in bare), "letters=" + str(any(c.isalpha() for c in bare)), "tail=" + str(tok != bare)]
+         "at=" + str("@" in bare), "letters=" + str(any(c.isalpha() for c in bare)), "tail=" + str(tok != bare),
+         "kinds=" + "".join(sorted(set(_shape(bare))))[:12], "changes=" + str(min(len(_MIXED.findall(bare)), 6))]
     if re.fullmatch(r"[0-9]+(\.[0-9]+){3}(:[0-9]+)?", bare):
         f.append("address=" + str(_octets(bare.split(":")[0])))
-    if n >= 13:
+    if bare.count(":") >= 2 and re.fullmatch(r"[0-9A-Fa-f:]+", bare):
+        f.append("address6=" + str(_groups(bare)))
+    if n >= 13 and not any(c.isalpha() for c in bare):  # a card has no letters, whatever its digits add up to
         f.append("check=" + str(n <= 19 and luhn(digits)))
     if "@" in bare[1:]:
         f.append("domain=" + str(bool(_DOMAIN.search(bare, bare.index("@", 1)))))
@@ -197,6 +238,22 @@ def _before(text: str, start: int) -> str:
     return "before=" + (words[-1].lower()[-16:].strip(".,;:") if words else "")
 
 
+def _together(tokens: list[str]) -> tuple[str, ...]:
+    """Of a run of plain digit groups: the check digit and the number of digits of all of them, for each token."""
+    bare = [t.strip(_EDGE) for t in tokens[:9]]
+    if not 2 <= len(tokens) <= 8 or not all(map(_DIGIT_GROUP.fullmatch, bare)):
+        return ()
+    digits = "".join(bare)
+    return (f"run={len(digits)}",) + ((f"runcheck={luhn(digits)}",) if 13 <= len(digits) <= 19 else ())
+
+
+def run_features(text: str, run: list[tuple[int, int]]) -> list[list[tuple[str, ...]]]:
+    """Of each token of a run: groups of features, its own first."""
+    tokens = [text[s:e] for s, e in run]
+    of_run = _together(tokens)
+    return [[features(t), of_run, *([(_before(text, run[0][0]),)] if i == 0 else [])] for i, t in enumerate(tokens)]
+
+
 # --------------------------------------------------------------------------------- model
 
 def labelled_runs(table: str) -> list[tuple[list[tuple[str, ...]], list[int]]]:
@@ -214,9 +271,7 @@ def labelled_runs(table: str) -> list[tuple[list[tuple[str, ...]], list[int]]]:
             for s, e in run:
                 k = next((x for x in spans if x[1] < e and s < x[2]), None)
                 y.append(0 if k is None else STATES.index(("B-" if s <= k[1] else "I-") + k[0]))
-            x = [features(text[s:e]) for s, e in run]
-            x[0] += (_before(text, run[0][0]),)
-            out.append((x, y))
+            out.append(([sum(groups, ()) for groups in run_features(text, run)], y))
     return out
 
 
@@ -293,9 +348,6 @@ def viterbi(model: dict, emissions: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-_EDGE = ".,;:!?<>\"'[]{}"
-
-
 def decode(model: dict, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """The CRF's spans (kind, start, end) of each text."""
     where, emissions, cache = [], [], {}
@@ -308,10 +360,8 @@ def decode(model: dict, texts: list[str]) -> list[list[tuple[str, int, int]]]:
 
     for i, text in enumerate(texts):
         for run in runs_of(text):
-            e = np.array([emit(features(text[s:t])) for s, t in run])
-            e[0] += emit((_before(text, run[0][0]),))
             where.append((i, run))
-            emissions.append(e)
+            emissions.append(np.array([sum(map(emit, groups)) for groups in run_features(text, run)]))
     found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for (i, run), states in zip(where, viterbi(model, emissions), strict=True):
         text, open_kind, start, end = texts[i], "", 0, 0
