@@ -22,7 +22,9 @@ Shape of the job (nothing expands into all pairs of a group of copies):
 * then only pairs of classes of different components remain.  In keys of up to
   ``SMALL_KEY`` classes they are joined directly; classes of larger keys go through an exact
   prefix-filter join instead: a pair over the threshold must share one of the rarest shingles
-  of either (the first ``n - ceil(s * n) + 1`` by the count of their hash bucket), with enough shingles behind it;
+  of either (the first ``n - ceil(s * n) + 1`` by the count of their hash bucket), with enough shingles behind it,
+  and the parities of the sets over ``PARITIES`` hash places may differ in no more places than sets of the
+  threshold have shingles apart (no pair over the threshold does, so nothing is lost);
 * components by alternating large-star and small-star steps on tables in the shared folder.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
@@ -47,6 +49,7 @@ COMPONENTS = 64
 SMALL_KEY = 24
 BUCKETS, SLICES = 1 << 20, 64
 EARLIER = 48  # shingles before a shared one that are searched for an earlier shared one
+PARITIES = 1024  # bits of the parity sketch of a set
 _RNG = np.random.default_rng(77)
 _MUL = _RNG.integers(0, 1 << 64, 1024, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 64, 1024, dtype=np.uint64)
@@ -253,12 +256,20 @@ def _summed_slice(table: pa.Table) -> pa.Table:
     return pa.table({"slice": table["slice"].slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
+def parities(s: np.ndarray) -> list[int]:
+    """Whether an odd number of a set's hashes falls on each of ``PARITIES`` places, 64 of them a number.
+
+    Common members cancel out, so two sets differ in at most as many places as they have members apart."""
+    odd = np.bincount((s >> np.uint64(32)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _prefixes(counts, num: int, den: int):
-    """(id, label, h, n, r, back) of the prefix of each set: its shingles by the count of their bucket, then by
-    hash; h is the r-th of n, ``back`` are up to ``EARLIER`` prefix shingles before it."""
+    """(id, label, h, n, r, back, odd) of the prefix of each set: its shingles by the count of their bucket, then by
+    hash; h is the r-th of n, ``back`` are up to ``EARLIER`` prefix shingles before it, ``odd`` the set's parities."""
     def run(batches):
         for b in batches:
-            cols = [[] for _ in range(6)]
+            cols = [[] for _ in range(7)]
             for i, label, v in zip(b.column("id").to_pylist(), b.column("label").to_pylist(), b.column("s")):
                 s = np.frombuffer(v.as_buffer(), dtype=np.uint64)
                 f = counts.value[(s % np.uint64(BUCKETS)).astype(np.int64)]
@@ -266,10 +277,10 @@ def _prefixes(counts, num: int, den: int):
                 r = np.flatnonzero(f[order] > 1)  # a bucket of one holds a shingle that no other set has
                 h = s[order[r]].view(np.int64)
                 for c, x in zip(cols, ([i] * len(r), [label] * len(r), h.tolist(), [len(s)] * len(r), (r + 1).tolist(),
-                                       [h[max(0, k - EARLIER):k].tolist() for k in range(len(r))])):
+                                       [h[max(0, k - EARLIER):k].tolist() for k in range(len(r))], [parities(s)] * len(r))):
                     c += x
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "label", "h", "n", "r", "back"])
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "label", "h", "n", "r", "back", "odd"])
     return run
 
 
@@ -288,13 +299,15 @@ def _prefix_pairs(dense: DataFrame, texts: DataFrame, size: int, num: int, den:
     for r in found:
         counts.reshape(SLICES, -1)[r.slice] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
     prefixes = sets.mapInArrow(_prefixes(dense.sparkSession.sparkContext.broadcast(counts), num, den),
-                               "id long, label long, h long, n long, r long, back array<long>")
+                               "id long, label long, h long, n long, r long, back array<long>, odd array<long>")
     ranked = written(prefixes, "near-prefixes")
     mixed = ranked.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("h")
-    x = ranked.join(mixed, "h", "left_semi").select("h", "id", "label", "n", "r", "back")
-    y = x.select("h", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "n", "r", "back")])
+    x = ranked.join(mixed, "h", "left_semi").select("h", "id", "label", "n", "r", "back", "odd")
+    y = x.select("h", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "n", "r", "back", "odd")])
     # the first shingle that two sets share bounds their overlap by what follows it in either; a
     # pair with a common shingle shortly before comes from that one already
     enough = f"{num + den} * (1 + least(n - r, n2 - r2)) >= {num} * (n + n2)"
-    return (x.join(y, "h").where(f"id < id2 and label <> label2 and {enough} and not arrays_overlap(back, back2)")
+    differing = " + ".join(f"bit_count(odd[{i}] ^ odd2[{i}])" for i in range(PARITIES // 64))
+    close = f"{num + den} * ({differing}) <= {den - num} * (n + n2)"
+    return (x.join(y, "h").where(f"id < id2 and label <> label2 and {enough} and {close} and not arrays_overlap(back, back2)")
             .select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct())

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from cohortlens.llm import decontamination, line_winnowing, minhash_hamming, queries
@@ -233,3 +234,20 @@ def test_queries_equal_their_sql(spark, duck, name):
     cols = sorted(s.column_names)
     assert cols == sorted(d.column_names)
     assert sorted(str([r[c] for c in cols]) for r in s.to_pylist()) == sorted(str([r[c] for c in cols]) for r in d.to_pylist())
+
+
+def test_parities_of_sets_over_the_threshold_are_never_too_far_apart():
+    rng = np.random.default_rng(11)
+    far = 0
+    for n in (1, 5, 40, 400, 6000):
+        for _ in range(40):
+            a = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+            swapped = rng.integers(0, n // 3 + 1)
+            b = np.concatenate([a[swapped:], rng.integers(0, 1 << 64, swapped, dtype=np.uint64)])
+            x, y = (np.array(minhash_hamming.parities(np.unique(v)), np.int64).view(np.uint64) for v in (a, b))
+            differing = int(np.bitwise_count(x ^ y).sum())
+            assert differing <= 2 * swapped
+            near = 100 * (n - swapped) >= 80 * (n + swapped)
+            assert not near or 180 * differing <= 20 * 2 * n
+            far += not near and n <= 400 and 180 * differing > 20 * 2 * n
+    assert far > 30  # and most of the others are told apart
