@@ -115,6 +115,7 @@ from 1985 to 1999 some 2500 lived there
 pages 112-118, 201-215 and 330
 sizes 10.5 20.25 30.125
 invoice 2023-004512 of 3.10.2023
+cards [card:4111111111111111] [card:5500000000000004] are both void
 """
 
 
