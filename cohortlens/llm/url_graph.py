@@ -103,8 +103,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, thres
     base = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     fitting = (base.select("host").where("host <> ''").distinct().select("host", F.explode(_suffixes(F.col("host"))).alias("suffix"))
                .join(broadcast_if_small(by_host), "suffix").groupBy("host").agg(F.flatten(F.collect_list("rules")).alias("rules")))
+    fitting = written(fitting, "url-fitting")
     best = F.array_max(F.filter("rules", lambda r: F.col("path").startswith(r.path)))
-    # a table between the joins by host: nothing above either join needs a host's pages together, so a hot host splits
+    # tables before and between the joins by host: neither side nor what follows is already dealt by host, so a hot host splits
     ruled = written(base.join(fitting, "host", "left").select("id", "host", "path", best.alias("best")), "url-ruled")
 
     def share(verdict):
