@@ -21,6 +21,14 @@ from .numeric import _c
 DATE_FORMATS = ["M/d/yyyy", "yyyy-MM-dd", "M-d-yyyy", "yyyy/MM/dd", "MMM d, yyyy", "d-MMM-yyyy"]
 # formats with a two-digit year (months first), read by the pivot below
 SHORT_YEAR_FORMATS = ["M/d/yy", "M-d-yy"]
+#: What every text that a format parses looks like.  A parser that is given anything else throws and catches an
+#: exception, which costs far more than the pattern.
+DATE_SHAPES = {
+    "M/d/yyyy": r"^[+-]?\d+/[+-]?\d+/[+-]?\d{4,}$", "M-d-yyyy": r"^[+-]?\d+-[+-]?\d+-[+-]?\d{4,}$",
+    "yyyy-MM-dd": r"^[+-]?\d{4,}-\d\d-\d\d$", "yyyy/MM/dd": r"^[+-]?\d{4,}/\d\d/\d\d$",
+    "MMM d, yyyy": r"^[^ ]+ [+-]?\d+, [+-]?\d{4,}$", "d-MMM-yyyy": r"^[+-]?\d+-[^-]+-[+-]?\d{4,}$",
+    "M/d/yy": r"^[+-]?\d+/[+-]?\d+/\d\d$", "M-d-yy": r"^[+-]?\d+-[+-]?\d+-\d\d$",
+}
 PIVOT = 69  # two-digit years from here on are 19xx, as in C's strptime
 TIME_PART = r"[T ]+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp][Mm])?$"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -28,11 +36,13 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 WS_CLASS = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 STRIP_PATTERN = f"^{WS_CLASS}+|{WS_CLASS}+$"
+WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                             0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip_ws(col) -> Column:
     """Remove leading/trailing whitespace as Python's ``str.strip()`` does (any kind)."""
-    return F.regexp_replace(_c(col), STRIP_PATTERN, "")
+    return F.btrim(_c(col), F.lit(WS_CHARS))
 
 
 def person_key(col) -> Column:
@@ -54,11 +64,19 @@ def split_name(col) -> tuple[Column, Column]:
 def parse_date(col, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Lenient date parse: a time part is dropped, the first format that parses wins, two-digit
     years turn at ``PIVOT``; unparsable -> NULL."""
-    s = F.regexp_replace(strip_ws(col), TIME_PART, "")
-    full = [F.try_to_date(s, f) for f in formats]
-    short = [F.try_to_date(s, f) for f in SHORT_YEAR_FORMATS]  # Spark reads yy as 20yy
-    turned = [F.when(F.year(d) >= 2000 + PIVOT, F.add_months(d, -1200)).otherwise(d) for d in short]
-    return F.coalesce(*full, *turned)
+    def read(s: Column, fmt: str) -> Column:
+        shape = DATE_SHAPES.get(fmt)
+        return F.when(s.rlike(shape), F.try_to_date(s, fmt)) if shape else F.try_to_date(s, fmt)
+
+    def parsed(s: Column) -> Column:
+        full = [read(s, f) for f in formats]
+        short = [read(s, f) for f in SHORT_YEAR_FORMATS]  # Spark reads yy as 20yy
+        turned = [F.when(F.year(d) >= 2000 + PIVOT, F.add_months(d, -1200)).otherwise(d) for d in short]
+        return F.coalesce(*full, *turned)
+
+    # an array of one, so that the trimmed text is worked out once for all formats
+    bare = F.array(F.regexp_replace(strip_ws(col), TIME_PART, ""))
+    return F.get(F.transform(bare, parsed), F.lit(0))
 
 
 def rejected(df, columns: dict[str, Column]):

@@ -143,3 +143,43 @@ def test_whitespace_twins_match_python_strip(spark):
     assert s == d
     expect = [None if v is None else (v.strip() or None) for v in vals]  # Python's strip
     assert [r[1] for r in s] == expect
+
+
+def test_no_format_is_tried_on_texts_it_cannot_read(spark):
+    """A failing parse throws and catches an exception; each parser is reached through its shape only, and the
+    shapes turn away nothing that Spark's parser reads."""
+    import itertools
+    import random
+
+    from pyspark.sql import functions as F
+
+    from cohortlens.functions.cleaning import DATE_FORMATS, DATE_SHAPES, SHORT_YEAR_FORMATS, parse_date, strip_ws
+
+    rnd = random.Random(4)
+    parts = ["1", "01", "001", "12", "13", "31", "0", "-1", "+2", "20", "69", "1999", "2020", "02020", "12020", "+12020", "-2020",
+             "Jan", "jan", "SEPT", "Sep", "ſep", "May.", "March", "x", ""]
+    texts = ["".join(p) for s in "/-. " for p in ([a, s, b, s, c] for a, b, c in itertools.product(parts, repeat=3)) if rnd.random() < 0.15]
+    texts += [f"{a} {b}, {c}" for a, b, c in itertools.product(parts, repeat=3) if rnd.random() < 0.3]
+    texts += ["1/2/2020 10:00", "2020-01-02T10:00:00.5", "Customer", "Ann/Marie", "000000012, Customer J.", "1/2/2020\n", "\x1c1/2/20　", None]
+    df = spark.createDataFrame([(t,) for t in dict.fromkeys(texts)], "t string")
+    bare = strip_ws("t")
+    for fmt in [*DATE_FORMATS, *SHORT_YEAR_FORMATS]:
+        lost = df.where(F.try_to_date(bare, fmt).isNotNull() & ~bare.rlike(DATE_SHAPES[fmt]))
+        assert lost.count() == 0, (fmt, lost.take(3))
+    plan = df.select(parse_date("t").alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") >= plan.count("gettimestamp") > 0
+    got = {r.t: str(r.d) for r in df.select("t", parse_date("t").cast("string").alias("d")).collect()}
+    assert (got["1/2/2020 10:00"], got["2020-01-02T10:00:00.5"], got["1/2/2020\n"], got["\x1c1/2/20　"], got["Customer"]) == (
+        "2020-01-02", "2020-01-02", "2020-01-02", "2020-01-02", "None")
+
+
+def test_strip_takes_the_characters_that_python_takes(spark):
+    from cohortlens.functions.cleaning import STRIP_PATTERN, WS_CHARS, strip_ws
+    from pyspark.sql import functions as F
+
+    assert set(WS_CHARS) == {chr(i) for i in range(0x110000) if chr(i).isspace()}
+    texts = ["", " ", "a", "　é b \n", "﻿x ", "日 本\x85", " \t\x1f", "a\n b"] + [f"{c}q{c}" for c in WS_CHARS]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip_ws("t").alias("s"), F.regexp_replace("t", STRIP_PATTERN, "").alias("r"))
+    assert all(r.s == r.t.strip() == r.r for r in df.collect())
+    plan = df.select("s")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
