@@ -65,3 +65,22 @@ def test_cluster_without_shared_folder_is_an_error():
     sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None)))
+
+
+def test_a_query_writes_the_tables_it_reads_and_no_others(spark, monkeypatch):
+    import os
+
+    from cohortlens.plans import registry
+    from cohortlens.sources import store
+
+    root = scratch_path(spark, "test-store-lazy")
+    monkeypatch.setattr(store, "_root", lambda spark: root)
+    monkeypatch.setattr(store, "_CACHE", {})
+    folder = f"{root}/{store_key(spark, SF_SMALL)}".removeprefix("file:")
+    registry.queries()["build_enrollment"](spark, SF_SMALL).count()
+    assert not os.path.exists(folder)
+    registry.queries()["duplicate_keys"](spark, SF_SMALL).count()
+    assert os.listdir(folder) == ["participant_charge"]
+    registry.queries()["r3_4"](spark, SF_SMALL).count()
+    assert sorted(os.listdir(folder)) == ["enrollment", "participant", "participant_charge", "risk_assessment"]
+    assert len(os.listdir(root.removeprefix("file:"))) == 1
