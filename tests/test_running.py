@@ -68,3 +68,29 @@ def test_a_header_without_a_name_column_is_named_in_the_error(spark, build):
     raw = spark.createDataFrame([("1", "2", "f")], "weight string, colour string, source_file string")
     with pytest.raises(ValueError, match=re.escape("lacks a name column: ['weight', 'colour', 'source_file']")):
         build(raw)
+
+
+AT_SCALE = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+
+
+def _exchanges(spark, name):
+    from cohortlens.plans.registry import reports
+    from tests.util import tables
+
+    t = tables(spark)
+    t["participant_charge"] = t["participant_charge"].repartition(3)
+    old = {k: spark.conf.get(k, None) for k in AT_SCALE}
+    try:
+        for k, v in AT_SCALE.items():
+            spark.conf.set(k, v)
+        plan = reports()[name](t)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return re.findall(r"Exchange (?:hash|range)partitioning\(([^\n]*?), \d+\)", plan), plan
+
+
+def test_counts_in_intervals_move_events_twice(spark):
+    """By (id, day) where they are reduced and meet the points, and by id where they are summed; no lists are gathered."""
+    found, plan = _exchanges(spark, "in_interval")
+    assert len(found) <= 4 and "collect_list" not in plan, found
