@@ -94,3 +94,34 @@ def test_flag_then_sum_equals_count_distinct_case(spark):
                         AND date_diff(ev.charge_date, iv.end_date) <= 365 THEN ev.participant_id END) AS c
             FROM iv LEFT JOIN ev ON iv.participant_id = ev.participant_id GROUP BY grp""").collect()}
         assert mine == brute
+
+
+def test_existence_in_every_window_equals_all_pairs(spark):
+    """NULL ids, days, starts and ends, intervals the wrong way round, equal and repeated intervals."""
+    import random
+
+    from cohortlens.functions.intervals import window_predicate
+
+    r = random.Random(8)
+
+    def day():
+        return None if r.random() < 0.1 else d(f"20{r.randint(20, 21)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}")
+
+    ids = ["hot"] * 3 + [f"p{i}" for i in range(40)] + [None]
+    ev = spark.createDataFrame([(r.choice(ids), day()) for _ in range(60)] + [("gone", day())], "participant_id string, charge_date date")
+    iv = [(r.choice(ids), day(), day(), k) for k in range(150)]
+    iv = spark.createDataFrame(iv + iv[:20], "participant_id string, start_date date, end_date date, k int")
+    for window, n in [("before", None), ("lookback", 60), ("during", None), ("after", None), ("followup", 60), ("lookback", -5)]:
+        inside = window_predicate(window, F.col("charge_date"), F.col("start_date"), F.col("end_date"), n)
+        cond = (F.col("participant_id") == F.col("i")) & inside
+        for op, how in ((with_event_in_interval, "left_semi"), (without_event_in_interval, "left_anti")):
+            want = iv.join(ev.withColumnRenamed("participant_id", "i"), cond, how)
+            assert sorted(map(str, op(iv, ev, window, n).collect())) == sorted(map(str, want.collect())), (window, how)
+
+
+def test_existence_asks_for_one_day_of_an_interval(spark):
+    """One look-up an interval, by its first day, and no counts at both ends."""
+    from tests.test_running import _exchanges
+
+    found, plan = _exchanges(spark, "with_event_in_interval")
+    assert len(found) <= 5 and "collect_list" not in plan, found
