@@ -83,3 +83,31 @@ def test_r2_6_sums_joined_rows(spark):
     assert got["PTSD Present"] == (1, 2, 200.0)
     assert got["Bipolar Present"] == (1, 1, 100.0)
     assert got["Any MH Diagnosis"] == (2, 2, 100.0)
+
+
+def test_r3_5_counts_the_exits_of_a_day_once(spark):
+    """Several classes, charges and exits on one day, equal participants, and days without a charge or an exit."""
+    from cohortlens.plans.registry import oracle_sql
+    from cohortlens.sources.bindings import report_body
+    import duckdb
+
+    people = [(p, "F", "L", "1980-01-01", "Male", "White") for p in ("a", "a", "b", "c", "d", "e", "f", None)]
+    days = ["2020-01-01", "2020-01-02", "2020-03-01", None]
+    charges = [(p, o, c, "O", "Convicted") for p in ("a", "b", "c", "d", "e", "f", "gone", None) for o in (1, 2, 2, 3, 9) for c in days]
+    exits = [(p, s, None, x, 1.0) for p in ("a", "b", "c", "d", "e", "e", "f", "gone", None) for s in [*days, "2020-01-02"]
+             for x in ("Graduated", "Terminated", "Discharged", None)]
+    t = tables(spark, participant=people, participant_charge=charges, enrollment=exits,
+               charge_offense=[(1, "Theft", "F"), (2, "Fraud", "M"), (3, "Other", None)])
+    con = duckdb.connect()
+    for k, v in t.items():
+        con.register(k, v.toArrow())
+    want = con.execute(report_body(oracle_sql()["r3_5"])).fetchall()
+    got = [tuple(r) for r in reports()["r3_5"](t).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 3
+
+
+def test_r3_5_reads_the_charges_once(spark):
+    from tests.test_running import _exchanges
+
+    found, plan = _exchanges(spark, "r3_5")
+    assert len(found) <= 9 and "collect_list" not in plan, found
