@@ -84,3 +84,19 @@ def test_a_query_writes_the_tables_it_reads_and_no_others(spark, monkeypatch):
     registry.queries()["r3_4"](spark, SF_SMALL).count()
     assert sorted(os.listdir(folder)) == ["enrollment", "participant", "participant_charge", "risk_assessment"]
     assert len(os.listdir(root.removeprefix("file:"))) == 1
+
+
+def test_a_table_is_written_without_a_shuffle_of_its_own(spark):
+    from cohortlens.sources import store
+
+    root = scratch_path(spark, "test-store-jobs").removeprefix("file:")
+    sc = spark.sparkContext
+    table = load_tables(spark, SF_SMALL)["enrollment"]  # reads a schema, a job of its own
+    sc.setJobGroup("store-jobs", "")
+    try:
+        store._write_once(spark, table, root, "enrollment")
+        jobs = sc.statusTracker().getJobIdsForGroup("store-jobs")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = [s for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds]
+    assert len(jobs) == len(stages) == 1
