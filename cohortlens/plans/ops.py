@@ -16,7 +16,7 @@ from ..functions.numeric import round_real, safe_div, sql_pct, sql_round_ratio,
 from ..functions.text import PTSD_WORDS, combo_label, has_any_keyword, has_no_keyword
 from ..operators import quality
 from ..operators.catalog import column_profile, preview, table_inventory
-from ..operators.metrics import (charge_counts, cost_model, metric_rows, one_row, per_subject_summary, pop_stddev,
+from ..operators.metrics import (cost_model, metric_rows, one_row, per_subject_summary, pop_stddev,
                                  top_k, with_total, with_total_row)
 from ..operators.running import windowed_sums
 from ..operators.temporal import (events_in_window, first_event, gap_from_first_event, with_any,
@@ -299,8 +299,11 @@ FROM participant GROUP BY race_ethnicity"""
 
 # ------------------------------------------------------------------ E3-E19 aggregates
 def _charges_with_class(t) -> DataFrame:
-    """(participant, class, offense) counts: reduced before the join to the dimension."""
-    return charge_counts(t).join(t["charge_offense"].select("offense_id", "class"), "offense_id")
+    """Charges per (class, participant).  The join takes two columns of the facts, and AQE splits an offense that holds
+    many; reducing them to (participant, offense) first would move nearly as many rows once more."""
+    pc = t["participant_charge"].select(PID, "offense_id")
+    return (pc.join(t["charge_offense"].select("offense_id", "class"), "offense_id")
+            .groupBy("class", PID).agg(F.count(ONE).alias("n")))
 
 
 _PC_CO = "participant_charge pc JOIN charge_offense co ON pc.offense_id = co.offense_id"
@@ -391,8 +394,7 @@ FROM participant GROUP BY race_ethnicity"""
 
 @op("per_subject")
 def q_per_subject(t) -> DataFrame:
-    per = _charges_with_class(t).groupBy("class", PID).agg(F.sum("n").alias("c"))
-    g = per.groupBy("class").agg(F.sum("c").alias("charges"), F.count(PID).alias("participants"))
+    g = _charges_with_class(t).groupBy("class").agg(F.sum("n").alias("charges"), F.count(PID).alias("participants"))
     return g.select("class", "charges", "participants",
                     per_subject("charges", "participants").alias("charges_per_participant"))
 
@@ -429,8 +431,7 @@ FROM risk_assessment WHERE risk_score IS NOT NULL GROUP BY risk_category"""
 
 @op("with_total_row")
 def q_with_total_row(t) -> DataFrame:
-    per = _charges_with_class(t).groupBy("class", PID).agg(F.sum("n").alias("n"))
-    return with_total_row(per, "class", {"charges": F.sum("n"), "participants": F.count_distinct(PID)})
+    return with_total_row(_charges_with_class(t), "class", {"charges": F.sum("n"), "participants": F.count_distinct(PID)})
 
 
 SQL["with_total_row"] = sql_with("participant_charge", "charge_offense") + f"""

@@ -52,3 +52,22 @@ def test_p14_length_days_carried_as_given(spark):
     t = tables(spark, enrollment=[("a", "2020-01-01", "2020-01-31", "Graduated", 999.0)])
     got = {r[0]: r[1:] for r in reports()["r5_3"](t).collect()}
     assert got["Program Duration (Days)"] == (999.0, 999.0, 999.0, 1)  # not recomputed from dates
+
+
+def test_charges_are_dealt_by_offense_and_by_class_and_participant_only(spark):
+    from cohortlens.plans.registry import oracle_sql, reports
+    from cohortlens.sources.bindings import report_body
+    from tests.test_running import _exchanges
+    from tests.util import tables
+    import duckdb
+
+    found, _ = _exchanges(spark, "with_total_row")
+    assert not [x for x in found if "participant_id" in x and "offense_id" in x] and len(found) <= 5, found
+    charges = [(p, o, c, "O", "Convicted") for p in ("a", "b", None) for o in (1, 1, 2, 3, 9, None) for c in ("2020-01-01", None)]
+    t = tables(spark, participant_charge=charges, charge_offense=[(1, "A", "F"), (1, "A again", "F"), (2, "B", "M"), (3, "C", None), (None, "D", "T")])
+    con = duckdb.connect()
+    for k, v in t.items():
+        con.register(k, v.toArrow())
+    for name in ("with_total_row", "per_subject"):
+        want = con.execute(report_body(oracle_sql()[name])).fetchall()
+        assert sorted(map(str, map(tuple, reports()[name](t).collect()))) == sorted(map(str, want)), name
