@@ -41,12 +41,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def deleted_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, key, lines): numbers (from 0) of the lines to delete; key = xxhash64(text)."""
     def line(t, i):
-        t = F.btrim(t, F.lit(BLANKS))
         return F.struct(i.alias("pos"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"),
                         F.regexp_count(t, F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long").alias("w"))
 
+    # trimmed apart: a lambda works every use of its argument out anew
+    trimmed = F.transform(F.split("text", "\n", -1), lambda t: F.btrim(t, F.lit(BLANKS)))
     lines = (_keyed(docs, id_col, text_col).where("text is not null")
-             .select("id", "key", F.filter(F.transform(F.split("text", "\n", -1), line), lambda x: x.w > 0).alias("lines"))
+             .select("id", "key", F.filter(F.transform(trimmed, line), lambda x: x.w > 0).alias("lines"))
              .where(F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x.w) >= min_words)
              .dropDuplicates(["id", "key"]).select("id", "key", F.inline("lines")))
     doc = W.partitionBy("id", "key")

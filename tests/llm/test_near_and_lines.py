@@ -251,3 +251,12 @@ def test_parities_of_sets_over_the_threshold_are_never_too_far_apart():
             assert not near or 180 * differing <= 20 * 2 * n
             far += not near and n <= 400 and 180 * differing > 20 * 2 * n
     assert far > 30  # and most of the others are told apart
+
+
+def test_lines_are_trimmed_once(spark):
+    """A lambda works every use of its argument out anew, so the trimming stands in a step of its own."""
+    from cohortlens.llm.line_winnowing import deleted_lines
+
+    df = spark.createDataFrame([(1, "a b\n c ")], "doc_id long, text string")
+    plan = deleted_lines(df, min_words=2)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("btrim(") == plan.count("split(text") > 0  # the plan holds the lines several times
