@@ -54,9 +54,14 @@ def orphan_counts(tables, keys: Sequence[tuple[str, str, str, str]]) -> DataFram
     return every.join(lost, ["child_table", "child_key", "parent_table"], "left").fillna(0, ["orphan_rows"])
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Q3: key values occurring more than once, with their count."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > 1)
+def duplicate_keys(df: DataFrame, keys: Sequence[str], part_rows: int = 250_000) -> DataFrame:
+    """Q3: key values occurring more than once, with their count.
+
+    Most keys occur once, so counts before the shuffle save nothing and overflow a task's memory: rows are dealt by
+    key first, into as many parts as keep the counts of one in memory.  Rows of one key are counted as they come."""
+    parts = -(-df.count() // part_rows) or 1
+    dealt = df.select(*keys).repartition(parts, *keys)
+    return dealt.groupBy(*keys).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > 1)
 
 
 def null_violations(df: DataFrame, cols: Sequence[str], table: str = "") -> DataFrame:

@@ -100,3 +100,39 @@ def test_a_table_is_written_without_a_shuffle_of_its_own(spark):
         sc.setLocalProperty("spark.jobGroup.id", None)
     stages = [s for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds]
     assert len(jobs) == len(stages) == 1
+
+
+def test_a_run_of_many_reports_derives_a_table_once(spark):
+    from cohortlens.plans import registry
+    from cohortlens.sources.store import RunTables
+    from tests.util import rows, tables
+
+    days = ["2020-01-01", "2020-03-01", "2020-06-01", "2021-01-01", "2021-02-01", None]
+    charges = [(p, k, days[(3 * k + n) % 6], None, ["Convicted", "Dismissed", None][(k + n) % 3])
+               for n, p in enumerate(["1", "2", "2", "3", None]) for k in range(4)]
+    stays = [(p, days[a], days[b], s, 1.0) for p, a, b, s in [
+        ("1", 1, 3, "Graduated"), ("1", 0, 5, None), ("2", 2, 2, "Terminated"), ("2", 3, 1, "Discharged"), ("3", 5, 4, "Graduated"),
+        ("4", 0, 1, "Terminated"), (None, 0, 1, "Graduated"), ("3", 0, 1, "Terminated"), ("2", 1, 2, "Graduated")]]
+    people = [(p, None, None, None, g, None) for p, g in [("1", "F"), ("2", "M"), ("3", None), ("4", "M")]]
+    t = tables(spark, participant=people, enrollment=stays, participant_charge=charges)
+    run, built = RunTables(spark, t), []
+    write = run.once
+    run.once = lambda name, build: write(name, lambda: (built.append(name), build())[1])
+    for name in ["r3_2", "r4_4", "r4_6", "r4_9", "r5_6", "r5_9", "r3_2"]:
+        report = registry.reports()[name]
+        assert rows(report(run)) == rows(report(t)), name
+    assert sorted(built) == ["charge_days", "charge_windows"]
+
+
+def test_duplicate_keys_are_dealt_before_they_are_counted(spark):
+    from cohortlens.operators.quality import duplicate_keys
+
+    rows = [("a", 1), ("a", 1), (None, 1), (None, 1), (None, None), ("b", None), ("b", None), ("b", None), ("c", 1), ("c", 2)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    for part_rows in (3, 100):
+        dup = duplicate_keys(df, ["k", "v"], part_rows)
+        assert sorted(map(str, map(tuple, dup.collect()))) == sorted(map(str, [("a", 1, 2), (None, 1, 2), ("b", None, 3)]))
+    assert duplicate_keys(df, ["k", "v"], 3).select(F.spark_partition_id()).distinct().count() > 1
+    plan = duplicate_keys(df, ["k", "v"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")  # no counts below the shuffle
+    assert duplicate_keys(df.limit(0), ["k", "v"]).count() == 0
