@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.intervals import window_predicate
 from cohortlens.operators import ingest
-from cohortlens.operators.running import count_in_interval, event_days, running_sums, windowed_sums
+from cohortlens.operators.running import count_in_interval, event_days, held_intervals, running_sums, windowed_sums
 from tests.util import d
 
 WINDOWS = [("before", None), ("lookback", 40), ("during", None), ("after", None), ("followup", 40)]
@@ -94,3 +94,15 @@ def test_counts_in_intervals_move_events_twice(spark):
     """By (id, day) where they are reduced and meet the points, and by id where they are summed; no lists are gathered."""
     found, plan = _exchanges(spark, "in_interval")
     assert len(found) <= 4 and "collect_list" not in plan, found
+
+
+def test_held_intervals_equal_all_pairs(spark):
+    ev, iv = _frames(spark, 7)
+    days = event_days(ev, "id", "day", {"n": F.lit(1)})
+    got = held_intervals(iv, days, "id", "s", "e")
+    inside = window_predicate("during", F.col("day"), F.col("s"), F.col("e"), None)
+    each = (iv.where("id is not null").select("id", "s", "e").distinct()
+            .join(ev.withColumnRenamed("id", "i"), (F.col("id") == F.col("i")) & inside, "left")
+            .groupBy("id", "s", "e").agg(F.when(F.count("i") > 0, 1).otherwise(0).alias("hit")))
+    want = each.groupBy("id").agg(F.max("hit").alias("any_hit"), F.min("hit").alias("all_hit"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
