@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.llm import decontamination, line_winnowing, minhash_hamming, queries
 from tests.conftest import SF_SMALL
@@ -260,3 +261,14 @@ def test_lines_are_trimmed_once(spark):
     df = spark.createDataFrame([(1, "a b\n c ")], "doc_id long, text string")
     plan = deleted_lines(df, min_words=2)._jdf.queryExecution().analyzed().toString()
     assert plan.count("btrim(") == plan.count("split(text") > 0  # the plan holds the lines several times
+
+
+def test_words_lower_a_to_z_alone_and_drop_no_word(spark):
+    texts = [None, "", " ", "One two", " É ÉCOLE École ", "a--B\tc\n", "ÄB1 x", "KK İI", "...", "A", "x\x00Y", "ſS ẞT"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    cut = F.translate("text", decontamination.UPPER, decontamination.LOWER)
+    plain = F.filter(F.split(cut, decontamination.NOT_WORD, -1), lambda w: w != "")
+    out = df.select("id", decontamination.words(F.col("text")).alias("got"), plain.alias("want"))
+    assert [r.got for r in out.orderBy("id").collect()] == [r.want for r in out.orderBy("id").collect()]
+    plan = df.select(decontamination.words(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "lower(" in plan  # no interpreted pass over the words
