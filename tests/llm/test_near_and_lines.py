@@ -1,6 +1,7 @@
 """Near-duplicates, line dedup and decontamination against brute force on awkward rows."""
 
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -272,3 +273,13 @@ def test_words_lower_a_to_z_alone_and_drop_no_word(spark):
     assert [r.got for r in out.orderBy("id").collect()] == [r.want for r in out.orderBy("id").collect()]
     plan = df.select(decontamination.words(F.col("text")))._jdf.queryExecution().executedPlan().toString()
     assert "lambda" not in plan and "lower(" in plan  # no interpreted pass over the words
+
+
+def test_words_are_counted_without_a_result_object_for_each(spark):
+    texts = [None, "", " ", "One two", " É ÉCOLE École ", "a--B\tc\n", "A", "x\x00Y", "...", "Z@[`{z:/09", "日本 한국", "\n a1\n\nB2 ", "\x7f\x80é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    out = decontamination.contamination(docs, items)
+    want = [len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")) for t in texts]
+    assert [r.n_words for r in out.orderBy("doc_id").collect()] == want
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
