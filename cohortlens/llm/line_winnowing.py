@@ -26,30 +26,43 @@ are ids like others and come first; other columns, whatever their names, pass un
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import written
+
 MIN_WORDS = 50
 BLANKS = " \t\r\f\u000b"
+RARE_BLANKS = ("  ", "\t", "\r", "\f", "\u000b")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
 
 
-def deleted_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, key, lines): numbers (from 0) of the lines to delete; key = xxhash64(text)."""
+def _n_words(line: Column) -> Column:
+    """Words of a line without blanks at its ends; where single spaces part them, the spaces are counted."""
+    rare = reduce(Column.__or__, [F.contains(line, F.lit(b)) for b in RARE_BLANKS])
+    cut = F.array_size(F.split(line, r"[ \t\n\x0B\f\r]+", -1))
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(line == "", 0).when(rare, cut).otherwise(spaces + 1).cast("long")
+
+
+def _windows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(id, key, mark, mark_pos, k1, k2, first, last): the windows from and to each line, with their fingerprints."""
     def line(t, i):
-        return F.struct(i.alias("pos"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"),
-                        F.regexp_count(t, F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long").alias("w"))
+        return F.struct(i.alias("pos"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"), _n_words(t).alias("w"))
 
     # trimmed apart: a lambda works every use of its argument out anew
     trimmed = F.transform(F.split("text", "\n", -1), lambda t: F.btrim(t, F.lit(BLANKS)))
     lines = (_keyed(docs, id_col, text_col).where("text is not null")
              .select("id", "key", F.filter(F.transform(trimmed, line), lambda x: x.w > 0).alias("lines"))
+             .dropDuplicates(["id", "key"])  # first: a filter below it would cut every text a second time
              .where(F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x.w) >= min_words)
-             .dropDuplicates(["id", "key"]).select("id", "key", F.inline("lines")))
+             .select("id", "key", F.inline("lines")))
     doc = W.partitionBy("id", "key")
     lines = (lines.withColumn("to_here", F.sum("w").over(doc.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
              .withColumn("before", F.col("to_here") - F.col("w")).withColumn("all", F.sum("w").over(doc)))
@@ -66,9 +79,19 @@ def deleted_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     start = F.min("pos").over(back)
     forward = window(ahead, F.col("all") - F.col("before") >= min_words, F.col("pos"), F.max("pos").over(ahead))
     backward = window(back, (F.col("to_here") >= min_words) & (start < F.col("pos")), start, F.col("pos"))
-    windows = (lines.select("id", "key", F.array(forward, backward).alias("ws"))
-               .select("id", "key", F.inline(F.filter("ws", lambda x: x.isNotNull()))))
+    return (lines.select("id", "key", F.array(forward, backward).alias("ws"))
+            .select("id", "key", F.inline(F.filter("ws", lambda x: x.isNotNull()))))
 
+
+def deleted_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+                  stored: bool = False) -> DataFrame:
+    """(id, key, lines): numbers (from 0) of the lines to delete; key = xxhash64(text).
+
+    The windows are read several times: ``stored`` writes them to the shared folder at once, else each
+    reading works them out anew."""
+    windows = _windows(docs, id_col, text_col, min_words)
+    if stored:
+        windows = written(windows, "line-windows")
     place = F.struct("id", "key", "mark_pos")
     shared = (windows.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b"))
               .where("a < b").select("mark"))
@@ -85,14 +108,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 count_col: str | None = None) -> DataFrame:
     """``docs`` with the later repeated runs cut from the text (and the number of deleted
     lines as ``count_col``)."""
-    gone = deleted_lines(docs, id_col, text_col, min_words).select(
+    gone = deleted_lines(docs, id_col, text_col, min_words, stored=True).select(
         F.col("id").alias("__gone_id"), F.col("key").alias("__gone_key"), F.col("lines").alias("__gone"))
     text = F.col(text_col)
-    lines = F.split(text, "\n", -1)
-    cuts = F.concat(F.array(F.lit(-1)), F.col("__gone"), F.array(F.size(lines)))
-    kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size(cuts) - 1),
-                                 lambda i: F.slice(lines, F.get(cuts, i - 1) + 2, F.get(cuts, i) - F.get(cuts, i - 1) - 1)))
-    new = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+
+    def kept(x):
+        cuts = F.concat(F.array(F.lit(-1)), "__gone", F.array(F.size(x)))
+        spans = F.filter(F.arrays_zip(cuts.alias("a"), F.slice(cuts, 2, F.size(cuts)).alias("b")), lambda c: c.b > c.a + 1)
+        return F.array_join(F.flatten(F.transform(spans, lambda c: F.slice(x, c.a + 2, c.b - c.a - 1))), "\n")
+
+    # as an element of an array the cut text is an argument: a step inside would cut it anew for each span
+    cut = F.transform(F.array(F.split(text, "\n", -1)), kept)
+    new = F.when(F.col("__gone").isNull(), text).otherwise(F.get(cut, 0))
     both = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone_id")) & (F.xxhash64(text) == F.col("__gone_key")), "left")
     out = [new.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if count_col:

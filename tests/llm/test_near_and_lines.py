@@ -283,3 +283,21 @@ def test_words_are_counted_without_a_result_object_for_each(spark):
     want = [len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")) for t in texts]
     assert [r.n_words for r in out.orderBy("doc_id").collect()] == want
     assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_line_dedup_cuts_a_text_once_for_its_lines_and_once_for_the_result(spark, monkeypatch):
+    """Not for the filter by words, for each reading of the windows or for each deleted span."""
+    seen, write = [], line_winnowing.written
+    monkeypatch.setattr(line_winnowing, "written", lambda df, name: seen.append(df) or write(df, name))
+    lines = ["a  b", "\tc d ", "e\x0bf g", "", "h i"]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["x", *lines, "y", *lines]))], "doc_id long, text string")
+    out = line_winnowing.dedup_lines(docs, min_words=9, count_col="n")
+    assert sorted(map(tuple, out.collect())) == [(1, "\n".join(lines), 0), (2, "x\ny", 10)]
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in [*seen, out]]
+    assert [p.count("split(text#") for p in plans] == [1, 1]
+
+
+def test_words_of_a_line(spark):
+    lines = ["", "a", "a b", "a  b", "a\tb c", "a\r\x0b\fb", "é ü\u00a0x", "a b c  d e"]
+    df = spark.createDataFrame([(x,) for x in lines], "t string").select(line_winnowing._n_words(F.col("t")))
+    assert [r[0] for r in df.collect()] == [len(re.findall(r"[^ \t\n\x0B\f\r]+", x)) for x in lines]
