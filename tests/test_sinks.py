@@ -133,3 +133,36 @@ def test_reports_are_published_side_by_side_and_one_failure_leaves_the_others(sp
     assert got == {"a": (True, 3), "b": (False, 0), "c": (True, 5), "d": (True, 0)}
     assert "no such rows" in {r.report_name: r.error for r in log.collect()}["b"]
     assert most[0] >= 2 and spark.read.parquet(str(tmp_path / "out" / "c")).count() == 5
+
+
+def test_the_shuffle_files_of_a_report_go_when_it_is_written(spark, tmp_path):
+    import os
+    import time
+
+    from cohortlens.operators.catalog import publish_reports
+
+    dirs = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffles():
+        return {f for top in dirs for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+    seen, before = {}, shuffles()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def report(_):
+        return spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).agg(F.sum("id").alias("n"))
+
+    def later(_):  # beside the others' last status line, which is written after them
+        for _ in range(100):
+            seen["left"] = shuffles() - before
+            if not seen["left"]:
+                break
+            time.sleep(0.1)
+        seen["conf"] = spark.conf.get(key)
+        return spark.range(1)
+
+    kept = spark.conf.get(key, None)
+    log = publish_reports(spark, {"a": report, "b": report, "later": later}, {}, str(tmp_path / "out"), side_by_side=1)
+    assert {r.report_name: r.row_count for r in log.collect()} == {"a": 1000, "b": 1000, "later": 1}
+    assert not seen["left"] and seen["conf"] == "true"
+    assert spark.conf.get(key, None) == kept

@@ -124,6 +124,43 @@ def test_a_run_of_many_reports_derives_a_table_once(spark):
     assert sorted(built) == ["charge_days", "charge_windows"]
 
 
+def test_a_run_of_many_reports_joins_charges_to_their_offenses_once(spark):
+    from cohortlens.plans import registry
+    from cohortlens.sources.store import RunTables
+    from tests.util import rows, tables
+
+    days = ["2020-01-01", "2020-03-01", "2020-06-01", "2021-01-01", None]
+    charges = [(p, [1, 2, 3, 9, None][(k + n) % 5], days[(3 * k + n) % 5], None, ["Convicted", "Dismissed", "Convicted", None][(2 * k + n) % 4])
+               for n, p in enumerate(["1", "2", "3", "4", "5", "6", "6", None]) for k in range(10)]
+    offenses = [(1, "Theft", "F"), (2, "Theft", "F"), (2, "Fraud", None), (3, None, "M"), (None, "Arson", "F")]  # 2 twice, 9 lacks
+    stays = [(p, "2020-07-01", end, s, 1.0) for p, end, s in [
+        ("1", None, "Graduated"), ("2", "2021-03-01", "Terminated"), ("3", "2020-02-01", "Graduated"), ("4", "2021-01-01", None),
+        ("5", "2022-01-01", "Graduated"), ("6", "2021-01-01", "Terminated"), ("6", "2021-01-01", "Terminated"), (None, None, "Graduated")]]
+    people = [(p, None, None, None, "F", None) for p in ["1", "2", "3", "4", "5", "6", "6"]]
+    t = tables(spark, participant=people, enrollment=stays, participant_charge=charges, charge_offense=offenses)
+    run, built = RunTables(spark, t), []
+    write = run.once
+    run.once = lambda name, build: write(name, lambda: (built.append(name), build())[1])
+    for name in ["r1_4", "r1_5", "r3_5", "r4_5", "r5_2", "x3"]:
+        report = registry.reports()[name]
+        found = rows(report(run))
+        assert found and found == rows(report(t)), name
+    assert sorted(built) == ["classed_charges", "felony_windows", "prior_classes"]
+
+
+def test_participants_are_dealt_only_for_the_offenses_that_are_shown(spark):
+    from cohortlens.plans.section1 import top_offenses
+    from tests.util import tables
+
+    n = 40
+    charges = [(f"p{k % 7}", i, "2020-01-01", None, "Convicted") for i in range(n) for k in range(i + 1)]
+    t = tables(spark, participant_charge=charges, charge_offense=[(i, f"o{i}", "F") for i in range(n)])
+    df = top_offenses(t)
+    assert [tuple(r) for r in df.collect()] == [(f"o{i}", "F", i + 1, min(7, i + 1)) for i in range(n - 1, n - 16, -1)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit 15" in plan and plan.index("participant_id") < plan.index("GlobalLimit 15")
+
+
 def test_duplicate_keys_are_dealt_before_they_are_counted(spark):
     from cohortlens.operators.quality import duplicate_keys
 
